@@ -2,7 +2,26 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, embeddings, langid, packing, pii, quality, secrets, simhash, tokens, topk
 
-QUERIES = {"op10_simhash_near_dedup": simhash.query}
-ORACLES: dict[str, str] = {}
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_token_files": tokens.query,
+    "op2_language_id": langid.query,
+    "op3_quality": quality.query,
+    "op4_byte_bpe": bpe.query,
+    "op5_embedding_near_dedup": embeddings.query,
+    "op6_top_k": topk.query,
+    "op7_secrets": secrets.query,
+    "op8_packing": packing.query,
+    "op9_pii": pii.query,
+    "op10_simhash_near_dedup": simhash.query,
+    "pipeline": _pipeline,
+}
+ORACLES = {"op5_embedding_near_dedup": embeddings.ORACLE, "op6_top_k": topk.ORACLE}
