@@ -1 +1 @@
-"""."""
+"""Operators of a profiling capture."""

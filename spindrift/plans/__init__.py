@@ -1 +1 @@
-"""."""
+"""Rules, adapters and the query catalogue."""

@@ -1 +1 @@
-"""."""
+"""Readers of captures."""
