@@ -71,7 +71,8 @@ class Engine:
             events = events.unionByName(more, allowMissingColumns=True)
         events = D.rebased(events).withColumn("ts", F.col("rel")).withColumn("te", F.expr("ts + dur")).drop("rel", "offset")
         capture = Capture(label or path.rstrip("/").rsplit("/", 1)[-1], events.cache(), tables, artifacts=found)
-        capture.step_source, capture.steps = self._steps(capture)
+        capture.step_source, steps = self._steps(capture)
+        capture.steps = steps.cache()
         self.captures[capture.label] = capture
         return capture
 
@@ -89,7 +90,7 @@ class Engine:
 
     def indicators(self, capture: Capture) -> DataFrame:
         """Indicator rows of the whole capture and of each known phase."""
-        labelled = P.labelled(capture.steps.withColumn("wall_us", F.expr("we - ws")), "wall_us")
+        labelled = P.labelled(capture.steps.withColumn("wall_us", F.expr("we - ws")), "wall_us").cache()
         n = labelled.groupBy("phase").agg(F.min("ws").alias("ws"), F.max("we").alias("we"), F.count("*").cast("int").alias("steps")).where("phase <> 'unknown'")
         whole = D.window_of(capture.events).join(F.broadcast(capture.steps.agg(F.count("*").cast("int").alias("steps")))).selectExpr("'overall' as scope", "'overall' as phase", "ws", "we", "steps")
         scopes = whole.unionByName(n.selectExpr("phase as scope", "phase", "ws", "we", "steps"))

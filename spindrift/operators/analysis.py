@@ -21,15 +21,20 @@ def indicators(events: DataFrame, scopes: DataFrame) -> DataFrame:
     busy = I.sweep(events, "device", "device", "host", ["scope"], "ts", "te").selectExpr("scope", "left_us as db", "right_us as hb", "left_only_us as d_only", "right_only_us as h_only")
     comm = I.sweep(events.where("device = 'device'"), "category", "comm", "compute", ["scope"], "ts", "te").selectExpr("scope", "left_us as cu", "both_us as co", "left_only_us as ce")
     idle = I.gaps(events.where("device = 'device'"), scopes.select("scope", "ws", "we"), int(rules.MIN_GAP_US), ["scope"], "ts", "te").groupBy("scope").agg(F.sum("dur").alias("idle"), F.max("dur").alias("gmax"), F.count("*").alias("gn"))
-    total = lambda test: F.coalesce(F.sum(F.expr(f"case when {test} then dur end")), F.lit(0)).cast("double")
-    many = lambda test: F.count_if(F.expr(test))
-    sync = f"device = 'host' and name rlike '(?i){rules.SYNC_OPS}'"
-    sums = events.groupBy("scope").agg(
-        F.count("*").alias("n"), many("device = 'device'").alias("dn"), many("device = 'host'").alias("hn"), total("device = 'device' and category = 'compute'").alias("ku"), total("device = 'device' and category = 'copy'").alias("yu"),
-        total("device = 'host' and category = 'copy'").alias("hy"), total("device = 'host'").alias("hs"), many("device = 'device' and category = 'comm'").alias("cn"), F.expr("percentile(case when device = 'device' and category = 'comm' then dur end, 0.5)").alias("cm"),
-        F.expr("percentile(case when device = 'device' and category = 'compute' then dur end, 0.5)").alias("km"), total("device = 'device' and category = 'copy' and subtype = 'd2h'").alias("d2h"), total("device = 'device' and category = 'copy' and subtype = 'h2d'").alias("h2d"),
-        many("device = 'host' and (role = 'framework' or category = 'schedule')").alias("disp"), total(sync).alias("su"), many(sync).alias("sn"), F.coalesce(F.max(F.expr("device = 'device' and category = 'compute' and subtype = 'attention'")), F.lit(False)).alias("hasAttention"),
+    # first by what rows have in common, then conditional sums over those few rows
+    sync = F.expr(f"device = 'host' and name rlike '(?i){rules.SYNC_OPS}'").alias("sync")
+    alike = events.groupBy("scope", "device", "category", "subtype", "role", sync).agg(F.count("*").alias("n"), F.sum("dur").alias("d"))
+    total = lambda test: F.coalesce(F.sum(F.expr(f"case when {test} then d end")), F.lit(0)).cast("double")
+    many = lambda test: F.coalesce(F.sum(F.expr(f"case when {test} then n end")), F.lit(0)).cast("long")
+    device = "device = 'device' and category"
+    sums = alike.groupBy("scope").agg(
+        F.sum("n").alias("n"), many("device = 'device'").alias("dn"), many("device = 'host'").alias("hn"), total(f"{device} = 'compute'").alias("ku"), total(f"{device} = 'copy'").alias("yu"), total("device = 'host' and category = 'copy'").alias("hy"), total("device = 'host'").alias("hs"),
+        many(f"{device} = 'comm'").alias("cn"), total(f"{device} = 'copy' and subtype = 'd2h'").alias("d2h"), total(f"{device} = 'copy' and subtype = 'h2d'").alias("h2d"), many("device = 'host' and (role = 'framework' or category = 'schedule')").alias("disp"), total("sync").alias("su"), many("sync").alias("sn"),
+        F.coalesce(F.max(F.expr(f"{device} = 'compute' and subtype = 'attention'")), F.lit(False)).alias("hasAttention"),
     )
+    middle = lambda kind: F.expr(f"percentile(case when category = '{kind}' then dur end, 0.5)")
+    medians = events.where("device = 'device' and category in ('comm', 'compute')").groupBy("scope").agg(middle("comm").alias("cm"), middle("compute").alias("km"))
+    sums = sums.join(medians, "scope", "left")
     x = scopes.join(sums, "scope", "left").join(busy, "scope", "left").join(comm, "scope", "left").join(idle, "scope", "left").na.fill(0)
     c = F.col
     wall = F.greatest(F.lit(1.0), (c("we") - c("ws")).cast("double"))

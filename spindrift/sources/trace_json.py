@@ -50,7 +50,7 @@ class ElementScanner:
             stop = self.decode(b, self.at)[1]
         except (ValueError, RecursionError):
             return None
-        if stop == len(b) and not last and b[stop - 1] not in '}]"':
+        if b[self.at] not in '{["' and not last and (stop == len(b) or b[stop] not in ",]} \t\r\n"):
             return None  # a number or word may go on in the next chunk
         return stop
 
