@@ -27,8 +27,8 @@ TRAIN_ROWS = 6000
 BUCKETS, LONGEST = 1 << 16, 4
 #: Log-probability that a change of language costs, and the most that one word can say.
 SWITCH, MOST = 6.0, 4.0
-#: Words in a block of the block-wise Viterbi.
-BLOCK = 64
+#: Words in a block of the block-wise Viterbi; distinct words scored, and bytes of text labelled, at a time.
+BLOCK, WORDS_AT_ONCE, SLICE = 64, 16_384, 2 << 20
 #: Share of a language's letters that a script needs to have there for the language to be a candidate.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
@@ -134,7 +134,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
     def count(batches):
         sums: dict = {}
-        for batch in common.sliced(batches, "text"):
+        for batch in common.sliced(batches, "text", SLICE // 2):
             for lang in set(batch.column("lang").to_pylist()):
                 own = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
                 _, index, distinct = common.text_chunks(own)
@@ -161,6 +161,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 def word_scores(words: list[str], model: Model):
     """(scores (word, language) that add up along a text, letters of each word)."""
+    if len(words) > WORDS_AT_ONCE:
+        parts = [word_scores(words[at : at + WORDS_AT_ONCE], model) for at in range(0, len(words), WORDS_AT_ONCE)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     buckets, owner, letters, scripts = ngrams(words)
     n, k = len(words), len(model.langs)
     total = np.zeros((n, k))
@@ -246,7 +249,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     def run(batches):
         model = shared.value
         k, names = len(model.langs), np.array([*model.langs, UNKNOWN], object)
-        for batch in common.sliced(batches, "__text"):
+        for batch in common.sliced(batches, "__text", SLICE):
             offsets, index, distinct = common.text_chunks(batch.column("__text"))
             scores, letters = word_scores(normal_words(distinct).to_pylist(), model)
             spoken = letters[index] > 0

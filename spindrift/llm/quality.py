@@ -26,6 +26,8 @@ from . import common
 TRAIN_ROWS = 4000
 #: Hashed features, and iterations of both fits.
 BUCKETS, EM_ROUNDS, FIT_ROUNDS = 1 << 14, 60, 150
+#: Words that a Python worker keeps with their features, and bytes of text that it handles at a time.
+CACHE, SLICE = 150_000, 2 << 20
 #: A document is rejected when its score, the probability of being good, is lower.
 THRESHOLD = 0.3
 #: Prior accuracy of a labeller, as pseudo-counts (right, wrong).
@@ -167,7 +169,7 @@ _shapes: dict[str, tuple[int, int]] = {}
 
 def buckets_of(words: list[str]) -> np.ndarray:
     """(word, 2): hashed shape and hashed lower-case form of every word."""
-    if len(_shapes) > 400_000:
+    if len(_shapes) > CACHE:
         _shapes.clear()
     out = []
     for w in words:
@@ -215,7 +217,7 @@ def count_patterns(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
 
     def run(batches):
         sums: dict[bytes, int] = {}
-        for batch in common.sliced(batches, "text"):
+        for batch in common.sliced(batches, "text", SLICE):
             got, many = np.unique(votes(stats_of_slice(batch.column("text"))), axis=0, return_counts=True)
             for p, n in zip(got.astype(np.int8), many.tolist(), strict=True):
                 sums[p.tobytes()] = sums.get(p.tobytes(), 0) + n
@@ -232,7 +234,7 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows:
     model = fit_labels(*count_patterns(docs, text_col))
 
     def run(batches):
-        for batch in common.sliced(batches, "text"):
+        for batch in common.sliced(batches, "text", SLICE):
             stats = stats_of_slice(batch.column("text"))
             post = model.posterior(votes(stats))
             word = buckets_of(stats["distinct"].to_pylist())[stats["index"]]
@@ -289,7 +291,7 @@ def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: tuple[
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # BUCKETS floats, whatever the data
 
     def run(batches):
-        for batch in common.sliced(batches, "__text"):
+        for batch in common.sliced(batches, "__text", SLICE):
             got = shared.value.score(stats_of_slice(batch.column("__text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(got, pa.float64())], names=schema.names)
 
