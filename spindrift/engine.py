@@ -27,6 +27,7 @@ class Capture:
     steps: DataFrame | None = None
     step_source: str = "window"
     artifacts: DataFrame | None = None
+    block: DataFrame | None = None
 
 
 class Engine:
@@ -89,7 +90,12 @@ class Engine:
         return P.choose_steps(sources)
 
     def indicators(self, capture: Capture) -> DataFrame:
-        """Indicator rows of the whole capture and of each known phase."""
+        """Indicator rows of the whole capture and of each known phase; computed once for each capture."""
+        if capture.block is None:
+            capture.block = self._indicators(capture)
+        return capture.block
+
+    def _indicators(self, capture: Capture) -> DataFrame:
         labelled = P.labelled(capture.steps.withColumn("wall_us", F.expr("we - ws")), "wall_us").cache()
         n = labelled.groupBy("phase").agg(F.min("ws").alias("ws"), F.max("we").alias("we"), F.count("*").cast("int").alias("steps")).where("phase <> 'unknown'")
         whole = D.window_of(capture.events).join(F.broadcast(capture.steps.agg(F.count("*").cast("int").alias("steps")))).selectExpr("'overall' as scope", "'overall' as phase", "ws", "we", "steps")
