@@ -25,7 +25,9 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 #: Distinct pre-tokens that a Python worker keeps with their ids; beyond that it begins anew, with the same results.
-CACHE = 400_000
+CACHE = 250_000
+#: Bytes of text encoded at a time.
+SLICE = 2 << 20
 #: ASCII marks that a tokenizer of this kind separates from a letter or digit before them (the apostrophe is not one).
 MARKS = '.,;:!?*$&#%|"()[]{}<>=/\\@^_`~+-'
 
@@ -46,7 +48,10 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = ordinary_specials
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(words.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     @staticmethod
     def pieces(chunk: str) -> tuple[str, ...]:
@@ -55,21 +60,39 @@ class WordEncoder:
             chunk = chunk.lower()
         if chunk and chunk[-1] in MARKS and "<|" not in chunk:
             stem = chunk.rstrip(MARKS)
-            if stem and (stem[-1].isascii() and stem[-1].isalnum() or "ß" <= stem[-1] <= "ɏ" and stem[-1] != "÷"):
+            if stem and (stem[-1].isascii() and stem[-1].isalnum() or "ß" <= stem[-1] <= "ɏ" and stem[-1].lower().isalpha()):
                 return stem, chunk[len(stem) :]
         return (chunk,)
 
+    def _encode_each(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 1000):
+            own = parts[at : at + 1000]
+            for word, got in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
+                self.cache[word] = np.array(got.ids, np.int32).tobytes()
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters, in one text: each should be one pre-token, so that the ends of pre-tokens are those of the words."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
+        stops = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(stops) != len(words):  # some letter isn't one any more in lower case
+            self._encode_each(words)
+            return
+        raw, start = ids.tobytes(), 0
+        for word, stop in zip(words, stops, strict=True):
+            self.cache[word] = raw[4 * start : 4 * stop]
+            start = stop
+
     def encode_all(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in order, number of ids of each)."""
         cut = list(map(self.pieces, chunks))
         if len(self.cache) > CACHE:
             self.cache = {}
         cache = self.cache
-        new = list({p for c in cut for p in c}.difference(cache))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[word] = np.array(got.ids, np.int32).tobytes()
+        new = {p for c in cut for p in c}.difference(cache)
+        letters = [p for p in new if p.isalpha()]
+        for at in range(0, len(letters), 1000):
+            self._encode_words(letters[at : at + 1000])
+        self._encode_each([p for p in new if not p.isalpha()])
         coded = [cache[c[0]] if len(c) == 1 else cache[c[0]] + cache[c[1]] for c in cut]
         return np.frombuffer(b"".join(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
 
@@ -108,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     def run(batches):
         part, start = TaskContext.get().partitionId(), 0
         codec = encoder(tokenizer)
-        for batch in common.sliced(batches, "__text"):
+        for batch in common.sliced(batches, "__text", SLICE):
             flat, ends = codec.encode_column(batch.column("__text"), end_id)
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
