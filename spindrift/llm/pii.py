@@ -40,7 +40,7 @@ GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}+){1,4}+",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20./-]{1,2}[0-9]{4}){2,3}(?:[\x20./-]{1,2}[0-9]{1,4})?(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?<!\+[0-9]{1,3}[\x20().-]{1,2})\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9A-Za-z])",
 }
 GENERATOR_NEEDS = {"email": "{t} rlike '(?:\\\\(at\\\\)|\\\\[at\\\\]|\\\\x20at\\\\x20)'", "ip": "contains({t}, ':')", "card": "{t} rlike '[0-9]{4}'", "phone": "{t} rlike '[0-9]{3}'"}
 CONTEXT = 32
