@@ -41,8 +41,7 @@ def weights_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 def blocks(weights: DataFrame) -> DataFrame:
     """Forward index: one row for each block, in id order, with its summary; vectors of different lengths never share a block."""
-    spark = weights.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-weights.count() // (BLOCK * RANGE)))  # full blocks, whatever the cluster's settings
     ranged = weights.withColumn("dim", F.size("w")).repartitionByRange(parts, "dim", "vec_id").sortWithinPartitions("dim", "vec_id")
 
     def run(batches):
