@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,15 @@ from spindrift.operators import view as V
 from spindrift.sources import csv_tables, records, sniff, trace_json
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the folder of ``spark.checkpoint.dir``: parsed once, with a short plan for all that follows."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "spindrift-captures")
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Capture:
     """A data set: events with whole-microsecond times, table rows by kind, where steps came from, what files there were."""
@@ -71,9 +82,9 @@ class Engine:
         for more in parts[1:]:
             events = events.unionByName(more, allowMissingColumns=True)
         events = D.rebased(events).withColumn("ts", F.col("rel")).withColumn("te", F.expr("ts + dur")).drop("rel", "offset")
-        capture = Capture(label or path.rstrip("/").rsplit("/", 1)[-1], events.cache(), tables, artifacts=found)
+        capture = Capture(label or path.rstrip("/").rsplit("/", 1)[-1], kept(events, "capture-events"), tables, artifacts=found)
         capture.step_source, steps = self._steps(capture)
-        capture.steps = steps.cache()
+        capture.steps = kept(steps, "capture-steps")
         self.captures[capture.label] = capture
         return capture
 
@@ -96,7 +107,7 @@ class Engine:
         return capture.block
 
     def _indicators(self, capture: Capture) -> DataFrame:
-        labelled = P.labelled(capture.steps.withColumn("wall_us", F.expr("we - ws")), "wall_us").cache()
+        labelled = P.labelled(capture.steps.withColumn("wall_us", F.expr("we - ws")), "wall_us")
         n = labelled.groupBy("phase").agg(F.min("ws").alias("ws"), F.max("we").alias("we"), F.count("*").cast("int").alias("steps")).where("phase <> 'unknown'")
         whole = D.window_of(capture.events).join(F.broadcast(capture.steps.agg(F.count("*").cast("int").alias("steps")))).selectExpr("'overall' as scope", "'overall' as phase", "ws", "we", "steps")
         scopes = whole.unionByName(n.selectExpr("phase as scope", "phase", "ws", "we", "steps"))

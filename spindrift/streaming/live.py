@@ -29,10 +29,10 @@ def windowed_categories(events: DataFrame, ts: str = "ts", width: str = "1 hour"
     return out.select(F.expr("unix_micros(w.start)").alias("ws"), "device", "category", "n", "total_us")
 
 
-def pair_ends(marks: DataFrame, idle: str = "PT1H") -> DataFrame:
+def pair_ends(marks: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """(key, ts, dur): ends of open begins, by ``key`` with columns ``ph`` (B or E), ``ts`` and ``seq``; the latest begin counts.
 
-    The state of a key is one open begin; keys without news for an hour are forgotten.
+    The state of a key is one open begin; one that the watermark has left behind by ``idle_ms`` is forgotten.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,7 +53,8 @@ def pair_ends(marks: DataFrame, idle: str = "PT1H") -> DataFrame:
                 state.remove()
         else:
             state.update((begun,))
-            state.setTimeoutDuration(3_600_000)
+            state.setTimeoutTimestamp(max(begun // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(rows, columns=["key", "ts", "dur"])
 
-    return marks.groupBy("key").applyInPandasWithState(run, "key string, ts long, dur long", "begun long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = marks.withColumn("t", F.expr("timestamp_micros(ts)")).withWatermark("t", "10 minutes")
+    return timed.groupBy("key").applyInPandasWithState(run, "key string, ts long, dur long", "begun long", "append", GroupStateTimeout.EventTimeTimeout)

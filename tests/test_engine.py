@@ -16,7 +16,7 @@ from spindrift.operators import view as V
 from spindrift.streaming import live
 
 #: steps, kernel length, communication length, host operators in a step, their length, pause of the device in a step
-SCENARIOS = {"compute": (8, 900, 20, 20, 5, 0), "comm": (12, 60, 200, 20, 5, 0), "host": (12, 60, 10, 400, 12, 4000)}
+SCENARIOS = {"compute": (8, 900, 20, 20, 5, 0), "comm": (12, 60, 200, 20, 5, 0), "host": (8, 60, 10, 300, 14, 4000)}
 
 
 def write(folder, name, seed=1):
