@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 from spindrift.plans import catalog
@@ -22,7 +23,7 @@ def duck():
 def cells(frame):
     """Rows as text, columns by name, in any order."""
     frame = frame[sorted(frame.columns)].astype(object)
-    text = lambda v: "null" if v is None or v != v else str(v) if isinstance(v, (bool, str)) else f"{float(v):.9g}" if hasattr(v, "__float__") else str(v)
+    text = lambda v: "null" if pd.api.types.is_scalar(v) and pd.isna(v) else str(v) if isinstance(v, (bool, str)) else f"{float(v):.9g}" if hasattr(v, "__float__") else str(v)
     return sorted(tuple(text(v) for v in r) for r in frame.itertuples(index=False))
 
 
