@@ -22,11 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one of our own only where that is unset (tests, local mode)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a local one in local mode (tests), else one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
+    if not found and spark.sparkContext.master.startswith("local"):
         found = "file://" + os.path.join(tempfile.gettempdir(), "spindrift-tables")
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/spindrift-tables").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
