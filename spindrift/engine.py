@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift import report
+from spindrift.functions.tables import kept
 from spindrift.operators import analysis as A
 from spindrift.operators import dataset as D
 from spindrift.operators import phases as P
@@ -19,15 +18,6 @@ from spindrift.operators import view as V
 from spindrift.sources import csv_tables, records, sniff, trace_json
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir``: parsed once, with a short plan for all that follows."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "spindrift-captures")
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Capture:
     """A data set: events with whole-microsecond times, table rows by kind, where steps came from, what files there were."""

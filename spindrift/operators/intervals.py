@@ -3,7 +3,8 @@
 A running maximum over all intervals in order would be one task. Instead the time axis is cut into ``buckets`` equal parts: an
 interval is clipped to each part that it touches, every part is solved on its own, lengths add up exactly, and islands that touch
 an edge are joined across it (at most two for each part and key, whatever the number of intervals).
-Times are whole numbers (microseconds). Intervals with an end before their start, or nulls, are ignored.
+Other ordered passes (next, last before, running sums) work alike: each part in its own task, then one row a part, in order,
+carries what the parts before it hand on. Times are whole numbers (microseconds). Intervals with an end before their start, or nulls, are ignored.
 """
 
 from __future__ import annotations
@@ -11,12 +12,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Parts of the time axis, at least; a session with more shuffle partitions gets as many parts.
 BUCKETS = 64
 
 
-def _clipped(df: DataFrame, keys: list[str], start: str, end: str, buckets: int, extra: list[str] | None = None) -> DataFrame:
+def parts_of(df: DataFrame, buckets: int | None) -> int:
+    """Number of parts: the one asked for, else by the session."""
+    return buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def in_parts(df: DataFrame, at: str, span: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``__part``, the part of the axis of ``at`` that a row stands in; ``span`` is one row (__a, __b), its ends."""
+    n = parts_of(df, buckets)
+    part = f"cast(floor(cast(`{at}` - __a as double) / cast(greatest(1, __b - __a + 1) as double) * {n}) as int) as __part"
+    return df.join(F.broadcast(span)).selectExpr(*(f"`{c}`" for c in df.columns), part)
+
+
+def with_earlier(rows: DataFrame, one: str, carry: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """``rows`` (with ``__part``) and ``name``: what the parts before a row's own hand on.
+
+    ``one`` aggregates a part to ``__v``, ``carry`` folds the ``__v`` of all earlier parts: one row for each part and key.
+    """
+    keys = keys or []
+    own = rows.groupBy(*keys, "__part").agg(F.expr(one).alias("__v"))
+    by = f"partition by {', '.join(f'`{k}`' for k in keys)} " if keys else ""
+    own = own.selectExpr(*(f"`{k}` as `__q_{k}`" for k in keys), "__part as __q", f"{carry} over ({by}order by __part rows between unbounded preceding and 1 preceding) as `{name}`")
+    on = rows["__part"].eqNullSafe(own["__q"])
+    for k in keys:
+        on = on & rows[k].eqNullSafe(own[f"__q_{k}"])
+    return rows.join(own if keys else F.broadcast(own), on).drop("__q", *(f"__q_{k}" for k in keys))  # without keys: a row for each part
+
+
+def _clipped(df: DataFrame, keys: list[str], start: str, end: str, buckets: int | None, extra: list[str] | None = None) -> DataFrame:
     """keys, extra, part, s, e, lo, hi: each interval clipped to each part [lo, hi) of the axis that it touches."""
-    extra = extra or []
+    extra, buckets = extra or [], parts_of(df, buckets)
     src = df.where(f"`{end}` >= `{start}`").selectExpr(*(f"`{k}`" for k in [*keys, *extra]), f"cast(`{start}` as bigint) as s", f"cast(`{end}` as bigint) as e")
     span = src.agg(F.min("s").alias("__a"), F.max("e").alias("__b")).withColumn("__w", F.expr(f"greatest(1, cast(ceil((__b - __a + 1) / {buckets}) as bigint))"))
     cut = src.join(F.broadcast(span))  # one row
@@ -25,7 +54,7 @@ def _clipped(df: DataFrame, keys: list[str], start: str, end: str, buckets: int,
     return cut.selectExpr(*(f"`{k}`" for k in [*keys, *extra]), "part", "greatest(s, lo) as s", "least(e, hi) as e", "lo", "hi")
 
 
-def islands(df: DataFrame, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int = BUCKETS) -> DataFrame:
+def islands(df: DataFrame, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
     """(keys, start, end, n): maximal merged intervals; touching ones merge. ``n`` counts clipped pieces in it."""
     keys = keys or []
     by = ", ".join(f"`{k}`" for k in [*keys, "part"])
@@ -41,7 +70,7 @@ def islands(df: DataFrame, keys: list[str] | None = None, start: str = "start",
     return inner.unionByName(joined)
 
 
-def union_length(df: DataFrame, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int = BUCKETS) -> DataFrame:
+def union_length(df: DataFrame, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
     """(keys, length): length of the union of the intervals."""
     found = islands(df, keys, start, end, buckets)
     return found.groupBy(*(keys or [])).agg(F.coalesce(F.sum(F.expr("`end` - `start`")), F.lit(0)).cast("long").alias("length"))
@@ -57,7 +86,7 @@ def session_islands(df: DataFrame, keys: list[str], ts: str, dur: str) -> DataFr
     return out.selectExpr(*(f"`{k}`" for k in keys), "unix_micros(w.start) as start", "unix_micros(w.end) as end")
 
 
-def sweep(df: DataFrame, side: str, left: str, right: str, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int = BUCKETS) -> DataFrame:
+def sweep(df: DataFrame, side: str, left: str, right: str, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
     """(keys, left_us, right_us, both_us, left_only_us, right_only_us): one pass over the ends of two sets of intervals."""
     keys = keys or []
     cut = _clipped(df.where(F.col(side).isin(left, right)), keys, start, end, buckets, [side]).where("e > s")
@@ -69,28 +98,41 @@ def sweep(df: DataFrame, side: str, left: str, right: str, keys: list[str] | Non
     return run.groupBy(*keys).agg(total("l > 0").alias("left_us"), total("r > 0").alias("right_us"), total("l > 0 and r > 0").alias("both_us"), total("l > 0 and r = 0").alias("left_only_us"), total("r > 0 and l = 0").alias("right_only_us"))
 
 
-def gaps(busy: DataFrame, window: DataFrame, least: int = 0, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int = BUCKETS) -> DataFrame:
+def gaps(busy: DataFrame, window: DataFrame, least: int = 0, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
     """(keys, start, end, dur): idle spans of ``window(keys, ws, we)`` longer than ``least``; without busy intervals the whole window.
 
-    Islands are already few when they come here; each key's gaps are found in order of time.
+    Neighbours are found inside each part of the axis; what remains, between parts, are two rows for each part and key.
     """
     keys = keys or []
+    named = [f"`{k}`" for k in keys]
     merged = islands(busy, keys, start, end, buckets).select(*keys, "start", "end")
-    edges = window.selectExpr(*(f"`{k}`" for k in keys), "ws as start", "ws as end").unionByName(window.selectExpr(*(f"`{k}`" for k in keys), "we as start", "we as end"))
-    over = f"over (partition by {', '.join(f'`{k}`' for k in keys)} order by start, end)" if keys else "over (order by start, end)"
-    found = merged.unionByName(edges).selectExpr(*(f"`{k}`" for k in keys), "end as s", f"lead(start) {over} as e")
-    return found.where(f"e - s > {least}").selectExpr(*(f"`{k}`" for k in keys), "s as start", "e as end", "e - s as dur")
+    edges = window.selectExpr(*named, "ws as start", "ws as end").unionByName(window.selectExpr(*named, "we as start", "we as end"))
+    rows = in_parts(merged.unionByName(edges), "start", window.agg(F.min("ws").alias("__a"), F.max("we").alias("__b")), buckets)
+    over = f"over (partition by {', '.join([*named, '__part'])} order by start, end)"
+    run = rows.selectExpr(*named, "__part", "start", "end", f"lead(start) {over} as __n", f"row_number() {over} as __r")
+    inner = run.where("__n is not null").selectExpr(*named, "end as s", "__n as e")
+    ends = run.where("__n is null or __r = 1").groupBy(*keys, "__part").agg(F.min("start").alias("first"), F.expr("max_by(`end`, struct(start, `end`))").alias("last"))
+    across = ends.selectExpr(*named, "last as s", f"lead(first) over ({f'partition by {", ".join(named)} ' if keys else ''}order by __part) as e")
+    found = inner.unionByName(across)
+    return found.where(f"e - s > {least}").selectExpr(*named, "s as start", "e as end", "e - s as dur")
 
 
-def as_of(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value: str, keys: list[str] | None = None) -> DataFrame:
-    """``left`` with the ``value`` of the last ``right`` row at or before ``left_ts`` (per key): union, then one ordered pass."""
+def as_of(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value: str, keys: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """``left`` with the ``value`` of the last ``right`` row at or before ``left_ts`` (per key): union, then one ordered pass.
+
+    Of values at one time the largest counts. Null times match nothing; null values are passed over.
+    """
     keys = keys or []
     names = left.columns
+    right = right.where(F.col(right_ts).isNotNull() & F.col(value).isNotNull())
     a = left.select(*(F.col(c) for c in names), F.col(left_ts).alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     b = right.select(*(F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names), F.col(right_ts).alias("__t"), F.lit(0).alias("__k"), F.col(value).alias("__v"))
-    by = f"partition by {', '.join(f'`{k}`' for k in keys)} " if keys else ""
-    both = a.unionByName(b).selectExpr("*", f"last_value(__v) ignore nulls over ({by}order by __t, __k rows unbounded preceding) as `{value}_asof`")
-    return both.where("__k = 1").select(*names, f"{value}_asof")
+    times = left.select(F.col(left_ts).alias("t")).unionByName(right.select(F.col(right_ts).alias("t")))
+    rows = in_parts(a.unionByName(b).withColumnRenamed("__v", "__w"), "__t", times.agg(F.min("t").alias("__a"), F.max("t").alias("__b")), buckets)
+    by = ", ".join([*(f"`{k}`" for k in keys), "__part"])
+    both = rows.selectExpr("*", f"last_value(__w) ignore nulls over (partition by {by} order by __t, __k, __w rows unbounded preceding) as __own")
+    both = with_earlier(both, "max_by(__w, case when __w is not null then struct(__t, __w) end)", "last_value(__v) ignore nulls", "__earlier", keys)
+    return both.where("__k = 1").selectExpr(*(f"`{c}`" for c in names), f"case when __t is not null then coalesce(__own, __earlier) end as `{value}_asof`")
 
 
 def contained(events: DataFrame, steps: DataFrame, ts: str = "start", width: int = 1 << 36) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import scalars as S
+from spindrift.functions.tables import kept
 from spindrift.operators import intervals as I  # noqa: E741
 from spindrift.plans import rules
 
@@ -33,26 +34,36 @@ def engine_steps(events: DataFrame, pattern: str = rules.ENGINE_STEPS, least: in
     """(name, ws, we): outermost runs of the host operator that marks engine steps.
 
     The operator is the most frequent match (then the one with most time, then by name) with at least ``least`` runs; runs inside an
-    earlier one don't count.
+    earlier one don't count. The operator's runs are written as a table first, as they are read more than once.
     """
     host = events.where((F.col("device") == "host") & F.col("name").rlike("(?i)" + pattern))
     best = host.groupBy("name").agg(F.count("*").alias("n"), F.sum("dur").alias("t")).where(f"n >= {least}").orderBy(F.desc("n"), F.desc("t"), "name").limit(1).select(F.col("name").alias("__n"))
     own = host.join(F.broadcast(best), host["name"] == best["__n"], "left_semi")
-    top = own.selectExpr("name", "ts as ws", "te as we", "max(te) over (order by ts, te desc, idx rows between unbounded preceding and 1 preceding) as m")
+    own = kept(own.select("name", "ts", "te", "idx"), "engine-runs")
+    rows = I.in_parts(own, "ts", own.agg(F.min("ts").alias("__a"), F.max("ts").alias("__b")))
+    top = rows.selectExpr("*", "max(te) over (partition by __part order by ts, te desc, idx rows between unbounded preceding and 1 preceding) as m")
+    top = I.with_earlier(top, "max(te)", "max(__v)", "before").selectExpr("name", "ts as ws", "te as we", "greatest(m, before) as m")
     return top.where("m is null or ws >= m").select("name", "ws", "we")
 
 
 def gap_segments(events: DataFrame, least: int = 200, factor: int = 4) -> DataFrame:
     """(segment, ws, we, n): runs of events without a long pause; long: over ``factor`` times the upper-median gap and over ``least``.
 
-    Works on islands: a pause between events is a pause between merged intervals.
+    Works on islands: a pause between events is a pause between merged intervals. The median is exact: classes of gaps two per
+    cent wide are counted first, then the values of the one class that holds it. The islands are written as a table first, as they are read more than once.
     """
-    merged = I.islands(events, [], "ts", "te")
-    pauses = merged.selectExpr("start", "`end`", "n", "start - lag(`end`) over (order by start) as gap")
-    middle = pauses.where("gap > 0").agg(F.expr("percentile_disc(0.5) within group (order by gap)").alias("m"), F.count("*").alias("c"), F.sort_array(F.collect_list("gap")).alias("g")).selectExpr("coalesce(get(g, cast(c div 2 as int)), 0) as m")
-    limit = middle.selectExpr(f"greatest({least}, {factor} * m) as lim")
-    cut = pauses.join(F.broadcast(limit)).selectExpr("*", "sum(case when gap > lim then 1 else 0 end) over (order by start rows unbounded preceding) as segment")
-    return cut.groupBy(F.col("segment").cast("int").alias("segment")).agg(F.min("start").alias("ws"), F.max("end").alias("we"))
+    merged = kept(I.islands(events, [], "ts", "te").select("start", "end"), "islands")
+    merged = I.in_parts(merged, "start", merged.agg(F.min("start").alias("__a"), F.max("start").alias("__b")))
+    pauses = merged.selectExpr("*", "lag(`end`) over (partition by __part order by start) as p")
+    pauses = I.with_earlier(pauses, "max(`end`)", "max(__v)", "before").selectExpr("__part", "start", "`end`", "start - coalesce(p, before) as gap")
+    long = pauses.where("gap > 0").selectExpr("gap", "cast(floor(log2(gap) * 32) as int) as class")
+    classes = long.groupBy("class").agg(F.count("*").alias("c")).selectExpr("class", "c", "sum(c) over (order by class) - c as below", "sum(c) over () div 2 as place")  # 2048 rows at most
+    values = long.join(F.broadcast(classes.where("below <= place and place < below + c")), "class").groupBy("gap", "below", "place").agg(F.count("*").alias("n"))
+    middle = values.selectExpr("gap", "place", "below + sum(n) over (order by gap) as upto").where("upto > place").agg(F.min("gap").alias("m"))
+    pauses = pauses.join(F.broadcast(middle)).selectExpr("__part", "start", "`end`", f"cast(coalesce(gap > greatest({least}, {factor} * coalesce(m, 0)), false) as int) as cut")
+    run = pauses.selectExpr("*", "sum(cut) over (partition by __part order by start rows unbounded preceding) as own")
+    cut = I.with_earlier(run, "sum(cut)", "sum(__v)", "before").selectExpr("cast(own + coalesce(before, 0) as int) as segment", "start", "`end`")
+    return cut.groupBy("segment").agg(F.min("start").alias("ws"), F.max("end").alias("we"))
 
 
 def two_means(values: DataFrame, value: str, rounds: int = 64, least: float = 0.35) -> DataFrame:

@@ -48,7 +48,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step table, one row for each month: step (from 0), computing, comm, free in hundredths."""
     src = table(spark, sf_dir, "orders").selectExpr("year(o_orderdate) * 12 + month(o_orderdate) - 1 as m", "o_orderstatus as s", "cast(round(o_totalprice * 100) as bigint) as v")
     out = src.groupBy("m").agg(*(F_sum(code).alias(name) for code, name in (("F", "computing"), ("O", "comm"), ("P", "free"))))
-    return out.selectExpr("cast(m as int) as month", "row_number() over (order by m) - 1 as step", "computing", "comm", "free")  # months only
+    return out.selectExpr("cast(m as int) as month", "cast(row_number() over (order by m) - 1 as bigint) as step", "computing", "comm", "free")  # months only
 
 
 def F_sum(code: str):

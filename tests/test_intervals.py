@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import dataset as D
 from spindrift.operators import intervals as I  # noqa: E741
+from spindrift.operators import phases as P
 
 SCHEMA = "k int, side string, ts long, te long"
 
@@ -55,6 +56,53 @@ def test_gaps(spark):
     assert [(r["start"], r["end"]) for r in I.gaps(df.limit(0), w, 5, [], "ts", "te").collect()] == [(0, 150)]
 
 
+@pytest.mark.parametrize("buckets", [1, 5, 300])
+def test_gaps_in_any_parts(spark, buckets):
+    rows = make(12, 40)
+    w = spark.createDataFrame([(0, -50, 2100), (1, -10, 2500)], "k int, ws long, we long")
+    got = I.gaps(spark.createDataFrame(rows, SCHEMA), w, 10, ["k"], "ts", "te", buckets).collect()
+    want = set()
+    for k, lo, hi in ((0, -50, 2100), (1, -10, 2500)):
+        ends = [(lo, lo), *merged([(s, e) for kk, _, s, e in rows if kk == k]), (hi, hi)]
+        want |= {(k, a[1], b[0]) for a, b in zip(ends, ends[1:], strict=False) if b[0] - a[1] > 10}
+    assert {(r["k"], r["start"], r["end"]) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("buckets,keys", [(1, []), (7, []), (300, []), (7, ["k"])])
+def test_as_of_in_any_parts(spark, buckets, keys):
+    r = random.Random(3)
+    left = [(i, r.choice([0, 1, None]), r.choice([None, r.randrange(500)])) for i in range(80)]
+    right = [(r.choice([0, 1, None]), r.choice([None, r.randrange(500)]), r.choice([None, r.randrange(9)])) for _ in range(25)]
+    got = I.as_of(spark.createDataFrame(left, "id int, k int, t long"), spark.createDataFrame(right, "k int, u long, v int"), "t", "u", "v", keys, buckets).collect()
+    for row in got:
+        before = [(u, v) for k, u, v in right if u is not None and v is not None and row["t"] is not None and u <= row["t"] and (not keys or k == row["k"])]
+        assert row["v_asof"] == (max(before)[1] if before else None)
+    assert len(got) == 80
+
+
+def test_segments_and_outermost_runs(spark):
+    rows, t, r = [], 0, random.Random(8)
+    for i in range(200):
+        t += 5000 if i % 40 == 39 else r.randrange(1, 30)
+        rows.append((i, "host", "engine_step", t, t + 10 + 60 * (i % 7 == 0), 10 + 60 * (i % 7 == 0)))
+    ev = spark.createDataFrame(rows, "idx long, device string, name string, ts long, te long, dur long")
+    ends = merged([(x[3], x[4]) for x in rows])
+    gaps = sorted(b[0] - a[1] for a, b in zip(ends, ends[1:], strict=False))
+    limit, want = max(200, 4 * gaps[len(gaps) // 2]), [list(ends[0])]
+    for s, e in ends[1:]:
+        if s - want[-1][1] > limit:
+            want.append([s, e])
+        want[-1][1] = e
+    assert [[x["ws"], x["we"]] for x in P.gap_segments(ev).orderBy("segment").collect()] == want
+    assert P.gap_segments(ev.limit(0)).count() == 0
+    top, most = [], None
+    for s, e in sorted(((x[3], x[4]) for x in rows), key=lambda x: (x[0], -x[1])):
+        if most is None or s >= most:
+            top.append((s, e))
+        most = e if most is None else max(most, e)
+    assert sorted((x["ws"], x["we"]) for x in P.engine_steps(ev, "engine").collect()) == top
+
+
 def test_laws(spark):
     df = spark.createDataFrame(make(9), SCHEMA)
     union = I.union_length(df, ["side"], "ts", "te").agg(F.sum("length")).first()[0]
