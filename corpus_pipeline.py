@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import common, langid, packing, pii, quality, simhash
+from spindrift.llm import common, langid, packing, pii, quality, shingles
 
 #: A document is rejected if less than this share of its letters stands in spans of its language.
 LANGUAGE_SHARE = 0.5
@@ -32,8 +32,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near duplicates (five-word shingles, Jaccard similarity 0.8 or more): the one with the smallest id."""
+    return shingles.deduplicated(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality classifier", quality_stage),
     ("language ID", language_stage),
-    ("SimHash near-dedup", near_duplicate_stage),
+    ("shingle near-dedup", near_duplicate_stage),
     ("PII", personal_data_stage),
     ("packing", packing_stage),
 ]
 
-#: The hashed scorer, the language model and the fingerprints are beyond SQL; tests hold the stages against brute force.
+#: The hashed scorer, the language model and the shingle sets are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -173,15 +173,15 @@ def links(codes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     return spread.mapInArrow(lambda it: _link(it, masks, distance), "a long, b long")
 
 
-def near_duplicates(fps: DataFrame, distance: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """Component of every fingerprint of ``fps(id_col, fp)``: (fp, component_id, rep_fp).
+def near_duplicates(fps: DataFrame, distance: int = 4, id_col: str = "doc_id", edges: DataFrame | None = None) -> DataFrame:
+    """Component of every fingerprint of ``fps(id_col, fp)``: (fp, component_id, rep_fp); ``edges`` (a, b) replace the links by distance.
 
     ``component_id`` is the smallest id reachable over links between fingerprints at most ``distance`` bits apart, null
     only if no row of the component has an id; ``rep_fp`` is a fingerprint of that id. Repeated ids, ties and empty tables
     are fine: nodes are the fingerprints themselves, never the ids.
     """
     codes = common.written(fps.groupBy("fp").agg({id_col: "min"}).toDF("fp", "low"), "simhash-codes")
-    found = common.components(links(codes.select("fp"), distance), "simhash-links")
+    found = common.components(links(codes.select("fp"), distance) if edges is None else edges, "simhash-links")
     named = codes.join(found, codes["fp"] == found["node"], "left").selectExpr("fp", "low", "coalesce(root, fp) as root")
     pair, order = F.struct("low", "fp"), F.struct(F.col("low").isNull(), F.col("low"), F.col("fp"))
     best = named.groupBy("root").agg(F.min_by(pair, order).alias("best")).selectExpr("root", "best.low as component_id", "best.fp as rep_fp")
@@ -199,10 +199,14 @@ def deduplicated(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", tex
 
     Of several rows with that id and fingerprint (repeated rows) one stays. Columns are those of ``docs``.
     """
-    names = docs.columns
-    coded = fingerprints(docs, text_col, tuple(names), words_per_shingle, "__fp")
+    return one_of_each(fingerprints(docs, text_col, tuple(docs.columns), words_per_shingle, "__fp"), distance, id_col)
+
+
+def one_of_each(coded: DataFrame, distance: int = 4, id_col: str = "doc_id", edges: DataFrame | None = None) -> DataFrame:
+    """``deduplicated`` for documents with their fingerprint in the last column, ``__fp``; ``edges`` as in ``near_duplicates``."""
+    names = coded.columns[:-1]
     fps = common.written(coded.select(id_col, coded["__fp"].alias("fp")), "simhash-fps")
-    stay = near_duplicates(fps, distance, id_col).selectExpr("component_id as __id", "rep_fp as __rep").distinct()
+    stay = near_duplicates(fps, distance, id_col, edges).selectExpr("component_id as __id", "rep_fp as __rep").distinct()
     kept = coded.join(stay, coded[id_col].eqNullSafe(stay["__id"]) & (coded["__fp"] == stay["__rep"]), "left_semi")
     order = ", ".join(f"`{n}`" for n in names if n != id_col)
     kept = kept.selectExpr("*", f"row_number() over (partition by `{id_col}`, __fp order by {order or '__fp'}) as __n")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from spindrift.llm import common, simhash
+from spindrift.llm import common, shingles, simhash
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -34,3 +36,40 @@ def test_pipeline_of_nothing_and_of_hard_cases(spark):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             seen = common.written(stage(spark, seen, sf), f"test-hard-{k}")
         assert seen.count() <= start.count()
+
+
+def test_near_duplicate_stage_is_brute_force_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "ORDERS", shingles.ORDERS[:1])
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [None, "", " \n", "one two", "ONE  two", "one two three", "é ü 日本"]
+    for k in range(40):
+        base = [f"d{k}w{i}" for i in range(rng.choice([5, 9, 30, 60, 150]))] + passage * (k % 3 == 0)
+        texts.append(" ".join(base))
+        for _ in range(4):
+            new = list(base)
+            for _ in range(rng.randrange(5)):
+                new[rng.randrange(len(new))] = f"x{rng.random()}"
+            texts.append(" ".join(new[: rng.choice([len(new), len(new), len(new) * 9 // 10])]))
+    near = [f"n{i}" for i in range(120)]
+    for k in range(60):
+        texts.append(" ".join(near[:k] + [f"c{k}"] + near[k + 1 :]))
+    ids = rng.sample(range(1000), len(texts))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    close = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * both >= 4 * either:
+                close += both < either
+                old, new = sorted((root[i], root[j]), reverse=True)
+                root = [new if r == old else r for r in root]
+    want = {min(ids[i] for i in range(len(texts)) if root[i] == r) for r in set(root)}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    assert close > 100
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == sorted(want)
+    assert sorted(r["doc_id"] for r in shingles.deduplicated(docs, block=8).collect()) == sorted(want)
