@@ -2,11 +2,11 @@
 
 Strong patterns (assignments, access identifiers, long hex) are reported wherever they stand. Weak candidates are too common
 to report alone: user or client identifiers, bare 40-character keys and endpoints. An interval join links the parts of a
-credential within a scope (a paragraph): an identifier, a secret and an endpoint at most ``REACH`` characters apart. A weak
+credential within a scope (a paragraph): an identifier, a secret and an endpoint with at most ``REACH`` characters between the end of one and the start of the next. A weak
 candidate is reported only if a part of another role stands that near and one of the linked parts is a secret.
 
-The join is a sliding range over the parts of each document ordered by (scope, place), one pass in sorted order; it never
-builds pairs. Only the parts are shuffled, by (document, text), never the texts; a document's parts are bounded by its own text.
+The join is a running maximum of ends and one of starts from behind over the parts of each document ordered by (scope, place), a
+pass in each direction; it never builds pairs. Only the parts are shuffled, by (document, text), never the texts; a document's parts are bounded by its own text.
 """
 
 from __future__ import annotations
@@ -79,8 +79,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = parts.selectExpr("__id", "__h", "__g", "__n", "scopes", "posexplode_outer(parts) as (at, part)")
     # the scope of a part: how many scope ends stand before it
     rows = rows.selectExpr("__id", "__h", "__g", "__n", "at", "part", f"part.s + {SCOPE_WIDTH} * size(filter(scopes, x -> x < part.s)) as __at", f"get(array({', '.join(map(str, _ROLE_OF))}), part.k) as __role")
-    near = f"over (partition by __id, __h, __g, __n order by __at range between {REACH} preceding and {REACH} following)"
-    seen = rows.selectExpr("*", *(f"max(__role = {r}) {near} as __has{r}" for r in range(3)))
+    # nearest part of each role on both sides: the last end of those that start before, the first start of those after
+    rows = rows.selectExpr("*", "__at + part.e - part.s as __to")
+    doc = "partition by __id, __h, __g, __n order by __at"
+    before = rows.selectExpr("*", *(f"max(case when __role = {r} then __to end) over ({doc} range between unbounded preceding and current row) as __end{r}" for r in range(3)))
+    both = before.selectExpr("*", *(f"min(case when __role = {r} then __at end) over ({doc} desc range between unbounded preceding and current row) as __start{r}" for r in range(3)))
+    seen = both.selectExpr("*", *(f"(coalesce(__at - __end{r} <= {REACH}, false) or coalesce(__start{r} - __to <= {REACH}, false)) as __has{r}" for r in range(3)))
     others = "case __role when 0 then __has1 when 1 then __has0 or __has2 else __has1 end"
     told = seen.selectExpr("__id", "__h", "__g", "__n", "at", f"case when part.k < {len(BASE)} then part end as __base", f"case when part.k < {len(BASE)} or {others} then part end as __told")
     out = told.groupBy("__id", "__h", "__g", "__n").agg(*_collected())
