@@ -149,21 +149,48 @@ def read_records(spark: SparkSession, path: str, names: dict[str, int] | None =
     return _files(spark, path, glob).select("path", "content").mapInPandas(run, "path string, idx long, name string, start_us double, dur_us double, confidence string")
 
 
+def inflated(name: str, data: bytes) -> bytes:
+    """All members of a gzip, one after the other; ValueError if it is cut off, has other bytes at its end or is over ``MOST_BYTES``."""
+    out, size = [], 0
+    while data:
+        if data[:2] != b"\x1f\x8b":
+            raise ValueError(f"{name}: bytes after the gzip members")
+        one = zlib.decompressobj(31)
+        out.append(one.decompress(data, MOST_BYTES - size + 1))
+        size += len(out[-1])
+        if size > MOST_BYTES:
+            raise ValueError(f"{name}: over {MOST_BYTES} bytes when inflated")
+        if not one.eof:
+            raise ValueError(f"{name}: the gzip is cut off")
+        data = one.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def _within(name: str, n: int, sizes: Iterator[int]) -> None:
+    """ValueError if an archive of ``n`` members is over a limit."""
+    if n > MOST_MEMBERS or max(sizes, default=0) > MOST_BYTES:
+        raise ValueError(f"{name}: over {MOST_MEMBERS} members or a member over {MOST_BYTES} bytes")
+
+
 def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Files in a zip, tar, tar.gz or gz; anything else is itself. Limits count for each archive."""
+    """Files in a zip, tar, tar.gz or gz; anything else is itself. Limits count for each archive; ValueError where one is exceeded, so that no part is missing unseen."""
     if data[:4] == b"PK\x03\x04" or data[:4] == b"PK\x05\x06":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in [i for i in z.infolist() if not i.is_dir()][:MOST_MEMBERS]:
-                if info.file_size <= MOST_BYTES and info.compress_type in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-                    yield info.filename, z.read(info)
+            infos = [i for i in z.infolist() if not i.is_dir()]
+            _within(name, len(infos), (i.file_size for i in infos))
+            for info in infos:
+                if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                    raise ValueError(f"{name}: {info.filename} has another compression")
+                yield info.filename, z.read(info)
         return
     if data[:2] == b"\x1f\x8b":
-        data, name = zlib.decompressobj(31).decompress(data, MOST_BYTES), name.removesuffix(".gz").replace(".tgz", ".tar")
+        data, name = inflated(name, data), name.removesuffix(".gz").replace(".tgz", ".tar")
     if len(data) > 262 and data[257:262] == b"ustar":
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for n, info in enumerate(i for i in t if i.isfile()):
-                if n < MOST_MEMBERS and info.size <= MOST_BYTES:
-                    yield info.name, t.extractfile(info).read()
+            infos = [i for i in t if i.isfile()]
+            _within(name, len(infos), (i.size for i in infos))
+            for info in infos:
+                yield info.name, t.extractfile(info).read()
         return
     yield name, data
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import struct
@@ -120,6 +121,27 @@ def test_archives_and_side_cars(spark, tmp_path):
     assert zipfile.ZipFile(io.BytesIO(records.write_zip([("a.txt", b"hi")]))).read("a.txt") == b"hi"
 
 
+def test_archives_are_whole_or_an_error(monkeypatch):
+    one, two = gzip.compress(b"[1, " * 50), gzip.compress(b"2]")
+    assert list(records.members("t.json.gz", one + two + b"\0\0")) == [("t.json", b"[1, " * 50 + b"2]")]
+    z, t = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f, tarfile.open(fileobj=t, mode="w") as g:
+        for k in range(3):
+            f.writestr(f"{k}.csv", b"a" * 40)
+            info = tarfile.TarInfo(f"{k}.csv")
+            info.size = 40
+            g.addfile(info, io.BytesIO(b"a" * 40))
+    assert len(list(records.members("a.zip", z.getvalue()))) == len(list(records.members("a.tar", t.getvalue()))) == 3
+    with pytest.raises(ValueError):
+        list(records.members("cut.json.gz", one[:-9]))
+    for limit, most in (("MOST_MEMBERS", 2), ("MOST_BYTES", 39)):
+        with monkeypatch.context() as m:
+            m.setattr(records, limit, most)
+            for name, data in (("a.zip", z.getvalue()), ("a.tar", t.getvalue()), *([("t.json.gz", one)] if limit == "MOST_BYTES" else [])):
+                with pytest.raises(ValueError):
+                    list(records.members(name, data))
+
+
 def test_sniffing(spark):
     rows = [("x/trace_view.json", '[{"ph": "X"'), ("kernel_details.csv", "a,b,c"), ("p.db", ""), ("junk", "\x01"), ("t.txt", "id,name,value"), ("r.pb", "")]
     kinds = {r["name"]: r["kind"] for r in sniff.sniffed(spark.createDataFrame(rows, "name string, head string")).collect()}
