@@ -45,6 +45,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with ``__file`` and ``__pos``, which name a row: its file's hash and its place there.
+
+    A table that isn't read from files as it stands is written first, under ``label``.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs, label)
+    return docs.selectExpr("*", "xxhash64(_metadata.file_path) as __file", "_metadata.row_index as __pos")
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -52,6 +62,17 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_held: dict = {}
+
+
+def own(name: str, make):
+    """This Python worker's state of one operator, made by ``make`` at first; that of other operators goes, so that memory stays bounded."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def sliced(batches, column: str, limit: int = SLICE_BYTES):
     """Cut Arrow batches so that ``column`` (text) holds about ``limit`` bytes in each piece; one row at least."""
     for batch in batches:
@@ -68,13 +89,13 @@ def sliced(batches, column: str, limit: int = SLICE_BYTES):
             start = stop
 
 
-def text_chunks(column: pa.Array):
-    """Split texts at spaces, tabs and line ends: (offsets of each row's chunks, index of each chunk, distinct chunks).
+def text_chunks(column: pa.Array, blanks: str = "\n\t\r"):
+    """Split texts at spaces and ``blanks``: (offsets of each row's chunks, index of each chunk, distinct chunks).
 
     Null texts count as empty; empty chunks stay (index of ``""``), as callers give them no weight.
     """
     flat = column.fill_null("")
-    for c in "\n\t\r":
+    for c in blanks:
         if pc.any(pc.match_substring(flat, c)).as_py():
             flat = pc.replace_substring(flat, c, " ")
     parts = pc.split_pattern(flat, " ")
@@ -162,25 +183,38 @@ def grouped(batches, key: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def beside(rows: DataFrame, single: DataFrame, key: str, salts: int = 8, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``single``, which has one row for each ``key``; a key's rows are dealt over ``salts`` places.
+
+    So a key that a large part of the rows has isn't the work of one task, whatever its share. Null keys meet nothing.
+    """
+    own = [c for c in rows.columns if c != key]
+    salted = rows.withColumn("__salt", F.expr(f"cast(pmod(xxhash64({', '.join(f'`{c}`' for c in own) or '1'}), {salts}) as int)"))
+    spread = single.selectExpr("*", f"explode(sequence(0, {salts - 1})) as __salt")
+    return salted.join(spread, [key, "__salt"], how).drop("__salt")
+
+
 def blocked_groups(members: DataFrame, keys: list[str], order: str, cap: int) -> DataFrame:
-    """Spread the members of each key over block pairs of at most 2 * ``cap`` rows.
+    """Spread the members of each key over block pairs of about 2 * ``cap`` rows.
 
     Adds ``grp`` (one value for each key and block pair, to shuffle and sort by), ``blk`` (the row's own block) and
     ``lo``/``hi`` (the pair). Keys with one member go. A key with at most ``cap`` members is one pair (0, 0); larger ones
-    become B blocks and B * (B + 1) / 2 pairs, so that no task gets more than two blocks and no pair of rows is lost.
+    become B blocks and B * (B + 1) / 2 pairs, so that no task gets more than two blocks and no pair of rows is lost. Members are
+    counted by partial sums and dealt to blocks by the hash of ``order``; nothing passes a whole key through one task.
     """
-    by = ", ".join(keys)
-    spread = members.selectExpr("*", f"count(*) over (partition by {by}) as __n", f"row_number() over (partition by {by} order by {order}) - 1 as __r")
-    spread = spread.where("__n > 1").selectExpr("*", f"cast(__r div {cap} as int) as blk", f"cast((__n - 1) div {cap} as int) as __last")
-    spread = spread.selectExpr("*", "explode(sequence(0, __last)) as __other").selectExpr("*", "least(blk, __other) as lo", "greatest(blk, __other) as hi")
-    return spread.selectExpr("*", f"xxhash64({by}, lo, hi) as grp").drop("__n", "__r", "__last", "__other")
+    counts = members.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1")
+    small = members.join(counts, keys)
+    spread = small.selectExpr("*", f"cast((__n - 1) div {cap} as int) as __last")
+    spread = spread.selectExpr("*", f"cast(pmod(xxhash64({order}), __last + 1) as int) as blk", "explode(sequence(0, __last)) as __other")
+    spread = spread.selectExpr("*", "least(blk, __other) as lo", "greatest(blk, __other) as hi")
+    return spread.selectExpr("*", f"xxhash64({', '.join(keys)}, lo, hi) as grp").drop("__n", "__last", "__other")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, root), root = smallest node reachable; nodes without edges don't occur.
 
     Alternates large-star and small-star steps over written tables until nothing changes; all work is aggregation and
-    equi-joins, so no component is ever gathered in one place. Null ends and loops are ignored.
+    salted equi-joins, so no component, and no hub of one, is ever gathered in one place. Null ends and loops are ignored.
     """
     spark = edges.sparkSession
     cur = written(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct(), label)
@@ -192,10 +226,10 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         sign = (now["n"], now["x"])
         both = cur.unionByName(cur.selectExpr("v as u", "u as v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
-        large = both.where("v > u").join(low, "u").selectExpr("v as u", "m as v").where("u <> v").distinct()
+        large = beside(both.where("v > u"), low, "u").selectExpr("v as u", "m as v").where("u <> v").distinct()
         large = written(large, label)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(low.selectExpr("u", "m as v")).distinct()
+        small = beside(large, low, "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(low.selectExpr("u", "m as v")).distinct()
         old, cur = cur, written(small, label)
         dropped(spark, old)
         dropped(spark, large)

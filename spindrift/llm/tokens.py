@@ -10,11 +10,13 @@ start is that plus the totals of the files before, one small row for each file.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,28 +26,28 @@ from . import common
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
-#: Distinct pre-tokens that a Python worker keeps with their ids; beyond that it begins anew, with the same results.
-CACHE = 250_000
+#: Words that a Python worker keeps with their ids; beyond that it keeps those of its latest slice only, with the same results.
+CACHE = 400_000
 #: Bytes of text encoded at a time.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: ASCII marks that a tokenizer of this kind separates from a letter or digit before them (the apostrophe is not one).
 MARKS = '.,;:!?*$&#%|"()[]{}<>=/\\@^_`~+-'
-
-_workers: dict = {}
+#: Ends of words that marks are cut from, and those marks.
+CUTS, CUT_TAIL = r"[0-9A-Za-z\x{DF}-\x{F6}\x{F8}-\x{24F}]$", "(?P<t>[" + re.escape(MARKS) + "]+)$"
 
 
 class WordEncoder:
-    """The tokenizers library behind a cache of white-space separated chunks.
+    """The tokenizers library behind a cache of words.
 
-    These tokenizers drop white space and never join characters across it, so the ids of a text are those of its chunks
-    in order. A chunk ending in ASCII marks after a letter or digit is cut there too, which the pre-tokenizer does as well.
+    These tokenizers drop white space and never join characters across it, so the ids of a text are those of its white-space
+    separated chunks in order. A chunk ending in ASCII marks after a letter or digit is cut there too, which the pre-tokenizer does
+    as well. The strings of special tokens, which hold no white space, become their ids wherever they stand, as in a plain call.
     """
 
-    def __init__(self, path: str, ordinary_specials: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = ordinary_specials
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.cache: dict[str, bytes] = {}
@@ -53,17 +55,6 @@ class WordEncoder:
         self.last = np.zeros(max(words.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
-    @staticmethod
-    def pieces(chunk: str) -> tuple[str, ...]:
-        """Parts of a chunk that are encoded, and kept, separately."""
-        if chunk.isascii() and "<|" not in chunk:
-            chunk = chunk.lower()
-        if chunk and chunk[-1] in MARKS and "<|" not in chunk:
-            stem = chunk.rstrip(MARKS)
-            if stem and (stem[-1].isascii() and stem[-1].isalnum() or "ß" <= stem[-1] <= "ɏ" and stem[-1].lower().isalpha()):
-                return stem, chunk[len(stem) :]
-        return (chunk,)
-
     def _encode_each(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 1000):
             own = parts[at : at + 1000]
@@ -72,61 +63,69 @@ class WordEncoder:
 
     def _encode_words(self, words: list[str]) -> None:
         """Words of letters, in one text: each should be one pre-token, so that the ends of pre-tokens are those of the words."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
         stops = (np.flatnonzero(self.last[ids]) + 1).tolist()
         if len(stops) != len(words):  # some letter isn't one any more in lower case
             self._encode_each(words)
             return
-        raw, start = ids.tobytes(), 0
-        for word, stop in zip(words, stops, strict=True):
-            self.cache[word] = raw[4 * start : 4 * stop]
-            start = stop
-
-    def encode_all(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks in order, number of ids of each)."""
-        cut = list(map(self.pieces, chunks))
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cache = self.cache
-        new = {p for c in cut for p in c}.difference(cache)
+        raw = ids.tobytes()
+        self.cache.update(zip(words, [raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+
+    def encode_words(self, words: list[str]) -> pa.Array:
+        """Ids of each of some different words, as little-endian 32-bit integers."""
+        new = set(words).difference(self.cache)
         letters = [p for p in new if p.isalpha()]
         for at in range(0, len(letters), 1000):
             self._encode_words(letters[at : at + 1000])
         self._encode_each([p for p in new if not p.isalpha()])
-        coded = [cache[c[0]] if len(c) == 1 else cache[c[0]] + cache[c[1]] for c in cut]
-        return np.frombuffer(b"".join(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        coded = list(map(self.cache.__getitem__, words))
+        if len(self.cache) > CACHE:
+            self.cache = dict(zip(words, coded, strict=True))
+        return pa.array(coded, pa.binary())
+
+    def encode_chunks(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each chunk, as little-endian 32-bit integers: those of its word and of the marks behind it."""
+        stem = pc.utf8_rtrim(chunks, characters=MARKS)
+        special = pc.match_substring(chunks, "<|")
+        cut = pc.and_not(pc.match_substring_regex(stem, CUTS), special)
+        stem = pc.if_else(cut, stem, chunks)
+        tail = pc.if_else(cut, pc.fill_null(pc.struct_field(pc.extract_regex(chunks, CUT_TAIL), [0]), ""), "")
+        small = pc.and_not(pc.string_is_ascii(stem), special)
+        parts = [x.dictionary_encode() for x in (pc.if_else(small, pc.ascii_lower(stem), stem), tail)]
+        ids = [self.encode_words(x.dictionary.to_pylist()).take(x.indices) for x in parts]
+        return pc.binary_join_element_wise(*ids, b"")
 
     def encode_column(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets of each text) with ``end_id`` after each text."""
         offsets, index, distinct = common.text_chunks(texts)
-        ids, many = self.encode_all(distinct.to_pylist())
-        first = np.cumsum(many) - many
-        each = many[index]
-        flat = ids[common.ragged(first[index], each)]
-        ends = np.concatenate([[0], np.cumsum(each)])[offsets]
-        if end_id is not None:
-            flat = np.insert(flat, ends[1:], end_id)
-            ends = ends + np.arange(len(ends))
-        return flat, ends
+        coded = self.encode_chunks(distinct)
+        if end_id is not None:  # as a chunk of its own behind each text
+            index = np.insert(index, offsets[1:], len(coded))
+            offsets = offsets + np.arange(len(offsets))
+            coded = pa.concat_arrays([coded, pa.array([np.array([end_id], "<i4").tobytes()])])
+        taken = coded.take(pa.array(index))
+        ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)[offsets] // 4 if len(taken) else np.zeros(len(offsets), np.int64)
+        return np.frombuffer(taken.buffers()[2] or b"", "<i4", int(ends[-1])), ends.astype(np.int64)
 
 
 def encoder(path: str) -> WordEncoder:
     """This Python worker's encoder of a vocabulary file."""
-    if path not in _workers:
-        _workers[path] = WordEncoder(path)
-    return _workers[path]
+    return common.own(f"tokens {path}", lambda: WordEncoder(path))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> str:
     """Encode every text and write the token files below ``path``; returns ``path``.
 
-    Null texts are empty (only the end id). Null ids come first, as the smallest. Rows with the same id stay together in
-    one file, in no set order. Texts of any length work, one at a time if need be. An empty table gives a table without rows.
+    Null texts are empty (only the end id). Null ids come first, as the smallest. Rows with the same id follow each other in
+    input order, and may be cut between two files. Texts of any length work, one at a time if need be. An empty table gives a
+    table without rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # the row's place deals out ids that repeat (or are null) very often
+    ranged = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("__row"), docs[text_col].alias("__text"))
+    ranged = ranged.repartitionByRange(n, "doc_id", "__row").sortWithinPartitions("doc_id", "__row").drop("__row")
 
     def run(batches):
         part, start = TaskContext.get().partitionId(), 0
