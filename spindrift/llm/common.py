@@ -69,6 +69,7 @@ def own(name: str, make):
     """This Python worker's state of one operator, made by ``make`` at first; that of other operators goes, so that memory stays bounded."""
     if name not in _held:
         _held.clear()
+        pa.default_memory_pool().release_unused()
         _held[name] = make()
     return _held[name]
 
