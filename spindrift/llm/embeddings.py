@@ -1,20 +1,24 @@
 """Embedding near-duplicates by randomised-rotation binary codes.
 
 Each unit vector is padded with zeros to ``BITS`` dimensions and turned by one random rotation (the same everywhere, from a
-seed); the signs are its code, and the inner product of vector and code is stored as a correction factor. For a vector q and a
-code c with factor f, <rotated q, c> / f estimates the cosine without bias, and the error stays below a bound that follows from f
-except with negligible probability. A pair whose estimate plus bound is below the threshold is left; all others are
+seed); the signs are its code, and the inner product of vector and code is stored with it as a correction factor. For a vector q
+and a code c with factor f, <rotated q, c> / f estimates the cosine without bias, and the error stays below a bound that follows
+from f except with negligible probability. A pair whose estimate plus bound is below the threshold is left; all others are
 recomputed exactly in double precision, so that no pair below the threshold is ever linked.
 
 Candidate pairs share a label and at least one of the code's 16-bit bands. Two vectors at the threshold of 0.98 share one of 16
-bands with probability 0.998, closer ones with more (measured recall: README). Equal vectors are one entry, whatever their number;
-buckets with many different vectors are cut into blocks, and pairs of blocks become separate tasks.
+bands with probability 0.998, closer ones with more (measured recall: README). Buckets are searched with the stored codes alone:
+differing bits estimate the angle, and a pair stays if the bound of that estimate allows the threshold. Only vectors of members
+with such a pair are fetched, once for each bucket in which they have one, with their stored codes and factors. Equal vectors are
+one entry, whatever their number; buckets with many different vectors are cut into blocks, and pairs of blocks become separate
+tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +50,20 @@ def codes(units: np.ndarray):
     return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
 
 
-def estimate(units: np.ndarray, code: np.ndarray, factor: np.ndarray):
-    """Estimated cosine and its error bound for vectors and codes row by row."""
-    turned = units.astype(np.float32) @ rotation(units.shape[1])
+def estimate(turned: np.ndarray, code: np.ndarray, factor: np.ndarray):
+    """Estimated cosine and its error bound for turned vectors and codes row by row."""
     signs = np.unpackbits(code, axis=1).astype(np.float32) * 2 - 1
     bits = turned.shape[1]
     f = np.maximum(factor, 1e-6)
     return np.einsum("ij,ij->i", turned, signs) / np.sqrt(bits) / f, SIGMAS * np.sqrt(np.maximum(1 - f * f, 0) / (f * f)) / np.sqrt(bits - 1)
 
 
+def most_differing(bits: int, least: float) -> int:
+    """Differing bits that two codes at the threshold may have: each differs with chance angle / pi."""
+    p = np.arccos(np.clip(least, -1, 1)) / np.pi
+    return int(np.ceil(bits * p + SIGMAS * np.sqrt(bits * p * (1 - p)))) + 1
+
+
 def entries(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, cls, label, dim, vec) of every row: ``cls`` names the group of equal vectors with this label, null if the row can't link.
 
@@ -87,16 +96,50 @@ def _units(raw: list[bytes], dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _banded(batches, schema):
+CODED = ["cls", "label", "dim", "vec", "copies", "low", "code", "factor", "bands"]
+
+
+def _coded(batches):
     for batch in batches:
-        dims = np.array(batch.column("dim").to_pylist())
+        dims = batch.column("dim").to_numpy()
         for dim in np.unique(dims):
             part = batch.filter(pa.array(dims == dim))
-            code, _ = codes(_units(part.column("vec").to_pylist(), int(dim)))
+            code, factor = codes(_units(part.column("vec").to_pylist(), int(dim)))
             bands = code.view(">u2").astype(np.int32)
-            n, b = bands.shape
-            take = np.repeat(np.arange(n), b)
-            yield pa.RecordBatch.from_arrays([part.column("cls").take(take), part.column("label").take(take), part.column("dim").take(take), pa.array(np.tile(np.arange(b, dtype=np.int32), n)), pa.array(bands.reshape(-1))], schema=schema)
+            ends = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1])
+            new = [pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor.astype(np.float64)), pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1)))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in CODED[:-3]), *new], names=CODED)
+
+
+def _buckets(batches, columns: list[str]):
+    """(rows of one bucket's pair of blocks, dim, band, lo, hi) from sorted rows of ``common.blocked_groups``."""
+    for got in common.grouped(batches, "grp"):
+        group = np.stack([got[k].to_numpy() for k in ("grp", "band", "key", "lo", "hi", "dim")])
+        other = (group[:, 1:] != group[:, :-1]).any(axis=0) | pc.not_equal(got["label"][1:], got["label"][:-1]).to_numpy().astype(bool)
+        cuts = np.flatnonzero(np.r_[True, other, True])
+        held = {c: got[c].to_pylist() for c in columns}
+        blk = got["blk"].to_numpy()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield {c: v[a:b] for c, v in held.items()} | {"blk": blk[a:b]}, group[:, a]
+
+
+def _screened(batches, least: float, names: list[str]):
+    """Members of each bucket that have a partner whose code is close enough, each pair in its first common band."""
+    for rows, (grp, band, key, lo, hi, dim) in _buckets(batches, ["cls", "code", "label"]):
+        code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows["cls"]), -1)
+        bands, words = code.view(">u2"), np.ascontiguousarray(code).view(np.uint16)
+        limit = most_differing(8 * code.shape[1], least)
+        alive = np.zeros(len(code), bool)
+        for i, j in _pairs_of(rows["blk"], lo, hi):
+            ok = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= limit
+            i, j = i[ok], j[ok]
+            ok = np.argmax(bands[i] == bands[j], axis=1) == band
+            alive[i[ok]] = alive[j[ok]] = True
+        at = np.flatnonzero(alive)
+        if len(at):
+            same = [np.full(len(at), x) for x in (grp, band, key, lo, hi, dim)]
+            cells = {"grp": same[0], "band": same[1].astype(np.int32), "key": same[2].astype(np.int32), "lo": same[3].astype(np.int32), "hi": same[4].astype(np.int32), "dim": same[5].astype(np.int32), "blk": rows["blk"][at].astype(np.int32)}
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cells.values()), *(pa.array([rows[c][k] for k in at], pa.string()) for c in ("label", "cls"))], names=names)
 
 
 def _exact(x: np.ndarray, y: np.ndarray, raw_x: np.ndarray, raw_y: np.ndarray) -> np.ndarray:
@@ -105,41 +148,30 @@ def _exact(x: np.ndarray, y: np.ndarray, raw_x: np.ndarray, raw_y: np.ndarray) -
 
 def _linked(batches, least: float):
     """Partial link counts and local roots of each vector in each bucket."""
-    for got in common.grouped(batches, "grp"):
-        group = np.stack([got[k].to_numpy() for k in ("grp", "band", "lo", "hi", "dim")])
-        cuts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(axis=0), True])
-        names, raw, copies, own = got["cls"].to_pylist(), got["vec"].to_pylist(), got["copies"].to_numpy(), got["blk"].to_numpy()
-        out: dict[tuple[str, str], int] = {}
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            dim, band, lo, hi = int(group[4, a]), int(group[1, a]), group[2, a], group[3, a]
-            plain = np.frombuffer(b"".join(raw[a:b]), "<f8").reshape(-1, dim)
-            plain = plain / np.abs(plain).max(axis=1, keepdims=True)
-            units = plain / np.sqrt((plain * plain).sum(axis=1, keepdims=True))
-            code, factor = codes(units)
-            bands = code.view(">u2")
-            blk = own[a:b]
-            found_i, found_j = [], []
-            for i, j in _pairs_of(blk, lo, hi):
-                same = bands[i] == bands[j]
-                ok = np.argmax(same, axis=1) == band  # each pair once, in its first common band
-                i, j = i[ok], j[ok]
-                near, bound = estimate(units[i], code[j], factor[j])
-                ok = near + bound >= least
-                i, j = i[ok], j[ok]
-                ok = _exact(units[i], units[j], plain[i], plain[j]) >= least
-                found_i.append(i[ok])
-                found_j.append(j[ok])
-            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
-            if not len(i):
-                continue
-            n = b - a
-            weight = copies[a:b]
-            total = np.bincount(i, weights=weight[j], minlength=n) + np.bincount(j, weights=weight[i], minlength=n)
-            root = common.local_roots(n, i, j)
-            for k in np.flatnonzero(total):
-                key = (names[a + k], names[a + root[k]])
-                out[key] = out.get(key, 0) + int(total[k])
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["a", "b", "n"])
+    for rows, (_, band, _, lo, hi, dim) in _buckets(batches, ["cls", "vec", "code", "factor", "copies", "label"]):
+        n = len(rows["cls"])
+        plain = np.frombuffer(b"".join(rows["vec"]), "<f8").reshape(n, dim)
+        plain = plain / np.abs(plain).max(axis=1, keepdims=True)
+        units = plain / np.sqrt((plain * plain).sum(axis=1, keepdims=True))
+        code, factor = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(n, -1), np.array(rows["factor"])
+        turned, bands, weight = units.astype(np.float32) @ rotation(int(dim)), code.view(">u2"), np.array(rows["copies"])
+        total, root = np.zeros(n, np.int64), np.arange(n)
+        for i, j in _pairs_of(rows["blk"], lo, hi):
+            ok = np.argmax(bands[i] == bands[j], axis=1) == band  # each pair once, in its first common band
+            i, j = i[ok], j[ok]
+            near, bound = estimate(turned[i], code[j], factor[j])
+            ok = near + bound >= least
+            i, j = i[ok], j[ok]
+            ok = _exact(units[i], units[j], plain[i], plain[j]) >= least
+            i, j = i[ok], j[ok]
+            if len(i):
+                total += np.bincount(i, weights=weight[j], minlength=n).astype(np.int64) + np.bincount(j, weights=weight[i], minlength=n).astype(np.int64)
+                own = np.flatnonzero(root != np.arange(n))
+                root = common.local_roots(n, np.concatenate([i, own]), np.concatenate([j, root[own]]))
+        at = np.flatnonzero(total)
+        if len(at):
+            names = rows["cls"]
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.string()), pa.array([names[root[k]] for k in at], pa.string()), pa.array(total[at])], names=["a", "b", "n"])
 
 
 def _pairs_of(blk: np.ndarray, lo: int, hi: int, most: int = 1 << 15):
@@ -161,21 +193,27 @@ def linked(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", ve
     ``component_id`` is the smallest id reachable (the row's own if it links with nothing); rows with null ids take part and
     never name a component unless all its ids are null. Repeated ids count as separate rows.
     """
+    spark = vectors.sparkSession
     rows = common.written(entries(vectors, id_col, vector_col, label_col), "embeddings")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("id").alias("low"))
-    classes = common.written(classes, "embedding-classes")
-    schema = pa.schema([("cls", pa.string()), ("label", pa.string()), ("dim", pa.int32()), ("band", pa.int32()), ("key", pa.int32())])
-    banded = classes.select("cls", "label", "dim", "vec").mapInArrow(lambda it: _banded(it, schema), "cls string, label string, dim int, band int, key int")
-    spread = common.blocked_groups(banded, ["label", "dim", "band", "key"], "cls", BLOCK).select("grp", "label", "dim", "band", "key", "lo", "hi", "blk", "cls")
-    spread = spread.join(classes.select("cls", "vec", "copies"), "cls").repartition("grp").sortWithinPartitions("grp", "label", "dim", "band", "key", "lo", "hi")
-    found = common.written(spread.select("grp", "band", "lo", "hi", "dim", "cls", "vec", "copies", "blk").mapInArrow(lambda it: _linked(it, least), "a string, b string, n long"), "embedding-links")
+    schema = "cls string, label string, dim int, vec binary, copies long, low {}, code binary, factor double, bands array<int>".format(classes.schema["low"].dataType.simpleString())
+    classes = common.written(classes.select(*CODED[:-3]).mapInArrow(_coded, schema), "embedding-classes")
+    members = classes.selectExpr("cls", "label", "dim", "code", "posexplode(bands) as (band, key)")
+    order = ["grp", "label", "dim", "band", "key", "lo", "hi"]
+    names = ["grp", "band", "key", "lo", "hi", "dim", "blk", "label", "cls"]
+    spread = common.blocked_groups(members, ["label", "dim", "band", "key"], "cls", BLOCK).select(*names, "code").repartition("grp").sortWithinPartitions(*order)
+    some = spread.mapInArrow(lambda it: _screened(it, least, names), "grp long, band int, key int, lo int, hi int, dim int, blk int, label string, cls string")
+    some = common.written(some, "embedding-screened")
+    full = some.join(classes.select("cls", "vec", "code", "factor", "copies"), "cls").repartition("grp").sortWithinPartitions(*order)
+    found = common.written(full.mapInArrow(lambda it: _linked(it, least), "a string, b string, n long"), "embedding-links")
+    common.dropped(spark, some)
     many = found.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     roots = common.components(found.select("a", "b"), "embedding-components").withColumnRenamed("node", "cls")
     named = classes.select("cls", "copies", "low").join(many, "cls", "left").join(roots, "cls", "left")
     named = named.selectExpr("cls", "copies - 1 + coalesce(n, 0) as n_links", "low", "coalesce(root, cls) as root")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("cls", "n_links", "component_id")
-    out = rows.select("id", "cls").join(named, "cls", "left")
+    named = common.beside(named, lowest, "root").select("cls", "n_links", "component_id")
+    out = common.beside(rows.select("id", "cls"), named, "cls", how="left")
     own = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 
