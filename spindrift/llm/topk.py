@@ -5,9 +5,11 @@ index is its ids and weights, and its summary the largest and smallest weight of
 the best that a block can give bounds every score in it. Blocks are scored in order of falling bounds, and the search of a
 query ends when the next bound is below its k-th score so far, so nothing that belongs to the top k is ever missed.
 
-Two waves. First every query searches the blocks of its own range (``RANGE`` blocks), which gives a k-th score to start from;
-then it goes through all other ranges, and only blocks whose bound reaches that score are touched, and only scores that
-reach it are kept. Work is dealt by (range, part of the queries); a range's blocks and a part's queries have bounded sizes.
+The search goes in waves over ranges (``RANGE`` blocks): a query's own range first, then ``GROWTH`` times as many ranges in each
+further wave, each with the k-th scores so far. A k-th score over a quarter of the rows leaves about four times k rows above it in
+all, so hits stay few for each query whatever the number of ranges. Before a wave moves any block, its summary meets the queries:
+only blocks whose bound reaches the k-th score of some query go out, and only to the parts with such queries. Work is dealt by
+(range, part of the queries); a range's blocks and a part's queries have bounded sizes.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from pyspark.sql import functions as F
 from . import common
 
 SCALE, K, EVERY = 64, 20, 20
-#: Documents in a block, blocks in a range, and about how many queries one task takes.
-BLOCK, RANGE, QUERIES = 1024, 16, 512
+#: Documents in a block, blocks in a range, about how many queries one task takes, and how waves grow.
+BLOCK, RANGE, QUERIES, GROWTH = 1024, 16, 512, 4
+#: Below every score.
+LEAST = -(1 << 62)
 
-BLOCKS = "dim int, range long, block int, ids binary, uids binary, weights binary, high binary, low binary"
+BLOCKS = "dim int, range long, block int, kind string, ids binary, uids binary, weights binary, high binary, low binary"
+ASKED = "dim int, home long, sub int, uid long, vec_id long, kind string, w binary"
 HITS = "query_uid long, query_id long, vec_id long, score long"
 
 
@@ -55,8 +60,10 @@ def blocks(weights: DataFrame) -> DataFrame:
             n_block[dim] = k + 1
             uids = (np.int64(part) << np.int64(40)) + seen + np.arange(len(rows))
             seen += len(rows)
-            cells = [[dim], [(part << 24) + k // RANGE], [k % RANGE], [ids.tobytes()], [uids.tobytes()], [w.tobytes()], [w.max(axis=0).tobytes()], [w.min(axis=0).tobytes()]]
-            kinds = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 5
+            kind = next((t for t in ("<i1", "<i2", "<i4") if np.iinfo(t).min <= w.min() and w.max() <= np.iinfo(t).max), "<i8")
+            w = w.astype(kind)
+            cells = [[dim], [(part << 24) + k // RANGE], [k % RANGE], [kind], [ids.tobytes()], [uids.tobytes()], [w.tobytes()], [w.max(axis=0).tobytes()], [w.min(axis=0).tobytes()]]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.string()] + [pa.binary()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=[f.split()[0] for f in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -72,18 +79,23 @@ def blocks(weights: DataFrame) -> DataFrame:
 
 
 def queries_of(index: DataFrame, every: int = EVERY) -> DataFrame:
-    """(dim, home, uid, vec_id, w): the rows of the index whose id is divisible by ``every``, with their own range."""
+    """(dim, home, sub, uid, vec_id, kind, w): the rows of the index whose id is divisible by ``every``, with their own range.
+
+    ``sub`` parts the queries of a range, so that about ``QUERIES`` stay together.
+    """
+    subs = max(1, -(-BLOCK * RANGE // (every * QUERIES)))
+    names = [f.split()[0] for f in ASKED.split(", ")]
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 ids, uids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["uids"], np.int64)
-                w = np.frombuffer(r["weights"], np.int64).reshape(len(ids), r["dim"])
+                w = np.frombuffer(r["weights"], r["kind"]).reshape(len(ids), r["dim"])
                 at = np.flatnonzero(ids % every == 0)
-                cells = [np.full(len(at), r["dim"], np.int32), np.full(len(at), r["range"]), uids[at], ids[at]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cells), pa.array([x.tobytes() for x in w[at]], pa.binary())], names=["dim", "home", "uid", "vec_id", "w"])
+                cells = [np.full(len(at), r["dim"], np.int32), np.full(len(at), r["range"]), (np.arange(len(at)) % subs).astype(np.int32), uids[at], ids[at]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cells), pa.array([r["kind"]] * len(at), pa.string()), pa.array([x.tobytes() for x in w[at]], pa.binary())], names=names)
 
-    return index.select("dim", "range", "ids", "uids", "weights").mapInArrow(run, "dim int, home long, uid long, vec_id long, w binary")
+    return index.select("dim", "range", "kind", "ids", "uids", "weights").mapInArrow(run, ASKED)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,18 +106,46 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _loaded(table: pa.Table, column: str) -> list[np.ndarray]:
+    """Weights of each row of ``column`` as 64-bit integers."""
+    return [np.frombuffer(x, k).astype(np.int64) for x, k in zip(table[column].to_pylist(), table["kind"].to_pylist(), strict=True)]
+
+
+def bounds(found: pa.Table, q: np.ndarray) -> np.ndarray:
+    """(query, block): no score in the block is higher."""
+    high, low = np.stack(_loaded(found, "high")), np.stack(_loaded(found, "low"))
+    return products(np.maximum(q, 0), high) + products(np.minimum(q, 0), low)
+
+
+NEEDED = "dim int, rank long, home long, sub int, block int, uids array<long>"
+
+
+def needed(key, found: pa.Table, asked: pa.Table) -> pa.Table:
+    """The blocks of ``found`` (summaries) that may hold something for a query of ``asked``, and for which queries."""
+    names = [f.split()[0] for f in NEEDED.split(", ")]
+    blocks, uids = [], []
+    if found.num_rows and asked.num_rows:
+        reach = bounds(found, np.stack(_loaded(asked, "w"))) >= asked["floor"].to_numpy()[:, None]
+        own = asked["uid"].to_numpy()
+        for k in np.flatnonzero(reach.any(axis=0)):
+            blocks.append(found["block"][int(k)].as_py())
+            uids.append(own[reach[:, k]])
+    same = [[k.as_py()] * len(blocks) for k in key]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    return pa.table([pa.array(x, t) for x, t in zip([*same, blocks, uids], kinds, strict=True)], names=names)
+
+
 def search(found: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     """Block-at-a-time search of the queries ``asked`` in the blocks ``found`` of one range."""
     out = [[], [], [], []]
     if found.num_rows and asked.num_rows:
         dim = found["dim"][0].as_py()
-        load = lambda c: [np.frombuffer(x, np.int64) for x in found[c].to_pylist()]
-        ids, uids, high, low = load("ids"), load("uids"), np.stack(load("high")), np.stack(load("low"))
-        index = [w.reshape(-1, dim) for w in load("weights")]
-        q = np.frombuffer(b"".join(asked["w"].to_pylist()), np.int64).reshape(-1, dim)
+        ids, uids = ([np.frombuffer(x, np.int64) for x in found[c].to_pylist()] for c in ("ids", "uids"))
+        index = [w.reshape(-1, dim) for w in _loaded(found, "weights")]
+        q = np.stack(_loaded(asked, "w"))
         q_uid, q_id = asked["uid"].to_numpy(), asked["vec_id"].to_numpy()
         kth = asked["floor"].to_numpy().copy()  # nothing below it can be among the top k
-        bound = products(np.maximum(q, 0), high) + products(np.minimum(q, 0), low)
+        bound = bounds(found, q)
         order = np.argsort(-bound, axis=1, kind="stable")
         best_score = np.full((len(q), 0), 0, np.int64)
         best_id, best_own = best_score.copy(), best_score.copy()
@@ -136,35 +176,60 @@ def search(found: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array(np.asarray(x, np.int64)) for x in out], names=["query_uid", "query_id", "vec_id", "score"])
 
 
+#: Names of the keys of a wave's queries; those of its blocks are dim, rank, home, sub.
+APART = ("d", "r", "h", "s")
+
+
+def _apart(asked: DataFrame) -> DataFrame:
+    return asked.selectExpr("dim as d", "rank as r", "home as h", "sub as s", "uid", "vec_id", "kind", "w", "floor")
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best other vectors of each query, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``every``. A query's own row never counts; another row with its id does.
     Fewer than ``k`` other vectors give all of them. Vectors are compared with those of their own length only.
     """
+    spark = vectors.sparkSession
     index = common.written(blocks(weights_of(vectors, id_col, vector_col)), "topk-blocks")
     asked = common.written(queries_of(index, every), "topk-queries")
-    n = asked.count()
-    parts = max(1, -(-n // QUERIES))
-    asked = asked.withColumn("part", F.expr(f"cast(pmod(xxhash64(uid), {parts}) as int)"))
-    ranges = index.select("dim", "range").distinct()
-
-    def wave(at: DataFrame) -> DataFrame:
-        """Search of the queries in the ranges that stand beside them."""
-        at = at.select("home", "uid", "vec_id", "w", "dim", "range", "part", "floor")
-        at = at.toDF("home", "uid", "vec_id", "w", "d2", "r2", "p2", "floor")
-        pairs = at.select(F.col("d2").alias("d"), F.col("r2").alias("r"), F.col("p2").alias("p")).distinct()
-        left = index.join(pairs, (index["dim"] == pairs["d"]) & (index["range"] == pairs["r"]))
-        return left.groupBy("d", "r", "p").cogroup(at.groupBy("d2", "r2", "p2")).applyInArrow(lambda a, b: search(a, b, k), HITS)
-
-    least = F.lit(-(1 << 62)).cast("long")
-    own = common.written(wave(asked.withColumn("range", F.col("home")).withColumn("floor", least)), "topk-own")
-    kth = own.groupBy("query_uid").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-    floors = asked.join(kth, asked["uid"] == kth["query_uid"], "left").selectExpr("dim", "home", "part", "uid", "vec_id", "w", f"case when n >= {k} then low else {-(1 << 62)} end as floor")
-    others = floors.join(ranges, "dim").where("range <> home")  # the stated queries, by parts, against all ranges
-    hits = own.unionByName(wave(others))
-    ranked = hits.selectExpr("query_id", "row_number() over (partition by query_uid order by score desc, vec_id) as rank", "vec_id", "score")
-    return ranked.where(f"rank <= {k}")
+    # one row for each range: its number among those of its length, and how many there are
+    ranges = index.select("dim", "range").distinct().selectExpr("dim", "range", "row_number() over (partition by dim order by range) - 1L as rank", "count(*) over (partition by dim) as ranges")
+    ranges = common.written(ranges, "topk-ranges")
+    most = ranges.agg(F.max("ranges")).first()[0] or 0
+    parts = common.written(asked.select("dim", "home", "sub").distinct().join(ranges.withColumnRenamed("range", "home"), ["dim", "home"]).withColumnRenamed("rank", "start"), "topk-parts")
+    best, begin, end = None, 0, 1
+    while begin < most:
+        # (part, range) pairs of this wave: ranges ``begin`` to ``end`` after the part's own
+        pairs = parts.where(f"ranges > {begin}").selectExpr("dim", "home", "sub", f"explode(sequence({begin}L, least({end}L, ranges) - 1)) as __off", "start", "ranges").selectExpr("dim", "home", "sub", "(start + __off) % ranges as rank")
+        target = pairs.join(ranges.select("dim", "range", "rank"), ["dim", "rank"])
+        if best is None:
+            open_ = asked.withColumn("floor", F.lit(LEAST))
+            moved = index.join(target, ["dim", "range"])
+            wanted = open_.join(pairs, ["dim", "home", "sub"])
+        else:
+            kth = best.groupBy("query_uid").agg(F.min("score").alias("low"), F.count("*").alias("n"))
+            open_ = asked.join(kth, asked["uid"] == kth["query_uid"], "left").selectExpr("dim", "home", "sub", "uid", "vec_id", "kind", "w", f"case when n >= {k} then low else {LEAST} end as floor")
+            open_ = common.written(open_, "topk-floors")
+            summaries = index.select("dim", "range", "block", "kind", "high", "low").join(target, ["dim", "range"])
+            by = ("dim", "rank", "home", "sub")
+            due = summaries.groupBy(*by).cogroup(_apart(open_.join(pairs, ["dim", "home", "sub"])).groupBy(*APART)).applyInArrow(needed, NEEDED)
+            due = common.written(due, "topk-due")
+            moved = index.join(due.drop("uids").join(ranges.select("dim", "range", "rank"), ["dim", "rank"]), ["dim", "range", "block"])
+            wanted = open_.join(due.selectExpr("rank", "explode(uids) as uid").distinct(), "uid")
+        hits = moved.groupBy("dim", "rank", "home", "sub").cogroup(_apart(wanted).groupBy(*APART)).applyInArrow(lambda a, b: search(a, b, k), HITS)
+        if best is not None:
+            hits = best.unionByName(hits)
+        ranked = hits.selectExpr("*", "row_number() over (partition by query_uid order by score desc, vec_id) as rank").where(f"rank <= {k}")
+        before, best = best, common.written(ranked.drop("rank"), "topk-best")
+        for table in [before, open_, due] if before is not None else []:
+            common.dropped(spark, table)
+        begin, end = end, end * GROWTH
+    if best is None:
+        best = spark.createDataFrame([], HITS)
+    for table in (index, asked, ranges, parts):
+        common.dropped(spark, table)
+    return best.selectExpr("query_id", "row_number() over (partition by query_uid order by score desc, vec_id) as rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
