@@ -2,12 +2,12 @@
 
 The global histogram of document lengths (in tokens) goes into a dynamic program that chooses the bucket boundaries with the
 least padding; a document of a bucket is padded to the longest of its bucket. Inside each bucket, documents in id order form
-batches of at most ``BUDGET`` padded tokens. Every document lands in exactly one batch, whole; one longer than the budget is
-a batch by itself.
+batches of at most ``BUDGET`` padded tokens. Every document lands in exactly one batch, whole. One longer than the budget is a
+batch by itself, without padding, in a bucket after all others; so the histogram has at most ``BUDGET`` rows at any size of corpus,
+one for each length, and the program is exact.
 
-Lengths below 256 have a histogram class each; above, a class spans 1/128 of its octave, so the histogram has a few thousand
-rows at any size of corpus, and classes know their counts, sums and longest lengths. Global places inside a bucket come from
-local places in slices of the id range plus the counts of the slices before: no task ever sorts a whole bucket.
+Global places inside a bucket come from places in range partitions by (bucket, id) plus the counts of the partitions before: no
+task ever sorts a whole bucket, however ids are spread or repeated.
 """
 
 from __future__ import annotations
@@ -18,45 +18,47 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, BUDGET, SLICES = 16, 1 << 16, 4096
+BUCKETS, BUDGET = 16, 1 << 16
 #: Length of a text in tokens: its UTF-8 bytes, as a byte-level model reads them, and an end token.
 BYTE_LENGTH = "cast(octet_length(coalesce({text}, '')) + 1 as bigint)"
 
 
-def length_class(length: str) -> str:
-    """SQL: histogram class of a length, in the order of lengths."""
-    octave = f"cast(floor(log2({length})) as int)"
-    return f"case when {length} < 256 then cast({length} as int) else ({octave} - 7) * 128 + 128 + cast(shiftright({length}, {octave} - 7) as int) - 128 end"
+def boundaries(length: np.ndarray, count: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+    """The longest length of each bucket, least padding first of all, then fewest buckets; ``length`` rises, ``count`` is documents.
 
-
-def boundaries(count: np.ndarray, total: np.ndarray, longest: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Number of the last class of each bucket, least padding first of all, then fewest buckets; classes in order of length.
-
-    Padding of classes i..j in one bucket: longest[j] * documents - tokens.
+    Lengths i..j in one bucket pad length[j] * documents - tokens. The best first length of a bucket never falls as its last one
+    rises, so each row of the program is solved by halves: the middle first, then both sides within the middle's choice.
     """
-    n = len(count)
+    n = len(length)
     if not n:
         return []
-    docs, tokens = np.r_[0, np.cumsum(count)].astype(float), np.r_[0, np.cumsum(total)].astype(float)
-    padding = lambda i, j: longest[j] * (docs[j + 1] - docs[i]) - (tokens[j + 1] - tokens[i])
-    best = np.array([padding(0, j) for j in range(n)], float)
-    came = [np.zeros(n, np.int64)]
-    history = [best]
+    docs, tokens = np.r_[0, np.cumsum(count)].astype(np.int64), np.r_[0, np.cumsum(length * count)].astype(np.int64)
+    best = length * docs[1:] - tokens[1:]
+    came, history = [np.zeros(n, np.int64)], [best]
     for _ in range(1, min(buckets, n)):
-        now, first = best.copy(), np.zeros(n, np.int64)
-        for j in range(n):
-            i = np.arange(1, j + 1)
-            if len(i):
-                cost = best[i - 1] + padding(i, j)
-                k = int(cost.argmin())
-                now[j], first[j] = cost[k], i[k]
+        now, first = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        step = 1 << n.bit_length()
+        while step:
+            j = np.arange(step - 1, n, 2 * step)
+            low = np.where(j >= step, first[np.maximum(j - step, 0)], 0)  # neighbours solved before
+            high = np.where(j + step < n, np.minimum(first[np.minimum(j + step, n - 1)], j), j)
+            step //= 2
+            if not len(j):
+                continue
+            many = high - low + 1
+            start = np.cumsum(many) - many
+            i, at = common.ragged(low, many), np.repeat(j, many)
+            cost = np.where(i > 0, best[i - 1], 0) + length[at] * (docs[at + 1] - docs[i]) - (tokens[at + 1] - tokens[i])
+            now[j] = np.minimum.reduceat(cost, start)
+            hit = np.flatnonzero(cost == np.repeat(now[j], many))
+            first[j] = i[hit[np.searchsorted(hit, start)]]
         came.append(first)
         history.append(now)
         best = now
     level = min(range(len(history)), key=lambda k: (history[k][n - 1], k))
     cuts, j = [], n - 1
     while j >= 0 and level >= 0:
-        cuts.append(j)
+        cuts.append(int(length[j]))
         j, level = int(came[level][j]) - 1, level - 1
     return cuts[::-1]
 
@@ -64,30 +66,26 @@ def boundaries(count: np.ndarray, total: np.ndarray, longest: np.ndarray, bucket
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, length: str = BYTE_LENGTH) -> DataFrame:
     """(id, n_tokens, bucket, padded, batch, place) of every row.
 
-    ``bucket`` counts from 0 by length, ``padded`` is the length that its documents are padded to, ``batch`` counts from 0 in the
-    bucket, ``place`` from 0 in the batch. Null texts are empty (one end token). Order in a bucket: null ids first, then by id,
-    then by length; equal rows are interchangeable. An empty table gives no rows.
+    ``length`` is the SQL of a row's tokens: the default counts bytes, ``n_tokens`` takes a column, such as that of token files.
+    ``bucket`` counts from 0 by length, ``padded`` is the length that its documents are padded to (their own beyond ``budget``),
+    ``batch`` counts from 0 in the bucket, ``place`` from 0 in the batch. Null texts are empty (one end token). Order in a bucket:
+    null ids first, then by id, then by length; equal rows are interchangeable. Other columns are not read. An empty table gives no
+    rows.
     """
-    sized = docs.selectExpr(f"`{id_col}` as id", f"{length.format(text=f'`{text_col}`')} as n").selectExpr("id", "n", f"{length_class('n')} as class")
-    sized = common.written(sized, "packing-lengths")
-    histogram = sized.groupBy("class").agg(F.count("*").alias("c"), F.sum("n").alias("t"), F.max("n").alias("m")).orderBy("class").collect()  # a few thousand classes at most
-    span = sized.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
-    cuts = boundaries(*(np.array([r[k] for r in histogram], np.int64) for k in ("c", "t", "m")), buckets=buckets)
+    sized = common.written(docs.selectExpr(f"`{id_col}` as id", f"{length.format(text=f'`{text_col}`')} as n"), "packing-lengths")
+    histogram = sized.where(f"n <= {budget}").groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()  # a row for each length, ``budget`` at most
+    cuts = boundaries(*(np.array([r[k] for r in histogram], np.int64) for k in ("n", "c")), buckets=buckets)
+    bucket = "case " + " ".join(f"when n <= {c} then {k}" for k, c in enumerate(cuts)) + f" else {len(cuts)} end" if cuts else "0"
+    padded = f"coalesce(get(array({', '.join(f'{c}L' for c in cuts)}), bucket), n)" if cuts else "n"
     spark = docs.sparkSession
-    rows, first = [], 0
-    for b, last in enumerate(cuts):
-        rows += [(int(histogram[k]["class"]), b, int(histogram[last]["m"])) for k in range(first, last + 1)]
-        first = last + 1
-    names = F.broadcast(spark.createDataFrame(rows, "class int, bucket int, padded long"))  # one row for each class
-    low, width = (0, 1) if span["a"] is None else (int(span["a"]), max(1, -(-(int(span["b"]) - int(span["a"]) + 1) // SLICES)))
-    placed = sized.join(names, "class").withColumn("slice", F.expr(f"cast(floor((cast(id as decimal(20,0)) - {low}) / {width}) as int)"))
-    counts = placed.groupBy("bucket", "slice").agg(F.count("*").alias("c"))  # SLICES x buckets rows at most
-    before = counts.selectExpr("bucket", "slice as s", "coalesce(sum(c) over (partition by bucket order by slice nulls first rows between unbounded preceding and 1 preceding), 0) as before")
-    local = placed.selectExpr("*", "row_number() over (partition by bucket, slice order by id, n) - 1 as r")
-    before = before.withColumnRenamed("bucket", "b")
-    local = local.join(before, (local["bucket"] == before["b"]) & local["slice"].eqNullSafe(before["s"]))
+    placed = sized.selectExpr("id", "n", f"{bucket} as bucket", "monotonically_increasing_id() as row")
+    ranged = placed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "id", "n", "row").sortWithinPartitions("bucket", "id", "n", "row")
+    ranged = common.written(ranged.selectExpr("id", "n", "bucket", "spark_partition_id() as part", "monotonically_increasing_id() as at"), "packing-order")
+    counts = ranged.groupBy("bucket", "part").agg(F.count("*").alias("c"), F.min("at").alias("first"))  # a row for each partition, and one more for each bucket
+    before = counts.selectExpr("bucket", "part", "first", "coalesce(sum(c) over (partition by bucket order by part rows between unbounded preceding and 1 preceding), 0) as before")
+    local = ranged.join(F.broadcast(before), ["bucket", "part"]).selectExpr("*", "before + at - first as r", f"{padded} as padded")
     each = f"greatest(1L, {budget} div padded)"
-    return local.selectExpr(f"id as `{id_col}`", "n as n_tokens", "bucket", "padded", f"(before + r) div {each} as batch", f"cast((before + r) % {each} as int) as place")
+    return local.selectExpr(f"id as `{id_col}`", "n as n_tokens", "bucket", "padded", f"r div {each} as batch", f"cast(r % {each} as int) as place")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
