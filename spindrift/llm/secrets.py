@@ -5,13 +5,15 @@ to report alone: user or client identifiers, bare 40-character keys and endpoint
 credential within a scope (a paragraph): an identifier, a secret and an endpoint with at most ``REACH`` characters between the end of one and the start of the next. A weak
 candidate is reported only if a part of another role stands that near and one of the linked parts is a secret.
 
-The join is a running maximum of ends and one of starts from behind over the parts of each document ordered by (scope, place), a
-pass in each direction; it never builds pairs. Only the parts are shuffled, by (document, text), never the texts; a document's parts are bounded by its own text.
+The join is a running maximum of ends and one of starts from behind over the parts of each row ordered by (scope, place), a
+pass in each direction; it never builds pairs. Only the parts are shuffled, by row, never the texts; a row's parts are bounded by its
+own text. Linked parts carry the number of their credential.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 from .spans import between, found, joined, placed
@@ -69,36 +71,37 @@ _SCOPES = r"\n[\x20\t]*\n"
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, spans) of every row: strong spans, and strong spans with the linked weak ones, as arrays of (s, k, e).
+    """(id, base, spans, links) of every row: strong spans, and strong spans with the linked weak ones, as arrays of (s, k, e).
 
-    A null text is empty. Rows may repeat: rows with the same id and text get the same spans, one result row each. Null ids are
-    an id like any other here. Places are code points, ends exclusive.
+    ``links`` tells which spans form one credential: arrays of (c, s, k, e) of all spans with a complementary part near, ``c`` counting
+    the credentials of the row from 1; parts of one scope belong together as long as each follows the one before within ``REACH``.
+
+    A null text is empty. Every row gets its own result row, repeated rows and null ids too. Places are code points, ends exclusive.
     """
-    keyed = docs.selectExpr(f"`{id_col}` as __id", f"`{text_col}` as __text").selectExpr("__id", "xxhash64(__text) as __h", "hash(__text, 'second') as __g", "length(__text) as __n", "__text")
-    parts = scanned(keyed, ("__id", "__h", "__g", "__n"), "__text")
-    rows = parts.selectExpr("__id", "__h", "__g", "__n", "scopes", "posexplode_outer(parts) as (at, part)")
+    keyed = docs.selectExpr("monotonically_increasing_id() as __row", f"`{id_col}` as __id", f"`{text_col}` as __text")
+    parts = scanned(keyed, ("__row", "__id"), "__text")
+    rows = parts.selectExpr("__row", "__id", "scopes", "explode_outer(parts) as part")
     # the scope of a part: how many scope ends stand before it
-    rows = rows.selectExpr("__id", "__h", "__g", "__n", "at", "part", f"part.s + {SCOPE_WIDTH} * size(filter(scopes, x -> x < part.s)) as __at", f"get(array({', '.join(map(str, _ROLE_OF))}), part.k) as __role")
+    rows = rows.selectExpr("__row", "__id", "part", f"part.s + {SCOPE_WIDTH} * size(filter(scopes, x -> x < part.s)) as __at", f"get(array({', '.join(map(str, _ROLE_OF))}), part.k) as __role")
     # nearest part of each role on both sides: the last end of those that start before, the first start of those after
     rows = rows.selectExpr("*", "__at + part.e - part.s as __to")
-    doc = "partition by __id, __h, __g, __n order by __at"
+    doc = "partition by __row order by __at"
     before = rows.selectExpr("*", *(f"max(case when __role = {r} then __to end) over ({doc} range between unbounded preceding and current row) as __end{r}" for r in range(3)))
     both = before.selectExpr("*", *(f"min(case when __role = {r} then __at end) over ({doc} desc range between unbounded preceding and current row) as __start{r}" for r in range(3)))
     seen = both.selectExpr("*", *(f"(coalesce(__at - __end{r} <= {REACH}, false) or coalesce(__start{r} - __to <= {REACH}, false)) as __has{r}" for r in range(3)))
     others = "case __role when 0 then __has1 when 1 then __has0 or __has2 else __has1 end"
-    told = seen.selectExpr("__id", "__h", "__g", "__n", "at", f"case when part.k < {len(BASE)} then part end as __base", f"case when part.k < {len(BASE)} or {others} then part end as __told")
-    out = told.groupBy("__id", "__h", "__g", "__n").agg(*_collected())
-    return out.selectExpr(f"__id as `{id_col}`", "base", "spans", "explode(array_repeat(0, cast(rows as int))) as __row").drop("__row")
-
-
-def _collected():
-    from pyspark.sql import functions as F
-
-    return F.collect_set("__base").alias("base"), F.collect_set("__told").alias("spans"), F.expr("count_if(at is null or at = 0)").alias("rows")
+    told = seen.selectExpr("__row", "__id", "__at", "__to", "part", f"case when part.k < {len(BASE)} then part end as __base", f"case when part.k < {len(BASE)} or {others} then part end as __told", f"coalesce({others}, false) as __link")
+    told = told.selectExpr("*", f"max(case when __link then __to end) over ({doc}, part.k rows between unbounded preceding and 1 preceding) as __last")
+    told = told.selectExpr("*", f"count_if(__link and (__last is null or __at - __last > {REACH})) over ({doc}, part.k rows between unbounded preceding and current row) as __c")
+    told = told.selectExpr("__row", "__id", "__base", "__told", "case when __link then named_struct('c', __c, 's', part.s, 'k', part.k, 'e', part.e) end as __linked")
+    out = told.groupBy("__row").agg(F.first("__id").alias("__id"), *(F.collect_list(f"__{c}").alias(n) for c, n in (("base", "base"), ("told", "spans"), ("linked", "links"))))
+    return out.selectExpr(f"__id as `{id_col}`", "base", "spans", "array_sort(links) as links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: counts, digest of the base spans and all spans of every document."""
     got = linked(common.table(spark, sf_dir, "documents"))
     counts = [f"cast(size(filter(base, x -> x.k = {n})) as bigint) as n_{k[0]}" for n, k in enumerate(BASE)]
-    return got.selectExpr("doc_id", *counts, f"sha2({joined('base', KINDS)}, 256) as base_sha256", f"{joined('spans', KINDS)} as spans")
+    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    links = f"array_join(transform(links, x -> concat(x.c, '=', get({names}, x.k), ':', x.s, ':', x.e)), ',') as links"
+    return got.selectExpr("doc_id", *counts, f"sha2({joined('base', KINDS)}, 256) as base_sha256", f"{joined('spans', KINDS)} as spans", links)
