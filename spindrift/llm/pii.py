@@ -38,9 +38,9 @@ PASSES = {
 #: Generators of further candidates, by kind.
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}+){1,4}+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20./-]{1,2}[0-9]{4}){2,3}(?:[\x20./-]{1,2}[0-9]{1,4})?(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?<!\+[0-9]{1,3}[\x20().-]{1,2})\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9A-Za-z])",
+    "ip": r"(?<![0-9A-Za-z:_])(?:(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:_])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[\x20./-]{1,2}[0-9]{4}){2,3}(?:[\x20./-]{1,2}[0-9]{1,4})?|[0-9]{4}[\x20./-]{1,2}[0-9]{6}[\x20./-]{1,2}[0-9]{5})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?<![0-9][./-])(?<!\+[0-9]{1,3}[\x20().-]{1,2})\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9A-Za-z]|[./-][0-9])",
 }
 GENERATOR_NEEDS = {"email": "{t} rlike '(?:\\\\(at\\\\)|\\\\[at\\\\]|\\\\x20at\\\\x20)'", "ip": "contains({t}, ':')", "card": "{t} rlike '[0-9]{4}'", "phone": "{t} rlike '[0-9]{3}'"}
 CONTEXT = 32
@@ -59,10 +59,11 @@ FEATURES = {
     "brackets": "cast(x.m rlike '[(\\\\[]' as int)",
     "colons": "length(regexp_replace(x.m, '[^:]', ''))",
     "numbers_near": "cast(concat(x.b, x.f) rlike '[0-9]' as int)",
+    "gap": "cast(contains(x.m, '::') as int)",
 }
 TREES, RATE, SAMPLES, SEED = 40, 0.3, 3000, 11
-#: Probability from which a candidate is selected, by kind.
-THRESHOLDS = {"email": 0.8, "ip": 0.8, "card": 0.8, "phone": 0.8}
+#: Precision that each kind's threshold has to reach on candidates that neither trees nor calibration saw.
+PRECISION = 0.98
 
 
 def _luhn(digits: str) -> bool:
@@ -88,15 +89,20 @@ def training_set(n: int = SAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.nda
             m = pick(["ann", "j.doe", "sales"]) + (pick([" (at) ", "(at)", " [at] ", "[at]"]) if real else " at ") + pick(["mail", "corp-x", "site"]) + (pick([" (dot) ", "[dot]", " dot ", "."]) if real else pick([".", " dot "])) + pick(["org", "net", "noon"])
             b = pick(["contact me: ", "write to ", "my mail is ", b]) if real else pick(["we met ", "he was ", b])
         elif kind == 1:
-            groups = int(rng.integers(6, 9)) if real else int(rng.integers(4, 7))
-            m = ":".join("".join(pick("0123456789abcdef") for _ in range(int(rng.integers(2, 5)) if real else 2)) for _ in range(groups))
-            b = pick(["server addr ", "peer ", "host ip ", b]) if real else pick(["mac ", "hash ", "at time ", b])
+            hexes = lambda n, low, high: ":".join("".join(pick("0123456789abcdef") for _ in range(int(rng.integers(low, high)))) for _ in range(n))
+            if rng.random() < 0.5:
+                m = hexes(int(rng.integers(6, 9)), 2, 5) if real else hexes(int(rng.integers(4, 7)), 2, 3)
+            else:
+                m = pick(["2001:", "fe80:", "2a00:", "fd12:"]) + hexes(int(rng.integers(1, 4)), 3, 5) + "::" + hexes(int(rng.integers(1, 4)), 1, 5) if real else pick([hexes(1, 1, 4) + "::" + hexes(1, 1, 4), "::" + hexes(1, 1, 5), hexes(1, 1, 3) + "::"])
+                m = pick(["2001:db8::", "fe80::"]) + hexes(1, 1, 5) if real and rng.random() < 0.3 else m
+            b = pick(["server addr ", "peer ", "host ip ", b]) if real else pick(["mac ", "hash ", "at time ", b, "call "])
         elif kind == 2:
+            cut = pick([(0, 4, 8, 12, 16), (0, 4, 10, 15)])
             while True:
-                raw = digits(16)
+                raw = digits(cut[-1])
                 if _luhn(raw) == (real and rng.random() < 0.95):
                     break
-            m = pick([".", "/", " - ", "- "]).join(raw[i : i + 4] for i in range(0, 16, 4))
+            m = pick([".", "/", " - ", "- "]).join(raw[i:j] for i, j in zip(cut, cut[1:], strict=False))
             b = pick(["card ", "visa: ", "credit card no ", b]) if real else pick(["order ", "serial ", "ref ", b])
         else:
             a, c, d = digits(3), digits(3), digits(4)
@@ -105,7 +111,7 @@ def training_set(n: int = SAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.nda
         if rng.random() < 0.15:
             f = pick([" 12", "-77 x", " 2024"])
         own = re.sub("[^0-9]", "", m)
-        rows.append([kind, len(own), len(m), len(re.sub(r"[^ ()./-]", "", m)), _luhn(own), bool(re.search(CUES, b[-CONTEXT:])), bool(re.search(LOOKALIKES, b[-CONTEXT:])), bool(re.search(r"[(\[]", m)), m.count(":"), bool(re.search("[0-9]", b[-CONTEXT:] + f[:CONTEXT]))])
+        rows.append([kind, len(own), len(m), len(re.sub(r"[^ ()./-]", "", m)), _luhn(own), bool(re.search(CUES, b[-CONTEXT:])), bool(re.search(LOOKALIKES, b[-CONTEXT:])), bool(re.search(r"[(\[]", m)), m.count(":"), bool(re.search("[0-9]", b[-CONTEXT:] + f[:CONTEXT])), "::" in m])
         labels.append(real)
     return np.array(rows, float), np.array(labels, float)
 
@@ -141,7 +147,11 @@ def apply_tree(tree, x: np.ndarray) -> np.ndarray:
 
 @lru_cache
 def model():
-    """(trees, slope, shift): boosted trees on half of the training set, and the calibration fitted on the other half."""
+    """(trees, slope, shift, threshold of each kind).
+
+    Boosted trees on half of a training set, a logistic calibration on its other half, and thresholds on a set of their own: the
+    lowest probability from which candidates of a kind are right with at least ``PRECISION``; 2, which selects none, if there is none.
+    """
     x, y = training_set()
     half = len(x) // 2
     z, trees = np.zeros(half), []
@@ -158,7 +168,15 @@ def model():
         hess = np.array([[(w * held * held).sum() + 1e-3, (w * held).sum()], [(w * held).sum(), w.sum() + 1e-3]])
         move = np.linalg.solve(hess, [(e * held).sum(), e.sum()])
         a, b = a + 0.5 * move[0], b + 0.5 * move[1]
-    return trees, round(float(a), 6), round(float(b), 6)
+    a, b = round(float(a), 6), round(float(b), 6)
+    x, y = training_set(seed=SEED + 1)
+    p = 1 / (1 + np.exp(-(a * sum(apply_tree(t, x) for t in trees) + b)))
+    limits = []
+    for k in range(len(KINDS)):
+        own, right = p[x[:, 0] == k], y[x[:, 0] == k]
+        cuts = [c for c in np.unique(own) if right[own >= c].mean() >= PRECISION]
+        limits.append(max(0.5, float(min(cuts)) - 1e-9) if cuts else 2.0)
+    return trees, a, b, dict(zip(KINDS, limits, strict=True))
 
 
 def _sql_tree(tree) -> str:
@@ -169,7 +187,7 @@ def _sql_tree(tree) -> str:
 
 def probability() -> str:
     """SQL: probability of a candidate ``y`` with features f0, f1, ..."""
-    trees, a, b = model()
+    trees, a, b, _ = model()
     return f"1 / (1 + exp(-({a}D * ({' + '.join(map(_sql_tree, trees))}) + {b}D)))"
 
 
@@ -192,7 +210,7 @@ def detected(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
     step = step.selectExpr(*names, *tail, f"array_sort(concat({base})) as __base", f"concat({more}) as __c")
     traits = ", ".join(f"'f{i}', {v}" for i, v in enumerate(FEATURES.values()))
     step = step.selectExpr(*names, *tail, "__base", f"transform(__c, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, {traits})) as __c")
-    limits = "get(array(" + ", ".join(f"{THRESHOLDS[k]}D" for k in KINDS) + "), y.k)"
+    limits = "get(array(" + ", ".join(f"{v!r}D" for v in model()[3].values()) + "), y.k)"
     step = step.selectExpr(*names, *tail, "__base", f"transform(filter(__c, y -> {probability()} >= {limits}), y -> named_struct('s', y.s, 'k', y.k, 'e', y.e)) as __c")
     step = step.selectExpr(*names, *tail, "__base", "array_sort(concat(__base, __c)) as __all")
     return step.selectExpr(*names, *tail, "__base", "filter(__all, (x, i) -> i = 0 or get(__all, i - 1) <> x) as __spans")
