@@ -12,22 +12,22 @@ documented sample (``TRAIN_ROWS``). Scoring reads whole texts in one pass withou
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows that the scorer is fitted on, at most about so many: those with the smallest hashes of their id.
+#: Rows that the scorer is fitted on, at most: those with the smallest hashes of id and text.
 TRAIN_ROWS = 4000
 #: Hashed features, and iterations of both fits.
 BUCKETS, EM_ROUNDS, FIT_ROUNDS = 1 << 14, 60, 150
-#: Words that a Python worker keeps with their features, and bytes of text that it handles at a time.
-CACHE, SLICE = 150_000, 2 << 20
+#: Bytes of text handled at a time.
+SLICE = 2 << 20
 #: A document is rejected when its score, the probability of being good, is lower.
 THRESHOLD = 0.3
 #: Prior accuracy of a labeller, as pseudo-counts (right, wrong).
@@ -49,40 +49,95 @@ LABELLERS = [
 ]
 
 
-def stats_of_slice(texts: pa.Array) -> dict[str, np.ndarray]:
-    """Statistics of every text of a slice, as shares of its words; a text without words has ``words`` 0 and shares 0."""
+#: Marks around a word, within one of a script without spaces, and at the end of a sentence.
+OPENS, CLOSES, INNER, ENDS = "\"'(\\[«“„¿¡「『（", ".,;:!?\"')\\]»”’…。、！？।॥؟،؛，；：」』）", "'’、。，！？；：「」『』（）・-", ".!?…。！？।॥؟"
+SYMBOLS = "*$&#%|<>=_~^\\/+@!{}"
+LETTER, UPPER, LOWER, SYMBOL = 1, 2, 4, 8
+
+
+@lru_cache
+def point_tables() -> tuple[np.ndarray, np.ndarray]:
+    """(bits LETTER to SYMBOL, kind) of every code point; the kind is that of word shapes: A, a, 0 or the mark itself."""
+    bits, kind = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for p in range(0x110000):
+        c = chr(p)
+        if c.isalpha():
+            upper = c.isupper()
+            bits[p], kind[p] = LETTER | (UPPER if upper else LOWER if c.islower() else 0), ord("A") if upper else ord("a")
+        elif c.isdigit():
+            kind[p] = ord("0")
+    for c in SYMBOLS:
+        bits[ord(c)] |= SYMBOL
+    return bits, kind
+
+
+def _hashes(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of ``units``; runs begin at ``starts``."""
+    size = np.diff(np.append(starts, len(units)))
+    place = np.arange(len(units)) - np.repeat(starts, size)
+    power = np.uint64(0x9E3779B97F4A7C15) ** np.arange(int(size.max(initial=0)) + 1, dtype=np.uint64)
+    mixed = np.add.reduceat((units.astype(np.uint64) + np.uint64(1)) * power[place], starts) if len(starts) else np.zeros(0, np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def traits(words: pa.Array, features: bool = False) -> dict[str, np.ndarray]:
+    """What each of some different words without spaces shows by itself: flags and counts, and with ``features`` its hashed features.
+
+    Features are a bucket of the word's whole shape (runs of letters, digits and marks, with their case) and one of its lower-case
+    form. Everything is done on whole columns: in text with many rare words, a cache of words costs more than it saves.
+    """
+    points = np.frombuffer((" ".join(words.to_pylist()) + " ").encode("utf-32-le"), np.uint32)  # each word and the gap behind it
+    starts = np.r_[0, np.flatnonzero(points == 32)[:-1] + 1] if len(words) else np.zeros(0, np.int64)
+    table, kinds = point_tables()
+    bits = table[points]
+    count = lambda bit: np.add.reduceat(((bits & bit) > 0).astype(np.int32), starts) if len(starts) else np.zeros(0, np.int32)
+    match = lambda pattern: pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+    letters, upper, lower = count(LETTER), count(UPPER), count(LOWER)
+    out = {
+        "marked": match(r"[*$&#%!]{2,}$|[*$&#%]$"), "bars": match(r"^[|/\\<>=_~-]+$"), "ended": match(rf"[{ENDS}][{CLOSES}]*$"), "plain": match(rf"^[{OPENS}]*(\p{{L}}[\p{{Ll}}\p{{Lo}}\p{{Lm}}\p{{M}}{INNER}]*|[0-9][0-9.,:-]*)[{CLOSES}]*$"),
+        "bare": letters == 0, "symbols": count(SYMBOL), "upper": upper, "letters": letters,
+    }
+    long = pc.greater(pc.utf8_length(pc.utf8_trim(words, characters=".,;:!?\"'()[]")), 1).to_numpy(zero_copy_only=False)
+    out["capital"] = (upper > 0) & (lower == 0) & long
+    if features:
+        kind = kinds[points]
+        first = np.zeros(len(points), bool)
+        first[starts] = True
+        kept = np.flatnonzero(first | np.r_[True, kind[1:] != kind[:-1]])
+        half = np.uint64(BUCKETS // 2)
+        shape = _hashes(kind[kept], np.searchsorted(kept, starts)) % half
+        low = pc.utf8_lower(words)
+        ends = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, low.offset * 4) if len(low) else np.zeros(1, np.int32)
+        raw = np.append(np.frombuffer(low.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], 0)
+        size = np.diff(ends)
+        own = np.zeros(len(low), np.uint64)
+        some = np.flatnonzero(size > 0)
+        own[some] = _hashes(raw[:-1], (ends[:-1] - ends[0])[some].astype(np.int64))
+        out["buckets"] = np.stack([shape, half + own % half], axis=1).astype(np.int32)
+    return out
+
+
+def stats_of_slice(texts: pa.Array, features: bool = False) -> dict[str, np.ndarray]:
+    """Statistics of every text of a slice, as shares of its words; a text without words has ``words`` 0 and shares 0.
+
+    With ``features`` also the hashed features of the distinct words.
+    """
     offsets, index, distinct = common.text_chunks(texts)
     present = pc.greater(pc.binary_length(distinct), 0).to_numpy(zero_copy_only=False)
-
-    def flag(values) -> np.ndarray:
-        return values.to_numpy(zero_copy_only=False)
-
-    bare = pc.utf8_trim(distinct, characters=".,;:!?\"'()[]")
-    upper = pc.utf8_upper(bare)
-    flags = {
-        "marked": flag(pc.match_substring_regex(distinct, r"[*$&#%!]{2,}$|[*$&#%]$")),
-        "capital": flag(pc.and_(pc.and_(pc.equal(bare, upper), pc.not_equal(bare, pc.utf8_lower(bare))), pc.greater(pc.utf8_length(bare), 1))),
-        "bars": flag(pc.match_substring_regex(distinct, r"^[|/\\<>=_~-]+$")),
-        "ended": flag(pc.match_substring_regex(distinct, r"[.!?][\"')\]]*$")),
-        "plain": flag(pc.match_substring_regex(distinct, r"^[\"'(\[]*(\p{L}[\p{Ll}'’-]*|[0-9][0-9.,:-]*)[.,;:!?\"')\]]*$")),
-        "bare": ~flag(pc.match_substring_regex(distinct, r"\p{L}")),
-    }
+    each = traits(distinct, features)
     keep = present[index]
     ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
     index = index[keep]
     n = np.diff(ends)
     low = np.maximum(n, 1)
-    out = {"words": n, "ends": ends, "index": index, "distinct": distinct}
-    for name in ("marked", "capital", "bars", "bare"):
-        out[name] = common.row_sums(flags[name][index].astype(np.int64), ends) / low
-    ended = common.row_sums(flags["ended"][index].astype(np.int64), ends)
-    out["odd"] = np.where(n > 0, 1 - common.row_sums(flags["plain"][index].astype(np.int64), ends) / low, 0)
-    counts = {"symbols": r"[*$&#%|<>=_~^\\/+@!{}]", "upper": r"\p{Lu}", "letters": r"\p{L}"}
-    for name, pattern in counts.items():
-        out[name] = common.row_sums(flag(pc.count_substring_regex(distinct, pattern)).astype(np.int64)[index], ends)
-    out["symbols"] = out["symbols"] / low
-    out["upper"] = out["upper"] / np.maximum(out.pop("letters"), 1)
-    out["unended"] = np.clip(1 - 60 * ended / low, 0, 1)
+    sums = {name: common.row_sums(v.astype(np.int32)[index], ends) for name, v in each.items() if name != "buckets"}
+    out = {"words": n, "ends": ends, "index": index, "buckets": each.get("buckets")}
+    for name in ("marked", "capital", "bars", "bare", "symbols"):
+        out[name] = sums[name] / low
+    out["odd"] = np.where(n > 0, 1 - sums["plain"] / low, 0)
+    out["upper"] = sums["upper"] / np.maximum(sums["letters"], 1)
+    out["unended"] = np.clip(1 - 60 * sums["ended"] / low, 0, 1)
     lower = pc.utf8_lower(distinct).dictionary_encode()
     word = lower.indices.to_numpy(zero_copy_only=False).astype(np.int64)[index]
     row = np.repeat(np.arange(len(n)), n)
@@ -154,33 +209,6 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS
     return model
 
 
-def _shape(word: str) -> str:
-    """Shape of a word: runs of letters, digits and marks, with their case."""
-    out = []
-    for c in word[:24]:
-        s = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != s:
-            out.append(s)
-    return "".join(out)
-
-
-_shapes: dict[str, tuple[int, int]] = {}
-
-
-def buckets_of(words: list[str]) -> np.ndarray:
-    """(word, 2): hashed shape and hashed lower-case form of every word."""
-    if len(_shapes) > CACHE:
-        _shapes.clear()
-    out = []
-    for w in words:
-        got = _shapes.get(w)
-        if got is None:
-            half = BUCKETS // 2
-            got = _shapes[w] = (xxhash.xxh32_intdigest("s" + _shape(w)) % half, half - 8 + xxhash.xxh32_intdigest("w" + w.lower()) % (half - 64))
-        out.append(got)
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
 #: Features that aren't single words.
 EXTRA = ["doubled", "marked", "capital", "bars", "symbols", "same", "unended", "bare", "odd", "upper"]
 
@@ -190,10 +218,11 @@ def extras(stats: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum(stats[k], 1.0) for k in EXTRA], axis=1)
 
 
-def _sampled(docs: DataFrame, id_col: str, rows: int) -> DataFrame:
-    hashed = docs.select(F.xxhash64(id_col).alias("__h"), "*")
-    cut = hashed.select("__h").orderBy("__h").limit(rows).agg(F.max("__h")).first()[0]
-    return hashed.where(F.col("__h") <= (cut if cut is not None else 0)).drop("__h")
+def _sampled(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """(h, g, text) of the rows with the smallest hashes of id and text; more than ``rows`` only by copies with equal hashes."""
+    hashed = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.xxhash64(text_col, id_col).alias("g"), docs[text_col].alias("text"))
+    cut = hashed.select("h", "g").orderBy("h", "g").limit(rows).agg(F.max(F.struct("h", "g")).alias("m")).first()["m"]
+    return hashed.where(F.struct("h", "g") <= F.struct(F.lit(cut["h"]), F.lit(cut["g"]))) if cut else hashed.limit(0)
 
 
 @dataclass
@@ -206,7 +235,7 @@ class Scorer:
 
     def score(self, stats: dict[str, np.ndarray]) -> np.ndarray:
         """Probability of good of every text of a slice; 0 for a text without words."""
-        per_word = self.weights[buckets_of(stats["distinct"].to_pylist())].sum(axis=1)
+        per_word = self.weights[stats["buckets"]].sum(axis=1)
         n = np.maximum(stats["words"], 1)
         z = self.bias + common.row_sums(per_word[stats["index"]], stats["ends"]) / n + extras(stats) @ self.extra
         return np.where(stats["words"] > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
@@ -216,6 +245,7 @@ def count_patterns(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
     """Vote patterns of all documents and how many documents have each."""
 
     def run(batches):
+        common.own("quality", dict)  # what other operators held in this worker goes
         sums: dict[bytes, int] = {}
         for batch in common.sliced(batches, "text", SLICE):
             got, many = np.unique(votes(stats_of_slice(batch.column("text"))), axis=0, return_counts=True)
@@ -230,14 +260,14 @@ def count_patterns(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> tuple[LabelModel, Scorer]:
-    """Fit the label model on all documents and the scorer on the posteriors of a sample of about ``rows`` of them."""
+    """Fit the label model on all documents and the scorer on the posteriors of a sample of at most ``rows`` of them."""
     model = fit_labels(*count_patterns(docs, text_col))
 
     def run(batches):
         for batch in common.sliced(batches, "text", SLICE):
-            stats = stats_of_slice(batch.column("text"))
+            stats = stats_of_slice(batch.column("text"), True)
             post = model.posterior(votes(stats))
-            word = buckets_of(stats["distinct"].to_pylist())[stats["index"]]
+            word = stats["buckets"][stats["index"]].astype(np.int64)
             row = np.repeat(np.arange(len(post)), stats["words"])
             rows_, cols, vals = [], [], []
             for k in (0, 1):
@@ -250,12 +280,13 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows:
             order = np.argsort(at, kind="stable")
             ends = np.searchsorted(at[order], np.arange(len(post) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), pa.array(post), pa.ListArray.from_arrays(pa.array(ends), pa.array(col[order].astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(val[order].astype(np.float32))), pa.array(list(extras(stats)), pa.list_(pa.float64())), pa.array(stats["words"])],
-                names=["h", "post", "cols", "vals", "extra", "words"],
+                [batch.column("h"), batch.column("g"), pa.array(post), pa.ListArray.from_arrays(pa.array(ends), pa.array(col[order].astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(val[order].astype(np.float32))), pa.array(list(extras(stats)), pa.list_(pa.float64())), pa.array(stats["words"])],
+                names=["h", "g", "post", "cols", "vals", "extra", "words"],
             )
 
-    sample = _sampled(docs, id_col, rows).select(F.xxhash64(id_col, text_col).alias("h"), docs[text_col].alias("text"))
-    got = sample.mapInArrow(run, "h long, post double, cols array<int>, vals array<float>, extra array<double>, words long").where("words > 0").orderBy("h").toPandas()
+    sample = _sampled(docs, id_col, text_col, rows)
+    found = sample.mapInArrow(run, "h long, g long, post double, cols array<int>, vals array<float>, extra array<double>, words long").where("words > 0")
+    got = found.orderBy("h", "g").limit(rows).toPandas()  # rows with equal hashes are copies of each other
     return model, fit_scorer(got)
 
 
@@ -292,7 +323,7 @@ def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: tuple[
 
     def run(batches):
         for batch in common.sliced(batches, "__text", SLICE):
-            got = shared.value.score(stats_of_slice(batch.column("__text")))
+            got = shared.value.score(stats_of_slice(batch.column("__text"), True))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(got, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
