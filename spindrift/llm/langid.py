@@ -56,8 +56,8 @@ SCRIPT_NAMES = [*SCRIPTS, "other"]
 def _script_table() -> np.ndarray:
     """Script number of every code point (-1 where it isn't a letter)."""
     table = np.full(0x110000, -1, np.int8)
-    letters = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
-    table[:0x30000][letters] = len(SCRIPTS)
+    letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    table[letters] = len(SCRIPTS)
     for k, ranges in enumerate(SCRIPTS.values()):
         for a, b in ranges:
             part = table[a : b + 1]
@@ -122,12 +122,12 @@ def ngrams(words: list[str]):
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """Fit the model on at most about ``rows`` rows of ``labelled`` with text and label, chosen by the hash of their id.
+    """Fit the model on about ``rows`` rows of ``labelled`` with text and label, chosen by the hash of their id and text.
 
-    The sample is the rows whose hash is below the ``rows``-th smallest (repeated ids come whole). What reaches the driver is
+    The sample is the rows whose hash is at most the ``rows``-th smallest (copies of a row come whole, and count where they lie). What reaches the driver is
     a table of counts by bucket and language, of fixed size. No labelled rows: a model without languages.
     """
-    usable = labelled.select(F.xxhash64(id_col).alias("h"), labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
+    usable = labelled.select(F.xxhash64(id_col, text_col).alias("h"), labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
     cut = usable.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if cut is None:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
@@ -168,11 +168,12 @@ def word_scores(words: list[str], model: Model):
     n, k = len(words), len(model.langs)
     total = np.zeros((n, k))
     many = np.maximum(np.bincount(owner, minlength=n), 1)
-    for j in range(k):
-        total[:, j] = np.bincount(owner, weights=model.weights[buckets, j], minlength=n)
-    total = np.clip(total / np.sqrt(many)[:, None], -MOST, MOST)
     candidate = (scripts > 0).astype(np.float32) @ model.uses.astype(np.float32) >= (scripts > 0).sum(axis=1)[:, None]
     candidate |= ~candidate.any(axis=1)[:, None]  # no language uses all of these scripts: none is out
+    for j in range(k):  # only n-grams of words that the scripts leave to the language
+        at = slice(None) if candidate[:, j].all() else candidate[owner, j]
+        total[:, j] = np.bincount(owner[at], weights=model.weights[buckets[at], j], minlength=n)
+    total = np.clip(total / np.sqrt(many)[:, None], -MOST, MOST)
     total = np.where(candidate, total, -2 * MOST)
     total[letters == 0] = 0
     return total.astype(np.float32), letters
@@ -206,7 +207,8 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
     for j in range(1, int(blocks.max())):
         now = _blocks_at(first, blocks, j)
         entry[now] = (entry[now - 1][:, :, None] + gain[now - 1]).max(axis=1)
-    best, back = entry, np.zeros((m, BLOCK, k), np.int8)
+    small = np.int8 if k < 128 else np.int32
+    best, back = entry, np.zeros((m, BLOCK, k), small)
     for t in range(BLOCK):
         top = best.argmax(axis=1)
         high = np.take_along_axis(best, top[:, None], 1) - switch
@@ -220,7 +222,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
     for j in range(int(blocks.max()) - 1, 0, -1):
         now = _blocks_at(first, blocks, j)
         at_end[now - 1] = came[now, at_end[now]]
-    labels = np.zeros((m, BLOCK), np.int8)
+    labels = np.zeros((m, BLOCK), small)
     for t in range(BLOCK - 1, -1, -1):
         labels[:, t] = at_end
         at_end = back[np.arange(m), t, at_end].astype(np.int64)
@@ -247,6 +249,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats, whatever the data
 
     def run(batches):
+        common.own("language", dict)  # what other operators held in this worker goes
         model = shared.value
         k, names = len(model.langs), np.array([*model.langs, UNKNOWN], object)
         for batch in common.sliced(batches, "__text", SLICE):

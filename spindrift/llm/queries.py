@@ -5,12 +5,6 @@ from __future__ import annotations
 from . import bpe, embeddings, langid, packing, pii, quality, secrets, simhash, tokens, topk
 
 
-def _pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_token_files": tokens.query,
     "op2_language_id": langid.query,
@@ -22,6 +16,5 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_pii": pii.query,
     "op10_simhash_near_dedup": simhash.query,
-    "pipeline": _pipeline,
 }
 ORACLES = {"op5_embedding_near_dedup": embeddings.ORACLE, "op6_top_k": topk.ORACLE}
