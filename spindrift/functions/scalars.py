@@ -130,24 +130,54 @@ def subtype_label(category, sub) -> Column:
     return F.coalesce(F.create_map(*pairs)[F.concat_ws("/", _col(category), _col(sub))], _col(sub))
 
 
-def passes(value, rule: str) -> Column:
+def threshold(rule: str, override: dict | None = None) -> tuple[float, str]:
+    """(limit, relation) of a rule; ``override`` replaces limits by name. An unknown name is a KeyError."""
+    limit, relation = rules.THRESHOLDS[rule]
+    return float((override or {}).get(rule, limit)), relation
+
+
+def passes(value, rule: str, override: dict | None = None) -> Column:
     """Whether a value crosses a threshold; null doesn't."""
-    value, (limit, relation) = _col(value), rules.THRESHOLDS[rule]
+    value, (limit, relation) = _col(value), threshold(rule, override)
     test = {">=": value >= limit, ">": value > limit, "<=": value <= limit, "<": value < limit}[relation]
     return F.coalesce(test, F.lit(False))
 
 
-def severity(value, rule: str) -> Column:
+def severity(value, rule: str, override: dict | None = None) -> Column:
     """0 before the gate, 0.5 at it, 1 from twice the gate on (half of it for upper limits)."""
-    x, (gate, relation) = _col(value).cast("double"), rules.THRESHOLDS[rule]
-    share = (x - gate) / gate if relation[0] == ">" else (gate - x) / (gate / 2)
-    return F.when(passes(value, rule), 0.5 + 0.5 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))).otherwise(F.lit(0.0))
+    x, (gate, relation) = _col(value).cast("double"), threshold(rule, override)
+    share = (x - gate) / max(1e-6, gate) if relation[0] == ">" else (gate - x) / max(1e-6, gate / 2)
+    return F.when(passes(value, rule, override), 0.5 + 0.5 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))).otherwise(F.lit(0.0))
 
 
-def describe(value, rule: str, digits: int = 1) -> Column:
+def describe(value, rule: str, digits: int = 1, override: dict | None = None, unit: str = "") -> Column:
     """Text of a value beside its threshold."""
-    limit, relation = rules.THRESHOLDS[rule]
-    return F.concat(F.format_string(f"%.{digits}f", _col(value).cast("double")), F.lit(f" {relation} {limit:g}: "), F.when(passes(value, rule), "yes").otherwise("no"))
+    limit, relation = threshold(rule, override)
+    shown = F.coalesce(F.format_string(f"%.{digits}f", _col(value).cast("double")), F.lit("N/A"))
+    return F.concat(shown, F.lit(f"{unit} {relation} {limit:g}{unit}: "), F.when(passes(value, rule, override), "yes").otherwise("no"))
+
+
+def format_us(value) -> Column:
+    """Readable time of microseconds: us below a thousand, else ms, else s."""
+    v = _col(value).cast("double")
+    return F.when(F.abs(v) < 1000, F.format_string("%.1f us", v)).when(F.abs(v) < 1_000_000, F.format_string("%.2f ms", v / 1000)).otherwise(F.format_string("%.2f s", v / 1_000_000))
+
+
+def format_pct(value, digits: int = 1) -> Column:
+    """Percentage with ``digits`` decimals."""
+    return F.format_string(f"%.{digits}f%%", _col(value).cast("double"))
+
+
+def format_count(value) -> Column:
+    """Count with K or M from a thousand or a million on."""
+    v = _col(value).cast("double")
+    return F.when(F.abs(v) < 1000, F.format_string("%.0f", v)).when(F.abs(v) < 1_000_000, F.format_string("%.1fK", v / 1000)).otherwise(F.format_string("%.2fM", v / 1_000_000))
+
+
+def format_shape(value) -> Column:
+    """Shapes as CANN-like tables write them (``1,2;3,4``) as ``[1x2] [3x4]``; empty for none."""
+    parts = F.filter(F.split(F.regexp_replace(F.coalesce(_col(value), F.lit("")), '[" \\[\\]]', ""), ";"), lambda x: x != "")
+    return F.array_join(F.transform(parts, lambda x: F.concat(F.lit("["), F.replace(x, F.lit(","), F.lit("x")), F.lit("]"))), " ")
 
 
 def rel_pct(before, after) -> Column:
@@ -175,7 +205,13 @@ def acceptance_threshold(expected) -> Column:
 def stage_phase(stage) -> Column:
     """Phase that a stage text names."""
     s = F.lower(F.coalesce(_col(stage), F.lit("")))
-    return F.when(s.rlike("prefill|prompt|context"), "prefill").when(s.rlike("decode|generat"), "decode").otherwise("unknown")
+    return F.when(s.rlike(rules.PREFILL_TEXT), "prefill").when(s.rlike(rules.DECODE_TEXT), "decode").otherwise("unknown")
+
+
+def named_phase(text) -> Column:
+    """Phase that a text names, null if none."""
+    found = stage_phase(text)
+    return F.when(found != "unknown", found)
 
 
 def format_bytes(n) -> Column:

@@ -15,11 +15,13 @@ R, P = S.round_half_up, S.percent_of
 def indicators(events: DataFrame, scopes: DataFrame) -> DataFrame:
     """One row of measures for each scope.
 
-    ``events`` carry ``scope`` (an event of several scopes occurs in each), device, category, subtype, role, name, ts, te, dur;
+    ``events`` carry ``scope`` (an event of several scopes occurs in each), device, category, subtype, role, name, ts, te, dur and,
+    where message sizes are known, ``size_mb``; they are read several times, so a caller writes them first if they are costly.
     ``scopes`` has scope, phase, ws, we, steps. Interval measures come from sweeps keyed by scope, the rest from one aggregate.
     """
-    busy = I.sweep(events, "device", "device", "host", ["scope"], "ts", "te").selectExpr("scope", "left_us as db", "right_us as hb", "left_only_us as d_only", "right_only_us as h_only")
-    comm = I.sweep(events.where("device = 'device'"), "category", "comm", "compute", ["scope"], "ts", "te").selectExpr("scope", "left_us as cu", "both_us as co", "left_only_us as ce")
+    sides = {"d": "device = 'device'", "h": "device = 'host'", "c": "device = 'device' and category = 'comm'", "k": "device = 'device' and category = 'compute'"}
+    spans = {"db": "d > 0", "hb": "h > 0", "d_only": "d > 0 and h = 0", "h_only": "h > 0 and d = 0", "cu": "c > 0", "co": "c > 0 and k > 0", "ce": "c > 0 and k = 0"}
+    busy = I.sweeps(events, sides, spans, ["scope"], "ts", "te")
     idle = I.gaps(events.where("device = 'device'"), scopes.select("scope", "ws", "we"), int(rules.MIN_GAP_US), ["scope"], "ts", "te").groupBy("scope").agg(F.sum("dur").alias("idle"), F.max("dur").alias("gmax"), F.count("*").alias("gn"))
     # first by what rows have in common, then conditional sums over those few rows
     sync = F.expr(f"device = 'host' and name rlike '(?i){rules.SYNC_OPS}'").alias("sync")
@@ -33,9 +35,11 @@ def indicators(events: DataFrame, scopes: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.expr(f"{device} = 'compute' and subtype = 'attention'")), F.lit(False)).alias("hasAttention"),
     )
     middle = lambda kind: F.expr(f"percentile(case when category = '{kind}' then dur end, 0.5)")
-    medians = events.where("device = 'device' and category in ('comm', 'compute')").groupBy("scope").agg(middle("comm").alias("cm"), middle("compute").alias("km"))
+    sized = "size_mb" if "size_mb" in events.columns else "cast(null as double)"
+    medians = events.where("device = 'device' and category in ('comm', 'compute')").groupBy("scope").agg(middle("comm").alias("cm"), middle("compute").alias("km"), F.expr(f"percentile(case when category = 'comm' and {sized} > 0 then {sized} end, 0.5)").alias("cs"))
     sums = sums.join(medians, "scope", "left")
-    x = scopes.join(sums, "scope", "left").join(busy, "scope", "left").join(comm, "scope", "left").join(idle, "scope", "left").na.fill(0)
+    x = scopes.join(sums, "scope", "left").join(busy, "scope", "left").join(idle, "scope", "left")
+    x = x.na.fill(0, [k for k in x.columns if k != "cs"])
     c = F.col
     wall = F.greatest(F.lit(1.0), (c("we") - c("ws")).cast("double"))
     per_step = lambda v, digits=2: R(F.when(c("steps") > 0, v / c("steps")).otherwise(0.0), digits)
@@ -44,7 +48,7 @@ def indicators(events: DataFrame, scopes: DataFrame) -> DataFrame:
         "wallUs": R(wall), "stepCount": c("steps"), "eventCount": c("n"), "deviceEventCount": c("dn"), "hostEventCount": c("hn"), "deviceBusyUs": R(c("db")), "deviceBusyPct": R(P(c("db"), wall)), "hostBusyUs": R(c("hb")), "hostBusyPct": R(P(c("hb"), wall)),
         "idleUs": R(c("idle")), "idlePct": R(P(c("idle"), wall)), "hostOnlyUs": R(c("h_only")), "hostOnlyPct": R(P(c("h_only"), wall)), "deviceOnlyUs": R(c("d_only")), "deviceOnlyPct": R(P(c("d_only"), wall)), "commUs": R(c("cu")), "commPct": R(P(c("cu"), wall)),
         "commPctOfDevice": R(P(c("cu"), own("db"))), "commExposedUs": R(c("ce")), "commExposedPct": R(P(c("ce"), wall)), "commOverlapPct": R(P(c("co"), own("cu"))), "commEventCount": c("cn"), "commPerStep": per_step(c("cn")), "commUsPerStep": per_step(c("cu")),
-        "commLatencyMedianUs": R(c("cm")), "commSizeMedianMb": F.lit(None).cast("double"), "computeUs": R(c("ku")), "computePct": R(P(c("ku"), wall)), "computePctOfDevice": R(P(c("ku"), own("db"))), "copyUs": R(c("yu")), "copyPct": R(P(c("yu"), wall)), "hostCopyUs": R(c("hy")),
+        "commLatencyMedianUs": R(c("cm")), "commSizeMedianMb": R(c("cs"), 4), "computeUs": R(c("ku")), "computePct": R(P(c("ku"), wall)), "computePctOfDevice": R(P(c("ku"), own("db"))), "copyUs": R(c("yu")), "copyPct": R(P(c("yu"), wall)), "hostCopyUs": R(c("hy")),
         "hostCopyPctOfHost": R(P(c("hy"), own("hb"))), "hostCopyPct": R(P(c("hy"), wall)), "d2hPerStepUs": per_step(c("d2h")), "h2dPerStepUs": per_step(c("h2d")), "hostScheduleUs": R(c("hs")), "hostSchedulePctOfHost": R(P(c("hs"), own("hb"))), "dispatchEventCount": c("disp"),
         "dispatchPerStep": per_step(c("disp"), 1), "hostSyncUs": R(c("su")), "hostSyncCount": c("sn"), "hostSyncPerStep": per_step(c("sn")), "hostExclusivePerStepUs": R(F.when(c("steps") > 0, c("h_only") / c("steps")).otherwise(c("h_only"))), "maxGapUs": R(c("gmax")),
         "maxGapPct": R(P(c("gmax"), wall)), "meanGapUs": R(F.when(c("gn") > 0, c("idle") / c("gn")).otherwise(0.0)), "gapCount": c("gn"), "avgStepUs": R(F.when(c("steps") > 0, wall / c("steps")).otherwise(wall)), "medianComputeUs": R(c("km")), "hasAttention": c("hasAttention"),
@@ -57,9 +61,9 @@ def settled(block: DataFrame) -> DataFrame:
     return block.sparkSession.createDataFrame(block.collect(), block.schema)
 
 
-def scores() -> dict[str, Column]:
-    """Score of each bottleneck over indicator columns (with ``mac`` and ``mte2``, null where unknown)."""
-    sev, ok, c = S.severity, S.passes, F.col
+def scores(override: dict | None = None) -> dict[str, Column]:
+    """Score of each bottleneck over indicator columns (with ``mac`` and ``mte2``, null where unknown); ``override`` replaces limits."""
+    sev, ok, c = (lambda v, r: S.severity(v, r, override)), (lambda v, r: S.passes(v, r, override)), F.col
     host = F.when(
         ok("hostOnlyPct", "hostOnlyGate") | ok("idlePct", "deviceIdleSupport"),
         45 * F.greatest(sev("hostOnlyPct", "hostOnlyGate"), sev("idlePct", "deviceIdleSupport"))
@@ -91,45 +95,86 @@ def compute_subtype() -> Column:
     return F.when(gate & S.passes("mac", "macRatioComputeBound"), "compute-bound").when(gate & S.passes("mte2", "mte2RatioMemoryBound"), "memory-bound").when(gate & S.passes("mac", "lowUtilizationGate"), "low-efficiency")
 
 
-def candidates(block: DataFrame) -> DataFrame:
+def candidates(block: DataFrame, override: dict | None = None) -> DataFrame:
     """(scope, phase, bottleneck, score, place): all bottlenecks of each scope, best first; ties in the order host, compute, comm, copy."""
-    s = scores()
+    s = scores(override)
     long = block.select("*", F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("bottleneck"), v.alias("score")) for i, (k, v) in enumerate(s.items())))))
     return long.selectExpr("scope", "phase", "bottleneck", "score", "cast(row_number() over (partition by scope order by score desc, i) as int) as place")
 
 
-def verdicts(block: DataFrame, trigger: float = rules.TRIGGER_SCORE) -> DataFrame:
+def verdicts(block: DataFrame, trigger: float = rules.TRIGGER_SCORE, override: dict | None = None) -> DataFrame:
     """(scope, phase, bottleneck, score): the best of each scope, ``balanced`` below the trigger."""
-    return candidates(block).where("place = 1").select("scope", "phase", F.when(F.col("score") >= trigger, F.col("bottleneck")).otherwise("balanced").alias("bottleneck"), "score")
+    return candidates(block, override).where("place = 1").select("scope", "phase", F.when(F.col("score") >= trigger, F.col("bottleneck")).otherwise("balanced").alias("bottleneck"), "score")
 
 
-def headline(block: DataFrame, trigger: float = rules.TRIGGER_SCORE) -> DataFrame:
+def headline(block: DataFrame, trigger: float = rules.TRIGGER_SCORE, override: dict | None = None) -> DataFrame:
     """The scope and bottleneck with the highest score."""
-    return verdicts(block, trigger).orderBy(F.desc("score"), "scope").limit(1)
+    return verdicts(block, trigger, override).orderBy(F.desc("score"), "scope").limit(1)
 
 
-def evidence(block: DataFrame) -> DataFrame:
+#: Each gate beside its measure.
+GATES = [
+    ("hostOnlyGate", "hostOnlyPct"), ("deviceIdleSupport", "idlePct"), ("dispatchPerStep", "dispatchPerStep"), ("hostExclusivePerStepUs", "hostExclusivePerStepUs"), ("hostBusyGate", "hostBusyPct"), ("deviceBusyGate", "deviceBusyPct"), ("computeShareGate", "computePct"),
+    ("commExposedLow", "commExposedPct"), ("commShareGate", "commPctOfDevice"), ("commExposedGate", "commExposedPct"), ("commLatencyBoundUs", "commLatencyMedianUs"), ("copyShareGate", "copyPct"), ("hostCopyShareGate", "hostCopyPctOfHost"), ("d2hPerStepUs", "d2hPerStepUs"),
+]
+
+
+def evidence(block: DataFrame, override: dict | None = None) -> DataFrame:
     """(scope, rule, metric, value, threshold, crossed, severity, text): each gate beside its measure."""
-    pairs = [
-        ("hostOnlyGate", "hostOnlyPct"), ("deviceIdleSupport", "idlePct"), ("dispatchPerStep", "dispatchPerStep"), ("hostExclusivePerStepUs", "hostExclusivePerStepUs"), ("hostBusyGate", "hostBusyPct"), ("deviceBusyGate", "deviceBusyPct"), ("computeShareGate", "computePct"),
-        ("commExposedLow", "commExposedPct"), ("commShareGate", "commPctOfDevice"), ("commExposedGate", "commExposedPct"), ("commLatencyBoundUs", "commLatencyMedianUs"), ("copyShareGate", "copyPct"), ("hostCopyShareGate", "hostCopyPctOfHost"), ("d2hPerStepUs", "d2hPerStepUs"),
+    rows = [
+        F.struct(F.lit(r).alias("rule"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(S.threshold(r, override)[0]).alias("threshold"), S.passes(m, r, override).alias("crossed"), R(S.severity(m, r, override), 4).alias("severity"), S.describe(m, r, 1, override, rules.unit_of(m)).alias("text"))
+        for r, m in GATES
     ]
-    rows = [F.struct(F.lit(r).alias("rule"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(rules.THRESHOLDS[r][0]).alias("threshold"), S.passes(m, r).alias("crossed"), R(S.severity(m, r), 4).alias("severity"), S.describe(m, r).alias("text")) for r, m in pairs]
     return block.select("scope", F.inline(F.array(*rows)))
 
 
-def causes(block: DataFrame, trigger: float = rules.TRIGGER_SCORE) -> DataFrame:
+def missing(block: DataFrame, override: dict | None = None) -> DataFrame:
+    """(scope, rule, text): the gates that a scope does not reach, with what is lacking."""
+    found = evidence(block, override).where("not crossed")
+    return found.select("scope", "rule", F.concat("metric", F.lit(" "), F.coalesce(F.format_string("%.1f", "value"), F.lit("N/A")), F.lit(" does not reach "), F.format_string("%.1f", "threshold")).alias("text"))
+
+
+def evidence_table(block: DataFrame) -> DataFrame:
+    """(scope, place, group, metric, value, unit): the measures that a report shows of each scope."""
+    rows = [(g, m) for g, ms in rules.EVIDENCE for m in ms]
+    cells = [F.struct(F.lit(i).alias("place"), F.lit(g).alias("group"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(rules.unit_of(m)).alias("unit")) for i, (g, m) in enumerate(rows)]
+    return block.select("scope", F.inline(F.array(*cells)))
+
+
+def triggers(found: DataFrame, block: DataFrame) -> DataFrame:
+    """(scope, cause, metric, value, unit): the measures behind each cause of ``causes``, by the bottleneck in its name."""
+    cells = []
+    for kind, ms in rules.TRIGGERS.items():
+        cells += [F.when(F.expr(test or "true"), F.struct(F.lit(kind).alias("kind"), F.lit(m).alias("metric"), R(F.col(m).cast("double")).alias("value"), F.lit(rules.unit_of(m)).alias("unit"), F.col(m).isNull().alias("none"))) for m, test in ms]
+    long = block.select("scope", F.inline(F.array_compact(F.array(*cells))))
+    own = found.select("scope", "cause", F.substring_index("cause", ".", 1).alias("kind"))
+    return own.join(long, ["scope", "kind"]).select("scope", "cause", "metric", F.when(~F.col("none"), F.col("value")).alias("value"), "unit")
+
+
+def warnings(block: DataFrame, reached: DataFrame, sampled: bool = False) -> DataFrame:
+    """(warning, detail) of a capture: what makes its conclusions less sure. ``reached`` are the scopes' candidates."""
+    whole = block.where("scope = 'overall'")
+    tests = [
+        ("phases", "phaseConfidence = 'low'", "phases are told apart with low confidence"), ("sampling", str(sampled).lower(), "the trace is sampled"), ("steps", "stepCount <= 1", "a single step was found"), ("utilisation", "mac is null and mte2 is null", "no utilisation of operators"),
+    ]
+    own = whole.select(F.inline(F.array_compact(F.array(*(F.when(F.expr(f"coalesce({t}, false)"), F.struct(F.lit(w).alias("warning"), F.lit(d).alias("detail"))) for w, t, d in tests)))))
+    none = reached.groupBy("scope").agg(F.max("score").alias("score")).where(F.col("score") < rules.TRIGGER_SCORE)
+    none = none.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("scope")), ", ").alias("detail")).where("n > 0").selectExpr("'no bottleneck' as warning", "detail")
+    return own.unionByName(none)
+
+
+def causes(block: DataFrame, trigger: float = rules.TRIGGER_SCORE, override: dict | None = None) -> DataFrame:
     """(scope, phase, bottleneck, cause): causes whose condition holds, for the bottlenecks that reach the trigger; ``<bottleneck>.generic`` if none does."""
-    hit = candidates(block).where(F.col("score") >= trigger).select("scope", "bottleneck")
+    hit = candidates(block, override).where(F.col("score") >= trigger).select("scope", "bottleneck")
     tests = [F.when(F.expr(f"(phase = 'overall' or '{ph}' in ('both', phase)) and ({test})"), F.struct(F.lit(i).alias("i"), F.lit(b).alias("bottleneck"), F.lit(c).alias("cause"))) for i, (c, b, ph, test) in enumerate(rules.CAUSES)]
     long = block.select("scope", "phase", F.explode(F.array_compact(F.array(*tests))).alias("x")).select("scope", "phase", "x.*")
     own = hit.join(long, ["scope", "bottleneck"], "left").join(block.select("scope", F.col("phase").alias("p")), "scope")
     return own.selectExpr("scope", "p as phase", "bottleneck", "coalesce(cause, concat(bottleneck, '.generic')) as cause")
 
 
-def advice(block: DataFrame, trigger: float = rules.TRIGGER_SCORE) -> DataFrame:
+def advice(block: DataFrame, trigger: float = rules.TRIGGER_SCORE, override: dict | None = None) -> DataFrame:
     """(scope, advice, bottleneck, level, gain_pct, low_pct, priority): advice whose condition holds, highest priority first in each scope."""
-    score = candidates(block).select("scope", "bottleneck", "score")
+    score = candidates(block, override).select("scope", "bottleneck", "score")
     items = []
     for i, (a, b, ph, level, test, gain, low) in enumerate(rules.ADVICE):
         g = R(F.expr(f"cast({gain} as double)"), 1)
@@ -145,6 +190,18 @@ def merged_advice(found: DataFrame) -> DataFrame:
     return found.groupBy("advice").agg(F.max("priority").alias("priority"), F.max("gain_pct").alias("gain_pct"), F.max("low_pct").alias("low_pct"), F.array_join(F.array_sort(F.collect_set("scope")), ",").alias("scopes"))
 
 
+def by_level(found: DataFrame) -> DataFrame:
+    """(level, items): advice grouped by its level, highest first, each group by falling priority."""
+    one = found.groupBy("advice").agg(F.max("level").alias("level"), F.max("priority").alias("priority"))
+    return one.groupBy("level").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "advice"))), lambda x: x["advice"]).alias("items"))
+
+
+def top_actions(found: DataFrame, bottleneck: str | None = None, n: int = 3) -> DataFrame:
+    """The ``n`` advice items of highest priority, of one bottleneck if it is named."""
+    own = found if bottleneck is None else found.where(F.col("bottleneck") == bottleneck)
+    return merged_advice(own).orderBy(F.desc("priority"), "advice").limit(n)
+
+
 def combined_gains(found: DataFrame) -> DataFrame:
     """One row: items with a gain, capped sums of expected (70) and careful (50) gains."""
     return merged_advice(found).where("gain_pct > 0").agg(F.count("*").alias("items"), R(F.least(F.lit(70.0), F.coalesce(F.sum("gain_pct"), F.lit(0.0))), 1).alias("optimistic_pct"), R(F.least(F.lit(50.0), F.coalesce(F.sum("low_pct"), F.lit(0.0))), 1).alias("conservative_pct"))
@@ -153,11 +210,17 @@ def combined_gains(found: DataFrame) -> DataFrame:
 # --- comparison of two captures -------------------------------------------------------------------------------------------
 
 
+def described_metrics(spark) -> DataFrame:
+    """(metric, label, unit, direction, group) of all compared metrics, in report order."""
+    return spark.createDataFrame([(m, *rules.METRIC_TEXT[m][:1], rules.unit_of(m), d, rules.METRIC_TEXT[m][1]) for m, d in rules.METRICS], "metric string, label string, unit string, direction string, group string")
+
+
 def compared_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(metric, before, after, delta_pct, direction, improved) of two one-row indicator blocks."""
-    rows = lambda block, name: block.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(m).alias("metric"), F.lit(d).alias("direction"), F.col(m).cast("double").alias(name)) for i, (m, d) in enumerate(rules.METRICS)))))
-    both = rows(before, "before").join(rows(after, "after").select("metric", "after"), "metric")
-    return both.withColumn("delta_pct", R(S.rel_pct("before", "after"))).select("metric", "before", "after", F.when(S.rel_pct("before", "after").isNotNull(), F.col("delta_pct")).alias("delta_pct"), "direction", S.judged(S.rel_pct("before", "after"), "direction").alias("improved"))
+    """(metric, before, after, delta_abs, delta_pct, improvement_pct, direction, improved) of two one-row indicator blocks."""
+    rows = lambda block, name: block.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(d).alias("direction"), F.col(m).cast("double").alias(name)) for m, d in rules.METRICS))))
+    both = rows(before, "before").join(rows(after, "after").select("metric", "after"), "metric").withColumn("raw", S.rel_pct("before", "after"))
+    known = lambda v, digits=1: F.when(v.isNotNull(), R(v, digits))
+    return both.select("metric", "before", "after", known(F.col("after") - F.col("before"), 2).alias("delta_abs"), known(F.col("raw")).alias("delta_pct"), known(S.improvement_pct("raw", "direction")).alias("improvement_pct"), "direction", S.judged("raw", "direction").alias("improved"))
 
 
 def compared_operators(before: DataFrame, after: DataFrame, noise_us: int = 1) -> DataFrame:
@@ -167,28 +230,73 @@ def compared_operators(before: DataFrame, after: DataFrame, noise_us: int = 1) -
     return both.selectExpr("*", "after_us - before_us as delta_us", f"case when after_us - before_us < -{noise_us} then 'improved' when after_us - before_us > {noise_us} then 'regressed' else 'unchanged' end as verdict")
 
 
-def verified_advice(found: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(advice, metric, expected_pct, observed_pct, verdict): the first comparable target of each advice decides."""
+def verified_advice(found: DataFrame, metrics: DataFrame, later: DataFrame | None = None) -> DataFrame:
+    """(advice, metric, expected_pct, observed_pct, threshold_pct, verdict, still_recommended): what became of merged advice.
+
+    The first target metric of each advice decides: achieved from the threshold on, partial above 0, else missed; unknown without a
+    target or a comparable value. ``later`` is the merged advice of the second capture.
+    """
     spark = found.sparkSession
-    targets = spark.createDataFrame([(a, m, i) for a, ms in rules.ADVICE_TARGETS.items() for i, m in enumerate(ms)], "advice string, metric string, place int")
-    each = found.select("advice", F.col("gain_pct").alias("expected_pct")).join(F.broadcast(targets), "advice", "left").join(metrics, "metric", "left")
-    best = each.groupBy("advice", "expected_pct").agg(F.min_by(F.struct("metric", "delta_pct", "direction"), F.struct(F.col("delta_pct").isNull(), "place")).alias("b")).select("advice", "expected_pct", "b.*")
-    seen = F.when(F.col("direction").isin("lower", "higher"), S.improvement_pct("delta_pct", "direction"))
-    limit = S.acceptance_threshold("expected_pct")
-    return best.select("advice", "metric", "expected_pct", seen.alias("observed_pct"), F.when(seen.isNull(), "unknown").when(seen >= limit, "achieved").when(seen > rules.NOISE_PCT, "partial").otherwise("missed").alias("verdict"))
+    targets = spark.createDataFrame([(a, ms[0]) for a, ms in rules.ADVICE_TARGETS.items() if ms], "advice string, metric string")
+    each = found.select("advice", F.col("gain_pct").alias("expected_pct")).join(F.broadcast(targets), "advice", "left")
+    each = each.join(metrics.select("metric", F.col("improvement_pct").alias("observed_pct")), "metric", "left")
+    still = F.lit(False) if later is None else F.col("__still").isNotNull()
+    if later is not None:
+        each = each.join(later.select(F.col("advice").alias("__still")).distinct(), F.col("advice") == F.col("__still"), "left")
+    limit = F.when(F.col("expected_pct").isNotNull(), S.acceptance_threshold("expected_pct"))
+    seen, unknown = F.col("observed_pct"), F.col("advice").isin(rules.CONFIDENCE_ADVICE)
+    verdict = F.when(unknown | seen.isNull(), "unknown").when(seen >= F.coalesce(limit, F.lit(1.0)), "achieved").when(seen > 0, "partial").otherwise("missed")
+    return each.select("advice", "metric", "expected_pct", "observed_pct", limit.alias("threshold_pct"), verdict.alias("verdict"), still.alias("still_recommended"))
+
+
+#: Checks of comparability: (name, whether it lowers the level, condition over both sides with a missing value as no difference).
+CHECKS = [
+    ("steps", True, "abs({steps}) > 15"), ("mix", True, "exists(array_union(map_keys(b_mix), map_keys(a_mix)), k -> abs(coalesce(b_mix[k], 0) - coalesce(a_mix[k], 0)) > 10)"), ("override", True, "b_override <> a_override"), ("sampled", True, "b_sampled or a_sampled"),
+    ("source", False, "not (b_source <=> a_source)"), ("files", True, "size(array_except(b_files, a_files)) + size(array_except(a_files, b_files)) > 0"), ("bottleneck", False, "b_bottleneck <> a_bottleneck"), ("window", False, "abs({wall_us}) > 20"),
+]
 
 
 def comparability(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: checks that differ between two captures (each a boolean) and the level high, medium or low.
+    """One row: for each check whether it speaks against comparing two captures, the number of those that warn, the level.
 
-    Both sides are one row: ranks, steps, wall_us, sampled, source, mac_known, phases, files.
+    Both sides are one row: steps, wall_us, mix (phase -> share of the window in percent), override, sampled, source, files (names),
+    bottleneck. The level is high without a warning, medium with one, else low; checks that only inform do not lower it.
     """
     b, a = before.select(*(F.col(c).alias(f"b_{c}") for c in before.columns)), after.select(*(F.col(c).alias(f"a_{c}") for c in after.columns))
-    x = b.join(F.broadcast(a))
-    checks = {
-        "ranks": "b_ranks <> a_ranks", "steps": "abs(b_steps - a_steps) > 0.2 * greatest(b_steps, a_steps)", "window": "abs(b_wall_us - a_wall_us) > 0.5 * greatest(b_wall_us, a_wall_us)", "sampled": "b_sampled <> a_sampled",
-        "source": "b_source <> a_source", "metrics": "b_mac_known <> a_mac_known", "phases": "b_phases <> a_phases", "files": "b_files <> a_files",
-    }
-    x = x.selectExpr(*(f"({t}) as differs_{k}" for k, t in checks.items()))
-    warn = " + ".join(f"int(differs_{k})" for k in checks if k not in ("source", "files"))
+    change = {c: f"case when b_{c} = 0 then case when a_{c} = 0 then 0 end else (a_{c} - b_{c}) / abs(b_{c}) * 100 end" for c in ("steps", "wall_us")}
+    x = b.join(F.broadcast(a)).selectExpr(*(f"coalesce({t.format(**change)}, false) as differs_{k}" for k, _, t in CHECKS))
+    warn = " + ".join(f"int(differs_{k})" for k, warns, _ in CHECKS if warns)
     return x.selectExpr("*", f"{warn} as warnings", f"case when {warn} = 0 then 'high' when {warn} = 1 then 'medium' else 'low' end as level")
+
+
+def comparison_warnings(checks: DataFrame, metrics: DataFrame, verified: DataFrame) -> DataFrame:
+    """(warning, detail) of a comparison: checks that warn, another bottleneck, shares that went the wrong way, missed advice."""
+    told = [k for k, warns, _ in CHECKS if warns or k == "bottleneck"]
+    own = checks.select(F.explode(F.array_compact(F.array(*(F.when(F.col(f"differs_{k}"), F.lit(k)) for k in told)))).alias("warning")).selectExpr("warning", "'' as detail")
+    shares = [m for m, d in rules.METRICS if rules.unit_of(m) == "%" and d != "neutral"]
+    listed = lambda rows, column, name: rows.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(column)), ", ").alias("detail")).where("n > 0").selectExpr(f"'{name}' as warning", "detail")
+    turned = listed(metrics.where(F.col("metric").isin(shares) & (F.col("improvement_pct") < 0)), "metric", "reversed shares")
+    return own.unionByName(turned).unionByName(listed(verified.where("verdict = 'missed'"), "advice", "missed advice"))
+
+
+def comparison_headline(metrics: DataFrame, verified: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: step, busy, host and dispatch changes, whether the bottleneck changed, counts of advice verdicts, and a sentence.
+
+    ``before`` and ``after`` are the headline rows (bottleneck, score) of both sides.
+    """
+    keys = ["avgStepUs", "deviceBusyPct", "hostExclusivePerStepUs", "dispatchPerStep"]
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    m = metrics.where(F.col("metric").isin(keys)).agg(
+        pick(keys[0], "before").alias("step_before_us"), pick(keys[0], "after").alias("step_after_us"), pick(keys[0], "delta_pct").alias("step_pct"), pick(keys[0], "improved").alias("step_improved"), pick(keys[1], "before").alias("busy_before_pct"), pick(keys[1], "after").alias("busy_after_pct"),
+        pick(keys[1], "delta_abs").alias("busy_delta_pts"), pick(keys[2], "improvement_pct").alias("host_exclusive_pct"), pick(keys[3], "improvement_pct").alias("dispatch_pct"),
+    )
+    v = verified.agg(*(F.count_if(F.col("verdict") == k).alias(k) for k in ("achieved", "missed", "unknown")))
+    sides = before.select(F.col("bottleneck").alias("b0"), F.col("score").alias("s0")).join(F.broadcast(after.select(F.col("bottleneck").alias("b1"), F.col("score").alias("s1"))))
+    x = m.join(F.broadcast(v)).join(F.broadcast(sides)).withColumn("bottleneck_changed", F.expr("b0 <> b1"))
+    moved = lambda c, name: f"case when abs({c}) > {rules.NOISE_PCT} then concat('{name} ', if({c} > 0, 'down ', 'up '), format_string('%.1f', abs({c})), '%') end"
+    parts = [
+        "case when step_pct is not null then concat('step ', if(step_pct < 0, 'down ', 'up '), format_string('%.1f', abs(step_pct)), '%') end", "concat('device busy ', format_string('%.2f', busy_before_pct), '% to ', format_string('%.2f', busy_after_pct), '%')",
+        moved("host_exclusive_pct", "host alone per step"), moved("dispatch_pct", "dispatches per step"), "case when achieved > 0 then concat(achieved, ' advice items achieved') end",
+        "if(bottleneck_changed, concat('bottleneck ', b0, ' to ', b1), concat('bottleneck still ', b1, ', ', format_string('%.0f', s0), ' to ', format_string('%.0f', s1)))",
+    ]
+    return x.withColumn("summary", F.expr(f"concat_ws('; ', {', '.join(parts)})")).drop("b0", "b1", "s0", "s1")

@@ -161,6 +161,20 @@ def time_unit(events: DataFrame) -> DataFrame:
     return out.select("tiny", "positive", "span", F.when((F.col("tiny") > 0.3 * F.col("positive")) | (F.col("span") > 6 * 3600 * 1e6), "ms").otherwise("us").alias("unit"))
 
 
+def time_units(events: DataFrame) -> DataFrame:
+    """(path, unit) of each trace, by the rule of ``time_unit`` over ts_us and dur_us."""
+    out = events.groupBy("path").agg(F.count_if((F.col("dur_us") > 0) & (F.col("dur_us") < 0.05)).alias("tiny"), F.count_if(F.col("dur_us") > 0).alias("positive"), (F.max("ts_us") - F.min("ts_us")).alias("span"))
+    return out.select("path", F.when((F.col("tiny") > 0.3 * F.col("positive")) | (F.col("span") > 6 * 3600 * 1e6), "ms").otherwise("us").alias("unit"))
+
+
+def in_microseconds(events: DataFrame, units: DataFrame) -> DataFrame:
+    """``events`` with ts_us and dur_us of traces in milliseconds a thousand times as large; ``units`` has a row for each trace."""
+    scale = F.when(F.col("__u") == "ms", 1000).otherwise(1)
+    joined = events.join(F.broadcast(units.select(F.col("path").alias("__p"), F.col("unit").alias("__u"))), F.col("path") == F.col("__p"), "left")
+    scaled = joined.withColumn("ts_us", (F.col("ts_us") * scale).cast("decimal(20,3)")).withColumn("dur_us", F.col("dur_us") * scale)
+    return scaled.drop("__p", "__u")
+
+
 def first_seen(rows: DataFrame, value: str, place: str) -> DataFrame:
     """Distinct values in the order of their first place."""
     return rows.groupBy(value).agg(F.min(place).alias("first_place"), F.count("*").alias("n"))

@@ -86,16 +86,26 @@ def session_islands(df: DataFrame, keys: list[str], ts: str, dur: str) -> DataFr
     return out.selectExpr(*(f"`{k}`" for k in keys), "unix_micros(w.start) as start", "unix_micros(w.end) as end")
 
 
+def sweeps(df: DataFrame, sets: dict[str, str], measures: dict[str, str], keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
+    """(keys, measures): one pass over the ends of several sets of intervals.
+
+    ``sets`` names conditions on rows; ``measures`` are conditions on how many intervals of each set are open, and give the length of
+    time for which they hold, 0 if none. Rows in no set are not looked at.
+    """
+    keys, k = keys or [], [f"`{c}`" for c in keys or []]
+    flagged = df.selectExpr(*k, f"`{start}`", f"`{end}`", *(f"int(coalesce({t}, false)) as `{n}`" for n, t in sets.items())).where(" or ".join(f"`{n}` = 1" for n in sets))
+    cut = _clipped(flagged, keys, start, end, buckets, list(sets)).where("e > s")
+    marks = cut.selectExpr(*k, "part", *(f"`{n}`" for n in sets), "inline(array(named_struct('t', s, '__d', 1), named_struct('t', e, '__d', -1)))")
+    steps = marks.groupBy(*keys, "part", "t").agg(*(F.sum(F.expr(f"`{n}` * __d")).alias(n) for n in sets))
+    over = f"over (partition by {', '.join([*k, 'part'])} order by t)"
+    run = steps.selectExpr(*k, *(f"sum(`{n}`) {over} as `{n}`" for n in sets), f"lead(t) {over} - t as __len")
+    return run.groupBy(*keys).agg(*(F.coalesce(F.sum(F.expr(f"case when {t} then __len end")), F.lit(0)).cast("long").alias(n) for n, t in measures.items()))
+
+
 def sweep(df: DataFrame, side: str, left: str, right: str, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
     """(keys, left_us, right_us, both_us, left_only_us, right_only_us): one pass over the ends of two sets of intervals."""
-    keys = keys or []
-    cut = _clipped(df.where(F.col(side).isin(left, right)), keys, start, end, buckets, [side]).where("e > s")
-    marks = cut.selectExpr(*(f"`{k}`" for k in keys), "part", f"case when `{side}` = '{left}' then 1 else 0 end as l", f"case when `{side}` = '{right}' then 1 else 0 end as r", "inline(array(named_struct('t', s, 'd', 1), named_struct('t', e, 'd', -1)))")
-    steps = marks.groupBy(*keys, "part", "t").agg(F.sum(F.expr("l * d")).alias("l"), F.sum(F.expr("r * d")).alias("r"))
-    by = ", ".join(f"`{k}`" for k in [*keys, "part"])
-    run = steps.selectExpr(*(f"`{k}`" for k in keys), f"sum(l) over (partition by {by} order by t) as l", f"sum(r) over (partition by {by} order by t) as r", f"lead(t) over (partition by {by} order by t) - t as len")
-    total = lambda test: F.coalesce(F.sum(F.expr(f"case when {test} then len end")), F.lit(0)).cast("long")
-    return run.groupBy(*keys).agg(total("l > 0").alias("left_us"), total("r > 0").alias("right_us"), total("l > 0 and r > 0").alias("both_us"), total("l > 0 and r = 0").alias("left_only_us"), total("r > 0 and l = 0").alias("right_only_us"))
+    measures = {"left_us": "l > 0", "right_us": "r > 0", "both_us": "l > 0 and r > 0", "left_only_us": "l > 0 and r = 0", "right_only_us": "r > 0 and l = 0"}
+    return sweeps(df, {"l": f"`{side}` = '{left}'", "r": f"`{side}` = '{right}'"}, measures, keys, start, end, buckets)
 
 
 def gaps(busy: DataFrame, window: DataFrame, least: int = 0, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:

@@ -23,11 +23,30 @@ def rescaled(table: DataFrame, total: str, limit: float = 2000.0) -> DataFrame:
     return table.join(F.broadcast(most)).withColumn("scale", F.when(F.col("__m") < limit, 1000).otherwise(1)).drop("__m")
 
 
-def marker_steps(events: DataFrame, is_marker, end_of_all) -> DataFrame:
-    """(step, ws, we): steps from markers, each ending where the next begins, the last at the end of everything."""
-    marks = events.where(is_marker).select("ts").distinct().selectExpr("ts as ws", "lead(ts) over (order by ts) as n")  # markers only
-    last = events.agg(end_of_all.alias("__e"))
-    return marks.join(F.broadcast(last)).selectExpr("cast(row_number() over (order by ws) - 1 as int) as step", "ws", "coalesce(n, __e) as we")
+def marker_steps(events: DataFrame, is_marker=None, phase=None) -> DataFrame:
+    """(step, ws, we, declared): steps from markers, each ending where the next begins, the last at its own end; empty ones go.
+
+    Markers are the rows for which ``is_marker`` holds (all, if it isn't given), in the order of ts and idx; ``phase`` is the phase
+    that a marker declares.
+    """
+    marks = events if is_marker is None else events.where(is_marker)
+    marks = marks.select("ts", "te", "idx", (F.lit(None).cast("string") if phase is None else phase).alias("declared"))
+    run = marks.selectExpr("ts as ws", "idx", "declared", "coalesce(lead(ts) over (order by ts, idx), te) as we").where("we > ws")  # markers, not events
+    return run.selectExpr("cast(row_number() over (order by ws, idx) - 1 as int) as step", "ws", "we", "declared")
+
+
+def phase_markers(events: DataFrame, side: DataFrame | None = None) -> DataFrame:
+    """(ts, te, idx, phase): markers in a timeline that name a phase, and those of ``side`` (ts, dur, text), a marker side-car."""
+    text = "concat_ws(' ', raw_name, message)" if "message" in events.columns else "raw_name"
+    own = events.where(F.expr(f"raw_name rlike '(?i){rules.MARKER_NAMES}'")).select("ts", "te", "idx", S.named_phase(F.expr(text)).alias("phase"))
+    if side is not None:
+        own = own.unionByName(side.select("ts", F.expr("ts + coalesce(dur, 0)").alias("te"), F.expr("-1 - monotonically_increasing_id()").alias("idx"), S.named_phase("text").alias("phase")))
+    return own.where("phase is not null")
+
+
+def whole_window(events: DataFrame) -> DataFrame:
+    """(step, ws, we): all events as one step; none without events."""
+    return events.agg(F.min("ts").alias("ws"), F.max("te").alias("we")).where("ws is not null").selectExpr("0 as step", "ws", "we")
 
 
 def engine_steps(events: DataFrame, pattern: str = rules.ENGINE_STEPS, least: int = 3) -> DataFrame:
@@ -67,7 +86,7 @@ def gap_segments(events: DataFrame, least: int = 200, factor: int = 4) -> DataFr
 
 
 def two_means(values: DataFrame, value: str, rounds: int = 64, least: float = 0.35) -> DataFrame:
-    """One row: centroids (log10) of a split of positive values into two, whether they are ``least`` apart, and the limit between them.
+    """One row: centroids (log10) of a split of positive values into two, whether they are ``least`` apart, and the limit between them (``cut`` is not rounded).
 
     Lloyd's iteration over the histogram of values, folded inside one expression; the histogram has a row for each distinct
     rounded logarithm (four decimals), so its size doesn't follow the data.
@@ -78,19 +97,34 @@ def two_means(values: DataFrame, value: str, rounds: int = 64, least: float = 0.
     fold = f"aggregate(sequence(1, {rounds}), named_struct('lo', cast(h[0].x as double), 'hi', cast(h[size(h) - 1].x as double)), (z, i) -> {sums})"
     out = one.selectExpr("aggregate(h, 0L, (s, p) -> s + p.c) as n", "(h[size(h) - 1].x - h[0].x) / 10000D as spread", f"{fold} as z")
     ok = f"n >= 4 and spread >= {least} and (z.hi - z.lo) / 10000 >= {least}"
-    return out.select("n", S.round_half_up(F.expr("z.lo / 10000"), 4).alias("low"), S.round_half_up(F.expr("z.hi / 10000"), 4).alias("high"), F.expr(ok).alias("split"), S.round_half_up(F.expr("pow(10D, (z.lo + z.hi) / 20000)"), 2).alias("limit_us"))
-
-
-def labelled(steps: DataFrame, value: str) -> DataFrame:
-    """``steps`` with phase, method and confidence: two clear clusters (longer: prefill), else uniform steps (decode), else unknown."""
-    split = two_means(steps, value)
-    spread = steps.agg(F.count("*").alias("c"), F.avg(value).alias("a"), F.stddev_pop(value).alias("d"))
-    both = steps.join(F.broadcast(spread)).join(F.broadcast(split))
-    uniform = "c >= 8 and d / a < 0.25"
-    return both.selectExpr(
-        *steps.columns, f"case when split then if(`{value}` > limit_us, 'prefill', 'decode') when {uniform} then 'decode' else 'unknown' end as phase", f"case when split then 'bimodal' when {uniform} then 'uniform' else 'none' end as method",
-        f"case when split then 'medium' when {uniform} then 'low' else 'none' end as confidence",
-    )
+    return out.select("n", S.round_half_up(F.expr("z.lo / 10000"), 4).alias("low"), S.round_half_up(F.expr("z.hi / 10000"), 4).alias("high"), F.expr(ok).alias("split"), S.round_half_up(F.expr("pow(10D, (z.lo + z.hi) / 20000)"), 2).alias("limit_us"), F.expr("pow(10D, (z.lo + z.hi) / 20000)").alias("cut"))
+
+
+def labelled(steps: DataFrame, value: str, markers: DataFrame | None = None) -> DataFrame:
+    """``steps`` with phase, method and confidence.
+
+    Declared phases (columns ``stage`` or ``declared``) decide if any step has one, others are unknown then. Else phase markers
+    (``ts``, ``phase``; steps have ws and we then): the first one inside a step names it. Else two clear clusters of durations (the
+    longer: prefill), else steps of much the same length (decode), else unknown.
+    """
+    names = steps.columns
+    declared = [S.named_phase(F.col(c)) for c in ("stage", "declared") if c in names]
+    stage = "count(stage) > 0" if "stage" in names else "false"
+    x = steps.withColumn("__d", F.coalesce(*declared) if declared else F.lit(None).cast("string")).withColumn("__m", F.lit(None).cast("string"))
+    if markers is not None and {"ws", "we"} <= set(names):
+        first = I.contained(markers, steps.select("step", "ws", "we"), "ts").groupBy("step").agg(F.min_by("phase", F.struct("ts", "idx")).alias("__p"))
+        x = x.drop("__m").join(first, "step", "left").withColumnRenamed("__p", "__m")
+    any_marker = F.lit(0).alias("k") if markers is None else F.lit(1 if markers.limit(1).count() else 0).alias("k")
+    long = F.when(F.col(value) > 0, F.col(value))
+    spread = x.agg(F.count(long).alias("c"), F.avg(long).alias("a"), F.stddev_pop(long).alias("d"), F.count("__d").alias("said"), F.expr(stage).alias("staged"), any_marker)
+    split = two_means(steps, value).select("split", "cut")
+    both = x.join(F.broadcast(spread.join(F.broadcast(split), how="left")))  # one row
+    both = both.withColumn("split", F.coalesce("split", F.lit(False))).withColumn("even", F.expr("coalesce(c >= 8 and d / a < 0.25, false)"))
+    both = both.withColumn("phase", F.expr(f"case when said > 0 then coalesce(__d, 'unknown') when k > 0 then coalesce(__m, 'unknown') when split then if(`{value}` >= cut, 'prefill', 'decode') when even then 'decode' else 'unknown' end"))
+    both = both.withColumn("method", F.expr("case when said > 0 then if(staged, 'step-table-stage', 'marker-labels') when split then 'duration-bimodal' when k > 0 then 'marker-windows' when even then 'uniform-decode' else 'undetermined' end"))
+    mixed = both.agg((F.count_if(F.col("phase") == "prefill") > 0).alias("p"), (F.count_if(F.col("phase") != "prefill") > 0).alias("q"))
+    sure = "case when said > 0 then 'high' when split then if(p and q, 'medium', 'low') when k > 0 then 'medium' else 'low' end as confidence"
+    return both.join(F.broadcast(mixed)).selectExpr(*(f"`{n}`" for n in names), "phase", "method", sure)
 
 
 def step_metrics(events: DataFrame, steps: DataFrame, width: int = 1 << 36) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import scalars as S
+from spindrift.functions.tables import kept
 from spindrift.operators import analysis as A
 from spindrift.operators import dataset as D
 from spindrift.operators import intervals as I  # noqa: E741
@@ -529,9 +530,9 @@ def phase_mix(spark, d):
     return phase_summary(spark, d).join(F.broadcast(whole)).select("phase", S.round_half_up(S.percent_of("wall_us", "w")).alias("share_pct"))
 
 
-@query("marker_steps", f"{EV}, m AS (SELECT DISTINCT ts FROM ev WHERE idx % 100 = 0), n AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS nx FROM m) SELECT CAST(row_number() OVER (ORDER BY ts) - 1 AS INTEGER) AS step, ts AS ws, coalesce(nx, (SELECT max(te) FROM ev)) AS we FROM n")
+@query("marker_steps", f"{EV}, m AS (SELECT idx, ts, te, lead(ts) OVER (ORDER BY ts, idx) AS nx, CASE WHEN k % 2 = 0 THEN 'prefill' ELSE 'decode' END AS declared FROM ev WHERE idx % 100 = 0), n AS (SELECT *, coalesce(nx, te) AS we FROM m) SELECT CAST(row_number() OVER (ORDER BY ts, idx) - 1 AS INTEGER) AS step, ts AS ws, we, declared FROM n WHERE we > ts")
 def marker_steps(spark, d):
-    return P.marker_steps(events(spark, d), F.expr("idx % 100 = 0"), F.max("te"))
+    return P.marker_steps(events(spark, d), F.expr("idx % 100 = 0"), F.expr("if(k % 2 = 0, 'prefill', 'decode')"))
 
 
 @query("marker_assignment", f"{_DAYS}, m AS (SELECT idx, ts FROM ev WHERE idx % 50 = 0) SELECT step, min_by(m.idx, (m.ts, m.idx)) AS marker FROM st JOIN m ON m.ts >= ws AND m.ts < we GROUP BY step")
@@ -565,21 +566,38 @@ z AS (SELECT * FROM k WHERE i = 64), two AS (SELECT CAST((SELECT sum(c) FROM h)
 
 @query("two_means", f"WITH RECURSIVE vals AS (SELECT l_extendedprice AS v FROM lineitem), {_TWO} SELECT n, {js('lo / 10000', 4)} AS low, {js('hi / 10000', 4)} AS high, split, {js('pow(10, (lo + hi) / 20000)')} AS limit_us FROM two")
 def two_means(spark, d):
-    return P.two_means(table(spark, d, "lineitem"), "l_extendedprice")
+    return P.two_means(table(spark, d, "lineitem"), "l_extendedprice").drop("cut")
 
 
-@query("phase_labels", f"""WITH RECURSIVE {STEPS[5:]}, vals AS (SELECT computing + comm + free AS v FROM st), {_TWO}, u AS (SELECT count(*) >= 8 AND stddev_pop(v) / avg(v) < 0.25 AS uniform FROM vals)
-SELECT step, computing + comm + free AS total_us, CASE WHEN split THEN CASE WHEN computing + comm + free > {js('pow(10, (lo + hi) / 20000)')} THEN 'prefill' ELSE 'decode' END WHEN uniform THEN 'decode' ELSE 'unknown' END AS phase,
-CASE WHEN split THEN 'bimodal' WHEN uniform THEN 'uniform' ELSE 'none' END AS method, CASE WHEN split THEN 'medium' WHEN uniform THEN 'low' ELSE 'none' END AS confidence FROM st, two, u""")
+@query("phase_labels", f"""WITH RECURSIVE {STEPS[5:]}, vals AS (SELECT computing + comm + free AS v FROM st), {_TWO}, u AS (SELECT count(*) >= 8 AND stddev_pop(v) / avg(v) < 0.25 AS uniform FROM vals WHERE v > 0),
+l AS (SELECT step, computing + comm + free AS total_us, split, uniform, CASE WHEN split THEN CASE WHEN computing + comm + free >= pow(10, (lo + hi) / 20000) THEN 'prefill' ELSE 'decode' END WHEN uniform THEN 'decode' ELSE 'unknown' END AS phase FROM st, two, u)
+SELECT step, total_us, phase, CASE WHEN split THEN 'duration-bimodal' WHEN uniform THEN 'uniform-decode' ELSE 'undetermined' END AS method,
+CASE WHEN split AND (SELECT count(DISTINCT phase) FROM l) = 2 THEN 'medium' ELSE 'low' END AS confidence FROM l""")
 def phase_labels(spark, d):
     return P.labelled(steps(spark, d).selectExpr("step", "computing + comm + free as total_us"), "total_us")
 
 
-@query("step_sources")
+@query("phase_labels_declared", f"{STEPS} SELECT step, CASE WHEN month % 3 = 0 THEN 'Prefill' WHEN month % 3 = 1 THEN 'token_phase' END AS stage, computing AS total_us, CASE WHEN month % 3 = 0 THEN 'prefill' WHEN month % 3 = 1 THEN 'decode' ELSE 'unknown' END AS phase, 'step-table-stage' AS method, 'high' AS confidence FROM st")
+def phase_labels_declared(spark, d):
+    """A stage column decides, whatever the durations."""
+    return P.labelled(steps(spark, d).selectExpr("step", "case when month % 3 = 0 then 'Prefill' when month % 3 = 1 then 'token_phase' end as stage", "computing as total_us"), "total_us")
+
+
+@query("phase_labels_marked", f"""{_DAYS}, m AS (SELECT idx, ts, CASE WHEN k % 2 = 0 THEN 'prefill' ELSE 'decode' END AS ph FROM ev WHERE idx % 7 = 0), f AS (SELECT step, min_by(ph, (ts, idx)) AS ph FROM st JOIN m ON ts >= ws AND ts < we GROUP BY step)
+SELECT st.step, ws, we, coalesce(ph, 'unknown') AS phase FROM st LEFT JOIN f ON st.step = f.step""")
+def phase_labels_marked(spark, d):
+    """The first marker inside a step names it."""
+    ev, days = _days(spark, d)
+    markers = ev.where("idx % 7 = 0").selectExpr("ts", "te", "idx", "if(k % 2 = 0, 'prefill', 'decode') as phase")
+    return P.labelled(days.withColumn("wall_us", F.expr("we - ws")), "wall_us", markers).select("step", "ws", "we", "phase")
+
+
+@query("step_sources", f"{STEPS} SELECT count(*) AS steps, 'table' AS source FROM st")
 def step_sources(spark, d):
-    """The first source of steps that has any: a table, markers, engine runs, pauses."""
+    """The first source of steps that has any: a table, markers, engine runs, pauses, the whole window."""
     ev = events(spark, d)
-    sources = [("table", P.cumulative_steps(steps(spark, d).withColumn("total_us", F.expr("computing + comm + free")).limit(0))), ("markers", P.marker_steps(ev, F.expr("name = 'prefill'"), F.max("te"))), ("engine", P.engine_steps(ev).selectExpr("0 as step", "ws", "we")), ("gaps", P.gap_segments(ev))]
+    table_steps = P.cumulative_steps(steps(spark, d).withColumn("total_us", F.expr("computing + comm + free")))
+    sources = [("table", table_steps), ("markers", P.marker_steps(ev, F.expr("name = 'prefill'"))), ("engine", P.engine_steps(ev).selectExpr("0 as step", "ws", "we")), ("gaps", P.gap_segments(ev)), ("window", P.whole_window(ev))]
     name, found = P.choose_steps(sources)
     return found.agg(F.count("*").alias("steps")).withColumn("source", F.lit(name))
 
@@ -594,7 +612,8 @@ def _blocks(spark, d):
     ev = ev.withColumn("c", c).selectExpr("idx", "device", "category", "c.subtype as subtype", "c.role as role", "name", "ts", "te", "dur")
     w = ev.agg(F.min("ts").alias("a"), F.max("te").alias("b"))
     scopes = w.selectExpr("inline(array(named_struct('scope', 'overall', 'phase', 'overall', 'ws', a, 'we', b, 'steps', 30), named_struct('scope', 'decode', 'phase', 'decode', 'ws', a + (b - a) div 2, 'we', b, 'steps', 15)))")
-    scoped = ev.join(F.broadcast(scopes), F.expr("ts >= ws and ts < we")).drop("ws", "we", "steps", "phase")  # two scopes
+    scopes = spark.createDataFrame(scopes.collect(), scopes.schema)  # two rows
+    scoped = kept(ev.join(F.broadcast(scopes), F.expr("ts >= ws and ts < we")).drop("ws", "we", "steps", "phase"), "scoped-events")
     context = "cast(null as double) as mac", "cast(null as double) as mte2", "true as phaseMix", "'low' as phaseConfidence", "false as missingTables"
     return A.settled(A.indicators(scoped, scopes).selectExpr("*", *context))
 
@@ -605,15 +624,18 @@ pts AS (SELECT scope, s, e FROM isl UNION ALL SELECT scope, ws, ws FROM sc UNION
 gs AS (SELECT scope, sum(g) AS idle, max(g) AS gmax, count(*) AS gn FROM gp GROUP BY scope),
 sm AS (SELECT scope, count(*) AS n, count(*) FILTER (WHERE device = 'device') AS dn, count(*) FILTER (WHERE device = 'host') AS hn, coalesce(sum(dur) FILTER (WHERE device = 'device' AND category = 'compute'), 0) AS ku, coalesce(sum(dur) FILTER (WHERE device = 'device' AND category = 'copy'), 0) AS yu,
   coalesce(sum(dur) FILTER (WHERE device = 'host'), 0) AS hs, count(*) FILTER (WHERE device = 'device' AND category = 'comm') AS cn, median(dur) FILTER (WHERE device = 'device' AND category = 'comm') AS cmed, coalesce(sum(dur) FILTER (WHERE device = 'device' AND category = 'copy' AND subtype = 'd2h'), 0) AS d2h,
+  coalesce(sum(dur) FILTER (WHERE device = 'device' AND category = 'copy' AND subtype = 'h2d'), 0) AS h2d, coalesce(sum(dur) FILTER (WHERE device = 'host' AND category = 'copy'), 0) AS hy, median(dur) FILTER (WHERE device = 'device' AND category = 'compute') AS kmed, coalesce(bool_or(device = 'device' AND category = 'compute' AND subtype = 'attention'), false) AS att,
   count(*) FILTER (WHERE device = 'host') AS disp, count(*) FILTER (WHERE device = 'host' AND name LIKE '%item%') AS sn, coalesce(sum(dur) FILTER (WHERE device = 'host' AND name LIKE '%item%'), 0) AS su FROM es GROUP BY scope),
 x AS (SELECT sc.scope, phase, CAST(greatest(1, we - ws) AS DOUBLE) AS wall, steps, sm.* EXCLUDE (scope), bz.left_us AS db, bz.right_us AS hb, bz.right_only_us AS ho, bz.left_only_us AS dox, cm.left_us AS cu, cm.both_us AS co, cm.left_only_us AS ce, coalesce(idle, 0) AS idle, coalesce(gmax, 0) AS gmax, coalesce(gn, 0) AS gn
   FROM sc JOIN sm USING (scope) JOIN bz USING (scope) JOIN cm USING (scope) LEFT JOIN gs USING (scope)),
 ib AS (SELECT scope, phase, {js('wall')} AS wallUs, n AS eventCount, dn AS deviceEventCount, {js(pct('db', 'wall'))} AS deviceBusyPct, {js(pct('hb', 'wall'))} AS hostBusyPct, {js(pct('idle', 'wall'))} AS idlePct, {js(pct('ho', 'wall'))} AS hostOnlyPct, {js(pct('dox', 'wall'))} AS deviceOnlyPct,
   {js(pct('cu', 'greatest(1, db)'))} AS commPctOfDevice, {js(pct('ce', 'wall'))} AS commExposedPct, {js(pct('co', 'greatest(1, cu)'))} AS commOverlapPct, {js('CAST(cn AS DOUBLE) / steps')} AS commPerStep, {js('CAST(cu AS DOUBLE) / steps')} AS commUsPerStep, {js('cmed')} AS commLatencyMedianUs,
   {js('ku')} AS computeUs, {js(pct('ku', 'wall'))} AS computePct, {js('yu')} AS copyUs, {js(pct('yu', 'wall'))} AS copyPct, {js('CAST(d2h AS DOUBLE) / steps')} AS d2hPerStepUs, {js('hs')} AS hostScheduleUs, {js('CAST(disp AS DOUBLE) / steps', 1)} AS dispatchPerStep, {js('su')} AS hostSyncUs, sn AS hostSyncCount,
-  {js('CAST(sn AS DOUBLE) / steps')} AS hostSyncPerStep, {js('CAST(ho AS DOUBLE) / steps')} AS hostExclusivePerStepUs, {js('CAST(idle AS DOUBLE) / greatest(1, gn)')} AS meanGapUs, gn AS gapCount, {js('wall / steps')} AS avgStepUs, {js('ce')} AS commExposedUs FROM x)"""
+  {js('CAST(sn AS DOUBLE) / steps')} AS hostSyncPerStep, {js('CAST(ho AS DOUBLE) / steps')} AS hostExclusivePerStepUs, {js('CAST(idle AS DOUBLE) / greatest(1, gn)')} AS meanGapUs, gn AS gapCount, {js('wall / steps')} AS avgStepUs, {js('ce')} AS commExposedUs,
+  {js('CAST(h2d AS DOUBLE) / steps')} AS h2dPerStepUs, {js(pct('hy', 'greatest(1, hb)'))} AS hostCopyPctOfHost, {js('kmed')} AS medianComputeUs, att AS hasAttention, steps AS stepCount FROM x),
+ix AS (SELECT *, CAST(NULL AS DOUBLE) AS mac, CAST(NULL AS DOUBLE) AS mte2, CAST(NULL AS DOUBLE) AS commSizeMedianMb, true AS phaseMix, 'low' AS phaseConfidence, false AS missingTables FROM ib)"""
 _IND = ["wallUs", "eventCount", "deviceEventCount", "deviceBusyPct", "hostBusyPct", "idlePct", "hostOnlyPct", "deviceOnlyPct", "commPctOfDevice", "commExposedPct", "commOverlapPct", "commPerStep", "commUsPerStep", "commLatencyMedianUs", "computeUs", "computePct", "copyUs", "copyPct", "d2hPerStepUs", "hostScheduleUs",
-        "dispatchPerStep", "hostSyncUs", "hostSyncCount", "hostSyncPerStep", "hostExclusivePerStepUs", "meanGapUs", "gapCount", "avgStepUs", "commExposedUs"]
+        "dispatchPerStep", "hostSyncUs", "hostSyncCount", "hostSyncPerStep", "hostExclusivePerStepUs", "meanGapUs", "gapCount", "avgStepUs", "commExposedUs", "h2dPerStepUs", "hostCopyPctOfHost", "medianComputeUs", "hasAttention", "stepCount"]
 
 
 @query("indicators", f"{_SC} SELECT * FROM ib")
@@ -648,29 +670,76 @@ def headline(spark, d):
     return A.headline(_blocks(spark, d))
 
 
-@query("evidence_long", f"{_SC} SELECT scope, unnest(['hostOnlyGate', 'deviceIdleSupport', 'deviceBusyGate', 'commExposedLow']) AS rule, unnest([hostOnlyPct, idlePct, deviceBusyPct, commExposedPct]) AS value, unnest([hostOnlyPct >= 25, idlePct >= 8, deviceBusyPct >= 82, commExposedPct < 12]) AS crossed FROM ib")
+_GATES = [(r, m, *A.rules.THRESHOLDS[r]) for r, m in A.GATES]
+_EVID = f"{_SC}, evd AS (SELECT scope, unnest([{', '.join(repr(g[0]) for g in _GATES)}]) AS rule, unnest([{', '.join(f'CAST({g[1]} AS DOUBLE)' for g in _GATES)}]) AS value, unnest([{', '.join(f'coalesce({g[1]} {g[3]} {g[2]}, false)' for g in _GATES)}]) AS crossed, unnest([{', '.join(f'{g[2]}::DOUBLE' for g in _GATES)}]) AS threshold FROM ib)"
+
+
+@query("evidence_long", f"{_EVID} SELECT * FROM evd")
 def evidence_long(spark, d):
-    return A.evidence(_blocks(spark, d)).where("rule in ('hostOnlyGate', 'deviceIdleSupport', 'deviceBusyGate', 'commExposedLow')").select("scope", "rule", "value", "crossed")
+    return A.evidence(_blocks(spark, d)).select("scope", "rule", "value", "crossed", "threshold")
+
+
+@query("evidence_missing", f"{_EVID} SELECT scope, count(*) AS n, string_agg(rule, ',' ORDER BY rule) AS rules FROM evd WHERE NOT crossed GROUP BY scope")
+def evidence_missing(spark, d):
+    return A.missing(_blocks(spark, d)).groupBy("scope").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
 
 
 _CAUSE = f"""{_SCORE}, hit AS (SELECT scope, bottleneck FROM rk WHERE score >= 40), tr AS (
 SELECT scope, 'host' AS bottleneck, 'host.eager-python-per-token' AS cause FROM ib WHERE phase IN ('overall', 'decode') AND dispatchPerStep >= 400 AND deviceBusyPct < 95 UNION ALL SELECT scope, 'host', 'host.sampler-sync' FROM ib WHERE hostSyncCount > 0 AND (hostSyncPerStep >= 0.5 OR hostSyncUs >= wallUs * 0.03)
 UNION ALL SELECT scope, 'host', 'host.prefill-metadata' FROM ib WHERE phase IN ('overall', 'prefill') AND hostOnlyPct >= 15 AND dispatchPerStep >= 300 UNION ALL SELECT scope, 'host', 'host.launch-gaps' FROM ib WHERE gapCount >= 5 AND meanGapUs >= 80 AND idlePct >= 5
 UNION ALL SELECT scope, 'comm', 'comm.decode-tp-small-message' FROM ib WHERE phase IN ('overall', 'decode') AND commPctOfDevice >= 12 AND commLatencyMedianUs <= 120 UNION ALL SELECT scope, 'comm', 'comm.prefill-bandwidth' FROM ib WHERE phase IN ('overall', 'prefill') AND commPctOfDevice >= 12
-UNION ALL SELECT scope, 'comm', 'comm.overlap-disabled' FROM ib WHERE commPctOfDevice >= 8 AND commOverlapPct < 40 UNION ALL SELECT scope, 'copy', 'copy.d2h-sync-sampling' FROM ib WHERE d2hPerStepUs >= 150 OR hostSyncCount > 0)
+UNION ALL SELECT scope, 'comm', 'comm.overlap-disabled' FROM ib WHERE commPctOfDevice >= 8 AND commOverlapPct < 40 UNION ALL SELECT scope, 'copy', 'copy.d2h-sync-sampling' FROM ib WHERE d2hPerStepUs >= 150 OR hostSyncCount > 0 UNION ALL SELECT scope, 'copy', 'copy.h2d-kv-or-weight' FROM ib WHERE h2dPerStepUs >= 200
+UNION ALL SELECT scope, 'compute', 'compute.prefill-attention-quadratic' FROM ib WHERE phase IN ('overall', 'prefill') AND computePct >= 55 AND hasAttention UNION ALL SELECT scope, 'compute', 'compute.decode-memory-bound' FROM ib WHERE phase IN ('overall', 'decode') AND deviceBusyPct >= 70
+UNION ALL SELECT scope, 'compute', 'compute.fragmented-small-ops' FROM ib WHERE deviceBusyPct >= 70 AND computePct >= 40 AND medianComputeUs > 0 AND medianComputeUs < 30)
 SELECT hit.scope, hit.scope AS phase, hit.bottleneck, coalesce(cause, hit.bottleneck || '.generic') AS cause FROM hit LEFT JOIN tr ON hit.scope = tr.scope AND hit.bottleneck = tr.bottleneck"""
 
 
 @query("root_causes", _CAUSE)
 def root_causes(spark, d):
-    return A.causes(_blocks(spark, d)).where("bottleneck <> 'compute'")
+    return A.causes(_blocks(spark, d))
+
+
+_TRIG = ", ".join(f"('{k}', '{m}', CAST({m} AS DOUBLE), {t or 'true'})" for k, ms in A.rules.TRIGGERS.items() for m, t in ms)
 
 
-@query("advice_ranked")
+@query("cause_triggers", f"{_CAUSE.replace('SELECT hit.scope, hit.scope AS phase', ', cau AS (SELECT hit.scope, hit.scope AS phase')}), tg AS (SELECT scope, t.* FROM ix, LATERAL (SELECT * FROM (VALUES {_TRIG}) AS v(kind, metric, v, ok)) AS t) SELECT cau.scope, cause, metric, CASE WHEN v IS NOT NULL THEN {js('v')} END AS value FROM cau JOIN tg ON cau.scope = tg.scope AND tg.kind = split_part(cause, '.', 1) AND ok")
+def cause_triggers(spark, d):
+    """The measures behind each cause."""
+    block = _blocks(spark, d)
+    return A.triggers(A.causes(block), block).select("scope", "cause", "metric", "value")
+
+
+@query("analysis_warnings", f"{_SCORE}, wn AS (SELECT 'phases' AS warning, 'phases are told apart with low confidence' AS detail FROM ix WHERE scope = 'overall' AND phaseConfidence = 'low' UNION ALL SELECT 'steps', 'a single step was found' FROM ix WHERE scope = 'overall' AND stepCount <= 1 UNION ALL SELECT 'utilisation', 'no utilisation of operators' FROM ix WHERE scope = 'overall' AND mac IS NULL AND mte2 IS NULL), nb AS (SELECT scope FROM rk GROUP BY scope HAVING max(score) < 40) SELECT * FROM wn UNION ALL SELECT 'no bottleneck', string_agg(scope, ', ' ORDER BY scope) FROM nb HAVING count(*) > 0")
+def analysis_warnings(spark, d):
+    block = _blocks(spark, d)
+    return A.warnings(block, A.candidates(block))
+
+
+def _advice_row(item) -> str:
+    """Oracle's rows of one advice template over ``ix``."""
+    name, kind, phase, level, test, gain, low = item
+    careful = js(low, 1) if low else js(f"{js(gain, 1)} * 0.5", 1)
+    return f"SELECT scope, '{name}' AS advice, '{kind}' AS bottleneck, {level} AS level, {js(gain, 1)} AS gain_pct, {careful} AS low_pct FROM ix WHERE (phase = 'overall' OR '{phase}' IN ('both', phase)) AND coalesce({test}, false)"
+
+
+_ADV = f"{_SCORE}, adv AS ({' UNION ALL '.join(map(_advice_row, A.rules.ADVICE))}), ad AS (SELECT adv.scope, advice, adv.bottleneck, level, gain_pct, low_pct, {js('level * 20 + least(40.0, coalesce(score, 0) * 0.4) + least(20.0, gain_pct * 0.4)')} AS priority FROM adv LEFT JOIN rk ON adv.scope = rk.scope AND adv.bottleneck = rk.bottleneck WHERE adv.bottleneck = 'balanced' OR score >= 40)"
+
+
+@query("advice_ranked", f"{_ADV} SELECT * FROM ad")
 def advice_ranked(spark, d):
     return A.advice(_blocks(spark, d))
 
 
+@query("advice_levels", f"{_ADV}, o AS (SELECT advice, max(level) AS level, max(priority) AS p FROM ad GROUP BY advice) SELECT level, string_agg(advice, ',' ORDER BY p DESC, advice) AS items FROM o GROUP BY level")
+def advice_levels(spark, d):
+    return A.by_level(A.advice(_blocks(spark, d))).select("level", F.array_join("items", ",").alias("items"))
+
+
+@query("top_actions", f"{_ADV} SELECT advice, max(priority) AS priority FROM ad GROUP BY advice ORDER BY priority DESC, advice LIMIT 3")
+def top_actions(spark, d):
+    return A.top_actions(A.advice(_blocks(spark, d))).select("advice", "priority")
+
+
 _GAIN = """WITH a AS (SELECT p_size AS id, max(p_retailprice) / 100 AS g FROM part GROUP BY p_size HAVING p_size <= 8)"""
 
 
@@ -681,7 +750,7 @@ def gains_combined(spark, d):
     return A.combined_gains(found)
 
 
-@query("merged_advice")
+@query("merged_advice", f"{_ADV} SELECT advice, max(priority) AS priority, max(gain_pct) AS gain_pct, max(low_pct) AS low_pct, string_agg(DISTINCT scope, ',' ORDER BY scope) AS scopes FROM ad GROUP BY advice")
 def merged_advice(spark, d):
     return A.merged_advice(A.advice(_blocks(spark, d)))
 
@@ -694,12 +763,21 @@ def _halves(spark, d):
     return ev.where(f"(ts div {DAY}) % 2 = 0"), ev.where(f"(ts div {DAY}) % 2 = 1")
 
 
-@query("compare_metrics", f"""{_SC}, m AS (SELECT unnest(['deviceBusyPct', 'idlePct', 'hostOnlyPct', 'commOverlapPct', 'gapCount']) AS metric, unnest([deviceBusyPct, idlePct, hostOnlyPct, commOverlapPct, CAST(gapCount AS DOUBLE)]) AS v, unnest(['higher', 'lower', 'lower', 'higher', 'lower']) AS direction, scope FROM ib),
-p AS (SELECT metric, direction, max(v) FILTER (WHERE scope = 'overall') AS before, max(v) FILTER (WHERE scope = 'decode') AS after FROM m GROUP BY ALL), q AS (SELECT *, CASE WHEN before = 0 THEN CASE WHEN after = 0 THEN 0.0 END ELSE (after - before) / abs(before) * 100 END AS dp FROM p)
-SELECT metric, before, after, CASE WHEN dp IS NOT NULL THEN {js('dp')} END AS delta_pct, direction, CASE WHEN dp IS NULL THEN NULL WHEN abs(dp) < 1 THEN false WHEN direction = 'lower' THEN dp < 0 ELSE dp > 0 END AS improved FROM q""")
+_METRICS = f"""mt AS (SELECT unnest([{', '.join(repr(m) for m, _ in A.rules.METRICS)}]) AS metric, unnest([{', '.join(f'CAST({m} AS DOUBLE)' for m, _ in A.rules.METRICS)}]) AS v, unnest([{', '.join(repr(w) for _, w in A.rules.METRICS)}]) AS direction, scope FROM ib),
+mp AS (SELECT metric, direction, max(v) FILTER (WHERE scope = 'overall') AS before, max(v) FILTER (WHERE scope = 'decode') AS after FROM mt GROUP BY ALL), mq AS (SELECT *, CASE WHEN before = 0 THEN CASE WHEN after = 0 THEN 0.0 END ELSE (after - before) / abs(before) * 100 END AS dp FROM mp),
+mx AS (SELECT metric, before, after, {js('after - before')} AS delta_abs, CASE WHEN dp IS NOT NULL THEN {js('dp', 1)} END AS delta_pct, CASE WHEN dp IS NULL THEN NULL WHEN direction = 'higher' THEN {js('dp', 1)} ELSE {js('-dp', 1)} END AS improvement_pct, direction,
+  CASE WHEN dp IS NULL OR direction = 'neutral' THEN NULL WHEN abs(dp) < 1 THEN false WHEN direction = 'lower' THEN dp < 0 ELSE dp > 0 END AS improved FROM mq)"""
+
+
+@query("compare_metrics", f"{_SC}, {_METRICS} SELECT * FROM mx")
 def compare_metrics(spark, d):
     b = _blocks(spark, d)
-    return A.compared_metrics(b.where("scope = 'overall'"), b.where("scope = 'decode'")).where("metric in ('deviceBusyPct', 'idlePct', 'hostOnlyPct', 'commOverlapPct', 'gapCount')")
+    return A.compared_metrics(b.where("scope = 'overall'"), b.where("scope = 'decode'"))
+
+
+@query("metric_descriptions", f"SELECT unnest([{', '.join(repr(m) for m, _ in A.rules.METRICS)}]) AS metric, unnest([{', '.join(repr('%' if 'Pct' in m else 'us' if m.endswith('Us') else '') for m, _ in A.rules.METRICS)}]) AS unit, unnest([{', '.join(repr(w) for _, w in A.rules.METRICS)}]) AS direction")
+def metric_descriptions(spark, d):
+    return A.described_metrics(spark).select("metric", "unit", "direction")
 
 
 _CMP = f"{EV}, b AS (SELECT name, category, dur FROM ev WHERE (ts // {DAY}) % 2 = 0), a AS (SELECT name, category, dur FROM ev WHERE (ts // {DAY}) % 2 = 1)"
@@ -723,21 +801,71 @@ def operators_saved(spark, d):
     return compare_operators(spark, d).where("verdict = 'improved'").orderBy("delta_us", "name").limit(8).select("name", "delta_us")
 
 
-@query("advice_verdicts")
+_FIRST = " ".join(f"WHEN '{a}' THEN '{ms[0]}'" for a, ms in A.rules.ADVICE_TARGETS.items() if ms)
+_VERIFIED = f"""{_ADV}, {_METRICS}, mg AS (SELECT advice, max(gain_pct) AS g FROM ad WHERE scope = 'overall' GROUP BY advice), lt AS (SELECT DISTINCT advice FROM ad WHERE scope = 'decode'),
+tg AS (SELECT advice, g, CASE advice {_FIRST} END AS metric FROM mg), vf AS (SELECT tg.advice, tg.metric, g AS expected_pct, improvement_pct AS observed_pct, {js('greatest(1.0, g * 0.5)', 1)} AS threshold_pct,
+  CASE WHEN tg.advice LIKE 'common.%' OR improvement_pct IS NULL THEN 'unknown' WHEN improvement_pct >= {js('greatest(1.0, g * 0.5)', 1)} THEN 'achieved' WHEN improvement_pct > 0 THEN 'partial' ELSE 'missed' END AS verdict, lt.advice IS NOT NULL AS still_recommended
+  FROM tg LEFT JOIN mx ON tg.metric = mx.metric LEFT JOIN lt ON tg.advice = lt.advice)"""
+
+
+def _verified(spark, d):
+    block = _blocks(spark, d)
+    before, after = block.where("scope = 'overall'"), block.where("scope = 'decode'")
+    metrics = A.compared_metrics(before, after)
+    return before, after, metrics, A.verified_advice(A.merged_advice(A.advice(before)), metrics, A.merged_advice(A.advice(after)))
+
+
+@query("advice_verdicts", f"{_VERIFIED} SELECT * FROM vf")
 def advice_verdicts(spark, d):
-    b = _blocks(spark, d)
-    before, after = b.where("scope = 'overall'"), b.where("scope = 'decode'")
-    return A.verified_advice(A.advice(before), A.compared_metrics(before, after))
+    """What became of the advice of the whole capture in its second half."""
+    return _verified(spark, d)[3]
+
 
+_VB = "(SELECT CASE WHEN score >= 40 THEN bottleneck ELSE 'balanced' END FROM rk WHERE place = 1 AND scope = '{}')"
 
-_SIDE = "SELECT count(DISTINCT rank) AS ranks, count(DISTINCT ts // {day}) AS steps, max(te) - min(ts) AS wall_us FROM ev WHERE (ts // {day}) % 2 = {p}"
 
+@query("compare_headline", f"""{_VERIFIED}, h AS (SELECT max(before) FILTER (WHERE metric = 'avgStepUs') AS step_before_us, max(after) FILTER (WHERE metric = 'avgStepUs') AS step_after_us, max(delta_pct) FILTER (WHERE metric = 'avgStepUs') AS step_pct, bool_or(improved) FILTER (WHERE metric = 'avgStepUs') AS step_improved,
+max(before) FILTER (WHERE metric = 'deviceBusyPct') AS busy_before_pct, max(after) FILTER (WHERE metric = 'deviceBusyPct') AS busy_after_pct, max(delta_abs) FILTER (WHERE metric = 'deviceBusyPct') AS busy_delta_pts, max(improvement_pct) FILTER (WHERE metric = 'hostExclusivePerStepUs') AS host_exclusive_pct,
+max(improvement_pct) FILTER (WHERE metric = 'dispatchPerStep') AS dispatch_pct FROM mx), n AS (SELECT count(*) FILTER (WHERE verdict = 'achieved') AS achieved, count(*) FILTER (WHERE verdict = 'missed') AS missed, count(*) FILTER (WHERE verdict = 'unknown') AS unknown FROM vf)
+SELECT h.*, n.*, {_VB.format('overall')} <> {_VB.format('decode')} AS bottleneck_changed FROM h, n""")
+def compare_headline(spark, d):
+    before, after, metrics, verified = _verified(spark, d)
+    return A.comparison_headline(metrics, verified, A.headline(before), A.headline(after)).drop("summary")
 
-@query("comparability", f"""{EV}, b AS ({_SIDE.format(day=DAY, p=0)}), a AS ({_SIDE.format(day=DAY, p=1)}), x AS (SELECT b.ranks <> a.ranks AS differs_ranks, abs(b.steps - a.steps) > 0.2 * greatest(b.steps, a.steps) AS differs_steps, abs(b.wall_us - a.wall_us) > 0.5 * greatest(b.wall_us, a.wall_us) AS differs_window FROM b, a)
-SELECT *, false AS differs_sampled, false AS differs_source, false AS differs_metrics, false AS differs_phases, false AS differs_files, CAST(differs_ranks AS INTEGER) + CAST(differs_steps AS INTEGER) + CAST(differs_window AS INTEGER) AS warnings, CASE CAST(differs_ranks AS INTEGER) + CAST(differs_steps AS INTEGER) + CAST(differs_window AS INTEGER) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS level FROM x""")
+
+_SIDE = "SELECT count(DISTINCT ts // {day}) AS steps, CAST(max(te) - min(ts) AS DOUBLE) AS wall_us, {m1} AS compute_mix, list(DISTINCT CAST(k AS VARCHAR)) AS files, arg_max(category, ts) AS bottleneck FROM ev WHERE (ts // {day}) % 2 = {p}"
+_MIX1 = "floor(CAST(sum(dur) FILTER (WHERE category = 'compute') AS DOUBLE) / sum(dur) * 100 * 10 + 0.5) / 10"
+
+
+@query("comparability", f"""{EV}, b AS ({_SIDE.format(day=DAY, p=0, m1=_MIX1)}), a AS ({_SIDE.format(day=DAY, p=1, m1=_MIX1)}), x AS (SELECT abs((a.steps - b.steps) / CAST(b.steps AS DOUBLE) * 100) > 15 AS differs_steps, abs(a.compute_mix - b.compute_mix) > 10 AS differs_mix, false AS differs_override, true AS differs_sampled, false AS differs_source,
+list_sort(a.files) <> list_sort(b.files) AS differs_files, a.bottleneck <> b.bottleneck AS differs_bottleneck, abs((a.wall_us - b.wall_us) / b.wall_us * 100) > 20 AS differs_window FROM a, b)
+SELECT *, CAST(differs_steps AS INTEGER) + CAST(differs_mix AS INTEGER) + CAST(differs_files AS INTEGER) + 1 AS warnings, CASE WHEN NOT (differs_steps OR differs_mix OR differs_files) THEN 'medium' ELSE 'low' END AS level FROM x""")
 def comparability(spark, d):
-    side = lambda x: x.agg(F.countDistinct("rank").alias("ranks"), F.countDistinct(F.expr(f"ts div {DAY}")).alias("steps"), (F.max("te") - F.min("ts")).alias("wall_us"), F.lit(False).alias("sampled"), F.lit("trace").alias("source"), F.lit(False).alias("mac_known"), F.lit("").alias("phases"), F.lit(1).alias("files"))
-    return A.comparability(*map(side, _halves(spark, d)))
+    """Odd days beside even ones; one side counts as sampled."""
+
+    def side(x, sampled):
+        share = "floor(sum(case when category = '{}' then dur end) / sum(dur) * 100 * 10 + 0.5) / 10"
+        return x.agg(F.countDistinct(F.expr(f"ts div {DAY}")).alias("steps"), (F.max("te") - F.min("ts")).cast("double").alias("wall_us"), F.create_map(F.lit("prefill"), F.expr(share.format("compute"))).alias("mix"), F.lit("auto").alias("override"), F.lit(sampled).alias("sampled"), F.lit("trace").alias("source"), F.collect_set(F.col("k").cast("string")).alias("files"), F.max_by("category", "ts").alias("bottleneck"))
+
+    b, a = _halves(spark, d)
+    return A.comparability(side(b, False), side(a, True))
+
+
+@query("compare_warnings", f"""{_VERIFIED}, mi AS (SELECT string_agg(metric, ', ' ORDER BY metric) AS d FROM mx WHERE metric LIKE '%Pct%' AND direction <> 'neutral' AND improvement_pct < 0), ms AS (SELECT string_agg(advice, ', ' ORDER BY advice) AS d FROM vf WHERE verdict = 'missed')
+SELECT 'reversed shares' AS warning, d AS detail FROM mi WHERE d IS NOT NULL UNION ALL SELECT 'missed advice', d FROM ms WHERE d IS NOT NULL UNION ALL SELECT 'steps', ''""")
+def compare_warnings(spark, d):
+    """Warnings of a comparison in which the number of steps differs and nothing else."""
+    _, _, metrics, verified = _verified(spark, d)
+    checks = spark.range(1).selectExpr(*(f"{str(k == 'steps').lower()} as differs_{k}" for k, _, _ in A.CHECKS))
+    return A.comparison_warnings(checks, metrics, verified)
+
+
+@query("readable_values", """SELECT o_orderkey, CASE WHEN o_custkey * 10 < 1000 THEN printf('%.1f us', o_custkey * 10.0) ELSE printf('%.2f ms', o_custkey / 100.0) END AS us, printf('%.1f%%', o_custkey / 10.0) AS pct,
+CASE WHEN o_custkey * 100 < 1000 THEN printf('%.0f', o_custkey * 100.0) ELSE printf('%.1fK', o_custkey / 10.0) END AS n, concat('[', o_custkey, 'x', o_orderkey, '] [7]') AS shape FROM orders""")
+def readable_values(spark, d):
+    """Times, shares, counts and shapes as text."""
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", S.format_us(F.col("o_custkey") * 10).alias("us"), S.format_pct(F.col("o_custkey") / 10).alias("pct"), S.format_count(F.col("o_custkey") * 100).alias("n"), S.format_shape(F.expr("concat(o_custkey, ',', o_orderkey, ';7')")).alias("shape"))
 
 
 @query("file_symdiff", "SELECT 'before' AS side, n_name AS file FROM nation WHERE n_nationkey % 2 = 0 AND n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0) UNION ALL SELECT 'after', n_name FROM nation WHERE n_nationkey % 3 = 0 AND n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0)")

@@ -52,6 +52,8 @@ EXPLICIT_COMM = "hccl|communication|collective"
 DEVICE_TASKS = "aicore|ai_core|aicpu|kernel|npu"
 AI_CPU = "aicpu|ai_cpu"
 CPU_KERNEL = "cpu_?(?:kernel|op|fallback|impl)|_cpu|cpukernel"
+MARKER_NAMES = "mstx|marker|profiler_?step"
+PREFILL_TEXT, DECODE_TEXT = "prefill|prompt|chunked_?prefill|context_?phase", "decode|generation|generating|token_?phase"
 MARKERS = "^(?:mstx|marker|step|iteration|prefill|decode)|prefill|decode"
 SYNC_OPS = "item|tolist|to_list|local_scalar_dense|synchronize|numpy"
 ENGINE_STEPS = r"execute_model|model_runner|model\.forward|engine_?step|run_model|forward_pass"
@@ -225,6 +227,33 @@ METRICS = [
     ("dispatchPerStep", "lower"), ("hostSyncPerStep", "lower"), ("commExposedPct", "lower"), ("commOverlapPct", "higher"), ("commUsPerStep", "lower"), ("commPerStep", "neutral"), ("copyUs", "lower"), ("d2hPerStepUs", "lower"),
     ("h2dPerStepUs", "lower"), ("computeUs", "lower"), ("computePct", "neutral"), ("meanGapUs", "lower"), ("gapCount", "lower"), ("eventCount", "neutral"), ("deviceEventCount", "neutral"),
 ]
+#: What each metric is called in reports, and its group.
+METRIC_TEXT = {
+    "avgStepUs": ("mean step", "overview"), "wallUs": ("captured window", "overview"), "deviceBusyPct": ("device busy", "overview"), "idlePct": ("device idle", "overview"), "hostExclusivePerStepUs": ("host alone per step", "host"),
+    "hostOnlyPct": ("host alone", "host"), "hostBusyPct": ("host busy", "host"), "hostScheduleUs": ("host scheduling operators", "host"), "dispatchPerStep": ("operators dispatched per step", "host"), "hostSyncPerStep": ("synchronising operators per step", "host"),
+    "commExposedPct": ("communication not hidden", "communication and copies"), "commOverlapPct": ("communication under compute", "communication and copies"), "commUsPerStep": ("communication per step", "communication and copies"),
+    "commPerStep": ("communications per step", "communication and copies"), "copyUs": ("device copies", "communication and copies"), "d2hPerStepUs": ("copies to the host per step", "communication and copies"),
+    "h2dPerStepUs": ("copies to the device per step", "communication and copies"), "computeUs": ("device compute", "device"), "computePct": ("compute of the window", "device"), "meanGapUs": ("mean idle span", "device"),
+    "gapCount": ("idle spans", "device"), "eventCount": ("events", "size"), "deviceEventCount": ("device events", "size"),
+}
+#: Advice that asks for a better capture only.
+CONFIDENCE_ADVICE = ["common.phase-isolation", "common.collect-richer-profile"]
+#: Measures that made a cause apply, by the bottleneck that its name begins with: (measure, condition to be told).
+TRIGGERS = {
+    "host": [("hostOnlyPct", None), ("idlePct", None), ("dispatchPerStep", None), ("hostExclusivePerStepUs", None), ("hostSyncCount", "hostSyncCount > 0"), ("gapCount", "gapCount > 0")],
+    "compute": [("deviceBusyPct", None), ("computePct", None), ("mac", None), ("mte2", None), ("commExposedPct", None)],
+    "comm": [("commPctOfDevice", None), ("commExposedPct", None), ("commOverlapPct", None), ("commLatencyMedianUs", None), ("commPerStep", None), ("commSizeMedianMb", "commSizeMedianMb is not null")],
+    "copy": [("copyPct", None), ("hostCopyPctOfHost", None), ("d2hPerStepUs", None), ("h2dPerStepUs", None), ("hostSyncCount", "hostSyncCount > 0")],
+}
+#: Measures of the evidence table, by group.
+EVIDENCE = [
+    ("time", ["wallUs", "deviceBusyPct", "hostBusyPct", "idlePct", "hostOnlyPct"]), ("operators", ["computePct", "commPct", "commExposedPct", "copyPct", "hostScheduleUs"]), ("steps", ["avgStepUs", "dispatchPerStep"]), ("utilisation", ["mac", "mte2"]),
+]
+
+
+def unit_of(metric: str) -> str:
+    """Unit of a measure, by its name."""
+    return "%" if "Pct" in metric else "us" if metric.endswith("Us") else "MB" if metric.endswith("Mb") else ""
 
 
 def pattern(words: list[tuple[str, str, str]], subtype: str | None = None) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as _html
 
 SECTIONS = [
-    ("files", "Files"), ("headline", "Bottleneck"), ("verdicts", "Verdict by scope"), ("candidates", "Scores"), ("evidence", "Evidence"), ("causes", "Root causes"), ("advice", "Advice"), ("gains", "Expected gains"), ("operators", "Operators"),
+    ("files", "Files"), ("warnings", "Warnings"), ("headline", "Bottleneck"), ("verdicts", "Verdict by scope"), ("candidates", "Scores"), ("evidence_table", "Measures"), ("evidence", "Evidence"), ("missing", "Gates not reached"), ("causes", "Root causes"), ("triggers", "What triggered them"), ("actions", "First actions"), ("advice", "Advice"), ("gains", "Expected gains"), ("operators", "Operators"),
     ("categories", "Categories"), ("steps", "Steps"), ("indicators", "Indicators"),
 ]
 
@@ -60,5 +60,12 @@ def html(text: str, title: str) -> str:
 
 def task(t: dict) -> str:
     """Task of one advice in Markdown."""
-    lines = [f"# {t['advice']} for {t['capture']}", "", f"Expected gain: {t['expected_pct']} %; counts as reached from {t['accept_pct']} %.", "", "Metrics: " + (", ".join(t["metrics"]) or "none"), "", grid(t["operators"])]
+    lines = [f"# {t['advice']} for {t['capture']}", "", f"Expected gain: {t['expected_pct']} %; counts as reached from {t['accept_pct']} %.", "", "Metrics: " + (", ".join(t["metrics"]) or "none"), "", "## Acceptance", "", grid(t.get("acceptance", [])), "## Operators", "", grid(t["operators"]), "## Prompt", "", t.get("prompt", "")]
     return "\n".join(lines)
+
+
+def prompt(t: dict) -> str:
+    """The task as a request in words, from its own figures only."""
+    goals = "; ".join(f"{g['metric']} is {cell(g['now'])} and should get {g['better']} by at least {g['improve_by_pct']:g} %" for g in t["acceptance"]) or "no metric to compare; improve the capture"
+    names = ", ".join(f"{o['name']} ({o['total_us']} us)" for o in t["operators"]) or "none"
+    return f"Carry out the advice {t['advice']} for the capture {t['capture']}. Goals: {goals}. Operators to look at first: {names}. Capture again with the same workload, compare, and report each goal as reached or not."

@@ -5,8 +5,10 @@ Columns are resolved once, on the driver, from the header line; each row is then
 
 from __future__ import annotations
 
+import csv
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,24 +49,51 @@ def metric_of(cell: str) -> str | None:
     return next((m for m, p in rules.METRIC_COLUMNS if re.search(p, cell.strip().lower())), None)
 
 
+#: How cells are read.
+CSV = {"quote": '"', "escape": '"', "comment": "#", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+
+
 def encoding_of(head: bytes) -> str:
     """UTF-8, or GBK where UTF-8 gives over 0.2 % replacement characters and GBK fewer."""
     bad = head.decode("utf-8", "replace").count("�")
     return "GBK" if bad > 0.002 * max(1, len(head)) and head.decode("gbk", "replace").count("�") < bad else "UTF-8"
 
 
+def _looked_at(files: DataFrame) -> tuple[str, str]:
+    """(encoding, header line) of the one file of ``files`` (content): all its bytes count for the encoding."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                encoding = encoding_of(content)
+                line = next((x for x in content[: 1 << 20].decode(encoding, "replace").splitlines() if x.strip() and not x.startswith("#")), "")
+                yield pa.RecordBatch.from_arrays([pa.array([encoding]), pa.array([line])], names=["encoding", "line"])
+
+    found = files.select("content").mapInArrow(run, "encoding string, line string").first()
+    return (found["encoding"], found["line"].lstrip("\ufeff")) if found else ("UTF-8", "")
+
+
 def read_table(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Canonical rows of one CSV file: kind, the fields that it has, ``utilization`` and ``extra`` maps, ``is_step_row``."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring(F.col("content"), 1, 65536).alias("h")).first()
-    head = bytes(first["h"]) if first else b""
-    encoding = encoding_of(head)
-    line = next((x for x in head.decode(encoding, "replace").splitlines() if x.strip() and not x.startswith("#")), "")
-    raw = spark.read.csv(path, sep=delimiter(line), header=True, quote='"', escape='"', comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, encoding=encoding, enforceSchema=False, mode="PERMISSIVE")
+    encoding, line = _looked_at(spark.read.format("binaryFile").load(path))
+    raw = spark.read.csv(path, sep=delimiter(line), header=True, encoding=encoding, enforceSchema=False, mode="PERMISSIVE", **CSV)
     header = raw.columns
     raw = raw.toDF(*(f"c{i}" for i in range(len(header))))
     return canonical(raw, header, kind or _kind(path))
 
 
+def read_member(files: DataFrame, path: str, kind: str | None = None) -> DataFrame:
+    """``read_table`` of a file that stands in a row of ``files`` (content), such as a member of an archive."""
+    encoding, line = _looked_at(files)
+    header = next(csv.reader([line], delimiter=delimiter(line), skipinitialspace=True), [])
+    whole = F.col("content").cast("string") if encoding == "UTF-8" else F.decode("content", encoding)  # a cast lets stray bytes pass
+    text = files.select(F.explode(F.split(whole, "\r?\n")).alias("line")).where(F.trim("line") != "").where(~F.col("line").startswith("#"))
+    rows = text.where(F.regexp_replace("line", "^\ufeff", "") != line)
+    names = ", ".join(f"c{i} string" for i in range(len(header)))
+    options = {"sep": delimiter(line), "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    return canonical(rows.select(F.from_csv("line", names, options).alias("r")).select("r.*"), [c.strip() for c in header], kind or _kind(path))
+
+
 def _kind(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     return next((k for k, p in rules.TABLE_KINDS if re.search(p, name, re.I)), "generic")

@@ -124,13 +124,17 @@ def event_of(fields, names: dict[str, int] | None = None) -> dict | None:
     return {"name": name, "start_us": start, "dur_us": dur, "confidence": "low"}
 
 
-def _files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path, length, content, ...) of all files below a path or several."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def read_records(spark: SparkSession, path: str, names: dict[str, int] | None = None, glob: str = "*.{pb,proto,bin}") -> DataFrame:
-    """(path, idx, name, start_us, dur_us, confidence) of all record files below ``path``; files that aren't records give no rows."""
+def read_records(spark: SparkSession, path: str | None = None, names: dict[str, int] | None = None, glob: str = "*.{pb,proto,bin}", files: DataFrame | None = None) -> DataFrame:
+    """(path, idx, name, start_us, dur_us, confidence) of all record files below ``path``, or of ``files`` (path, content).
+
+    Files that aren't records give no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -146,7 +150,7 @@ def read_records(spark: SparkSession, path: str, names: dict[str, int] | None =
                 if rows:
                     yield pd.DataFrame(rows)
 
-    return _files(spark, path, glob).select("path", "content").mapInPandas(run, "path string, idx long, name string, start_us double, dur_us double, confidence string")
+    return _chosen(spark, path, glob, files).select("path", "content").mapInPandas(run, "path string, idx long, name string, start_us double, dur_us double, confidence string")
 
 
 def inflated(name: str, data: bytes) -> bytes:
@@ -195,8 +199,12 @@ def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
     yield name, data
 
 
-def expand_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, content, length): all files below ``path``, those in archives one by one."""
+def _chosen(spark: SparkSession, path: str | None, glob: str, chosen: DataFrame | None) -> DataFrame:
+    return files(spark, path, glob) if chosen is None else chosen
+
+
+def expand_archives(found: DataFrame) -> DataFrame:
+    """(archive, name, content, length): all of ``found`` (path, content), those in archives one by one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -204,18 +212,28 @@ def expand_archives(spark: SparkSession, path: str) -> DataFrame:
                 for name, content in members(where.rsplit("/", 1)[-1], bytes(data)):
                     yield pd.DataFrame([{"archive": where, "name": name, "content": content, "length": len(content)}])
 
-    return _files(spark, path).select("path", "content").mapInPandas(run, "archive string, name string, content binary, length long")
+    return found.select("path", "content").mapInPandas(run, "archive string, name string, content binary, length long")
 
 
 def aux_kind(name: str, data) -> str:
     low = name.lower()
+    if isinstance(data, list) and any("mstx" in json.dumps(x) for x in data):
+        return "mstx"
     for kind, words in (("mstx", ("mstx",)), ("communication_matrix", ("communication_matrix",)), ("communication", ("communication",)), ("memory", ("memory",)), ("profiler_info", ("profiler_info", "profiler_metadata"))):
         if any(w in low for w in words):
             return kind
     return "metadata" if isinstance(data, dict) else "json-generic"
 
 
-def read_aux(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+def side_markers(aux: DataFrame) -> DataFrame:
+    """(ts, dur, text) of the entries of marker side-cars (kind ``mstx``): time, length and name or message with domain."""
+    entry = "array<struct<name: string, message: string, domain: string, ts: string, start: string, timestamp: string, dur: string>>"
+    rows = aux.where("kind = 'mstx'").selectExpr(f"inline(from_json(body, '{entry}'))")
+    out = rows.selectExpr("try_cast(coalesce(ts, start, timestamp) as decimal(20,3)) as ts", "coalesce(try_cast(dur as double), 0) as dur", "concat_ws(' ', coalesce(name, message), domain) as text")
+    return out.where("ts is not null")
+
+
+def read_aux(spark: SparkSession, path: str | None = None, glob: str = "*.json", files: DataFrame | None = None) -> DataFrame:
     """(name, kind, entries, body): side-car files; text that isn't JSON has the kind ``json-invalid``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,7 +248,7 @@ def read_aux(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
                     rows.append({"name": name, "kind": "json-invalid", "entries": 0, "body": None})
             yield pd.DataFrame(rows)
 
-    return _files(spark, path, glob).select("path", "content").mapInPandas(run, "name string, kind string, entries long, body string")
+    return _chosen(spark, path, glob, files).select("path", "content").mapInPandas(run, "name string, kind string, entries long, body string")
 
 
 def write_zip(entries: list[tuple[str, bytes]]) -> bytes:

@@ -119,9 +119,14 @@ def scan_text(text: str, keys: set[str] | None = None) -> tuple[list[tuple[str,
     return [x for x in found if keys is None or not x[0] or x[0] in keys], scanner
 
 
-def read_elements(spark: SparkSession, path: str, glob: str = "*.json", chunk: int = 4 << 20) -> DataFrame:
-    """(path, seq, key, element, truncated) of all files below ``path``; one row without element tells of a cut-off or oversized file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+def read_elements(spark: SparkSession, path: str | None = None, glob: str = "*.json", chunk: int = 4 << 20, files: DataFrame | None = None) -> DataFrame:
+    """(path, seq, key, element, truncated) of all files below ``path``, or of ``files`` (path, content).
+
+    One row without element tells of a cut-off or oversized file.
+    """
+    if files is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    files = files.select("path", "content")
     names = ["path", "seq", "key", "element", "truncated"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

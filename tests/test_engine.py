@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import shutil
+import subprocess
+import sys
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spindrift import report
 from spindrift.engine import Engine
+from spindrift.operators import analysis as A
 from spindrift.operators import view as V
 from spindrift.streaming import live
 
@@ -126,7 +133,77 @@ def test_int8_error_is_half_a_step(spark):
         assert r["worst"] <= r["scale"] / 2 + 1e-12
 
 
-def test_entry_points_without_the_training_data_part():
+def test_entry_points_without_the_training_data_part(tmp_path):
+    """A copy without that part and its pipeline imports, and offers all the other queries."""
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 100
+    root = Path(e.__file__).parent
+    shutil.copytree(root / "spindrift", tmp_path / "spindrift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    told = "import __spark_entry__ as e, spindrift; print(spindrift.__file__); print(len(e.queries()), len(e.oracle_sql()), sum(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in e.queries()))"
+    found = subprocess.run([sys.executable, "-c", told], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""}, timeout=120, check=True).stdout.split("\n")
+    assert found[0].startswith(str(tmp_path)) and int(found[1].split()[0]) >= 100 and found[1].split()[2] == "0"
+
+
+def test_archive_gives_the_same_verdict_as_the_folder(spark, captures, tmp_path):
+    folder = tmp_path / "plain"
+    folder.mkdir()
+    write(folder, "comm")
+    (folder / "communication.json").write_text(json.dumps({"step": {"collective": 1}}))
+    zipped = tmp_path / "zipped"
+    zipped.mkdir()
+    with zipfile.ZipFile(zipped / "capture.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(folder.iterdir()):
+            z.write(f, f.name)
+    engine = captures[0]
+    one, two = engine.ingest(str(folder), "folder"), engine.ingest(str(zipped), "archive")
+    assert one.events.count() == two.events.count() and set(two.tables) == set(one.tables) == {"kernel_details"}
+    rows = lambda c: sorted(map(str, engine.analyze(c)["verdicts"].collect()))
+    assert rows(one) == rows(two)
+    assert [(r["kind"], r["entries"]) for r in two.aux.collect()] == [("communication", 1)]
+    counts = {r["path"].rsplit("!", 1)[-1]: r["events"] for r in engine.lineage(two).collect()}
+    assert counts["trace_view.json"] == two.events.count() and counts["communication.json"] == 0
+
+
+def test_milliseconds_markers_and_phases(spark, tmp_path):
+    """A trace in milliseconds, and a marker side-car that names phases."""
+    out, marks, t = [{"ph": "M", "name": "process_name", "pid": 2, "args": {"name": "NPU device"}}], [], 5000.0
+    for k in range(6):
+        long = k % 3 == 0
+        marks.append({"name": "prefill batch" if long else "decode token", "ts": t * 1000, "dur": 4000})
+        for i in range(8):
+            out.append({"ph": "X", "name": "MatMul", "pid": 2, "tid": 1, "ts": str(t + i * 0.05), "dur": 0.04 if long else 0.02, "args": {"Stream Id": "1"}})
+        t += 5
+    (tmp_path / "trace_view.json").write_text(json.dumps(out))
+    (tmp_path / "mstx_marks.json").write_text(json.dumps(marks))
+    engine = Engine(spark)
+    c = engine.ingest(str(tmp_path), "ms")
+    assert set(c.units.values()) == {"ms"} and c.events.agg(F.max("te")).first()[0] > 25_000
+    assert c.step_source == "markers" and c.steps.count() == 6
+    got = engine.phases(c).orderBy("step").collect()
+    assert [r["phase"] for r in got] == ["prefill", "decode", "decode"] * 2 and {(r["method"], r["confidence"]) for r in got} == {("marker-labels", "high")}
+    assert engine.indicators(c).where("scope = 'overall'").first()["phase"] in ("prefill", "decode")
+
+
+def test_overrides_change_verdicts_and_are_checked(captures):
+    engine, found = captures
+    low = engine.analyze(found["compute"], thresholds={"deviceBusyGate": 1000.0})["candidates"].where("scope = 'overall' and bottleneck = 'compute'").first()
+    assert low["score"] == 0
+    with pytest.raises(KeyError):
+        engine.analyze(found["compute"], thresholds={"nothing": 1.0})
+    forced = engine.analyze(found["host"], phase="decode")["verdicts"].collect()
+    assert [(r["scope"], r["phase"]) for r in forced] == [("decode", "decode")]
+    assert engine.ingest(found["host"].artifacts.first()["path"].removeprefix("file:").rsplit("/", 1)[0], "sampled", sample_budget=100).sampled
+
+
+def test_comparison_tells_what_differs(captures):
+    engine, found = captures
+    same = engine.compare(found["comm"], found["comm"])
+    checks = same["comparability"].first()
+    assert checks["level"] == "high" and not any(checks[f"differs_{k}"] for k, _, _ in A.CHECKS)
+    other = engine.compare(found["host"], found["compute"], ("auto", "decode"))
+    checks, head = other["comparability"].first(), other["headline"].first()
+    assert checks["differs_override"] and checks["differs_bottleneck"] and checks["level"] != "high" and head["bottleneck_changed"] and "device busy" in head["summary"]
+    assert "override" in [r["warning"] for r in other["warnings"].collect()]
+    assert {r["verdict"] for r in other["advice"].collect()} <= {"achieved", "partial", "missed", "unknown"}

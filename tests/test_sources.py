@@ -114,7 +114,7 @@ def test_archives_and_side_cars(spark, tmp_path):
     (tmp_path / "b.tar.gz").write_bytes(t.getvalue())
     (tmp_path / "communication.json").write_text('{"op": {"count": 1}}')
     (tmp_path / "bad.json").write_text("{nope")
-    got = {r["name"]: bytes(r["content"]) for r in records.expand_archives(spark, str(tmp_path)).collect()}
+    got = {r["name"]: bytes(r["content"]) for r in records.expand_archives(records.files(spark, str(tmp_path))).collect()}
     assert got["d/op_statistic.csv"].startswith(b"OP Type") and got["x/trace_view.json"] == b"[]" and len(got) == 4
     aux = {r["name"]: (r["kind"], r["entries"]) for r in records.read_aux(spark, str(tmp_path)).collect()}
     assert aux == {"communication.json": ("communication", 1), "bad.json": ("json-invalid", 0)}
