@@ -168,8 +168,10 @@ def codec(path: str | None = None) -> Codec:
 def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str | None = None, decoded: bool = False) -> DataFrame:
     """``keep``, ``n_tokens`` and ``ids`` (binary: little-endian unsigned 32-bit) of every text; ``decoded`` adds their bytes.
 
-    A null text is empty: no ids. Texts of any length are encoded whole.
+    A null text is empty: no ids. Texts of any length are encoded whole. Repeated rows stay, an empty table gives no rows, and a
+    kept column with the name of a result gives way to it.
     """
+    keep = common.others(keep, "n_tokens", "ids", "decoded")
     docs = docs.select(*keep, docs[text_col].alias("__text"))
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids", "binary")
     if decoded:
@@ -189,6 +191,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
 
 def decode(coded: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), ranks: str | None = None) -> DataFrame:
     """``keep`` and ``decoded`` (binary) of every row's ids (binary, as ``encode`` gives them); null ids give empty bytes."""
+    keep = common.others(keep, "decoded")
     coded = coded.select(*keep, coded[ids_col].alias("__ids"))
     schema = coded.select(*keep).schema.add("decoded", "binary")
 

@@ -88,6 +88,19 @@ def sliced(batches, column: str, limit: int = SLICE_BYTES):
             stop = int(max(np.searchsorted(ends, base + limit, side="right"), start + 1))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
+
+
+def others(keep: tuple[str, ...], *results: str) -> tuple[str, ...]:
+    """Kept columns without those named like a result."""
+    return tuple(k for k in keep if k not in results)
+
+
+def texts_of(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with the columns ``keep`` and the text, and the name of the text's column; a text that is kept anyway goes once."""
+    if text_col in keep:
+        return docs.select(*keep), text_col
+    return docs.select(*keep, docs[text_col].alias("__text")), "__text"
 
 
 def text_chunks(column: pa.Array, blanks: str = "\n\t\r"):

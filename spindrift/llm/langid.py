@@ -239,10 +239,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
 
     ``spans``: arrays of (first word, word after the last, language), words being white-space separated. ``score``: share of the
     text's letters that stand in spans of ``lang_pred``. Null texts, texts without letters and a model without languages give
-    ``und`` with score 0; ties go to the first language in order.
+    ``und`` with score 0; ties go to the first language in order. Repeated rows stay, an empty table gives no rows, and a kept
+    column with the name of a result gives way to it.
     """
     spark = docs.sparkSession
-    docs = docs.select(*keep, docs[text_col].alias("__text"))
+    keep = common.others(keep, "lang_pred", "score", "spans")
+    docs, text = common.texts_of(docs, keep, text_col)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     if spans:
         schema = schema.add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("lang", "string")))
@@ -252,8 +254,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
         common.own("language", dict)  # what other operators held in this worker goes
         model = shared.value
         k, names = len(model.langs), np.array([*model.langs, UNKNOWN], object)
-        for batch in common.sliced(batches, "__text", SLICE):
-            offsets, index, distinct = common.text_chunks(batch.column("__text"))
+        for batch in common.sliced(batches, text, SLICE):
+            offsets, index, distinct = common.text_chunks(batch.column(text))
             scores, letters = word_scores(normal_words(distinct).to_pylist(), model)
             spoken = letters[index] > 0
             ends = np.concatenate([[0], np.cumsum(spoken)])[offsets]

@@ -316,14 +316,18 @@ def fit_scorer(got, rounds: int = FIT_ROUNDS) -> Scorer:
 
 
 def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``keep`` and the probability of being good of every row (0 for null texts and texts without words)."""
-    docs = docs.select(*keep, docs[text_col].alias("__text"))
+    """``keep`` and the probability of being good of every row (0 for null texts and texts without words).
+
+    Repeated rows stay, an empty table gives no rows, and a kept column with the name of the result gives way to it.
+    """
+    keep = common.others(keep, name)
+    docs, text = common.texts_of(docs, keep, text_col)
     schema = docs.select(*keep).schema.add(name, "double")
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # BUCKETS floats, whatever the data
 
     def run(batches):
-        for batch in common.sliced(batches, "__text", SLICE):
-            got = shared.value.score(stats_of_slice(batch.column("__text"), True))
+        for batch in common.sliced(batches, text, SLICE):
+            got = shared.value.score(stats_of_slice(batch.column(text), True))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(got, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ BLOCK, FEW = 2048, 8
 #: Recurring shingles that set the order, at most; the counts come from all documents.
 COMMON = 1 << 16
 #: Prefix entries of a bucket, about.
-BUCKET = 1 << 19
+BUCKET = 1 << 17
 #: Sets that a task remembers so as not to give them twice, bytes of text and pairs looked at in one step.
 REMEMBERED, SLICE, PAIRS = 1 << 16, 2 << 20, 1 << 18
 #: Bits of a set's parity map, at least; bits (a power of two) of the map of rows whose sets are wanted.

@@ -52,7 +52,11 @@ def simhash(text: bytes | None, words_per_shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), words_per_shingle: int = 4, name: str = "fp") -> DataFrame:
-    """``keep`` and the fingerprint (long) of every row of ``docs``; a null text counts as empty."""
+    """``keep`` and the fingerprint (long) of every row of ``docs``; a null text counts as empty.
+
+    A kept column with the name of the fingerprint gives way to it.
+    """
+    keep = common.others(keep, name)
     docs = docs.select(*keep, docs[text_col].alias("__text"))
     schema = docs.select(*keep).schema.add(name, "long")
 

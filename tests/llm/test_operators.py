@@ -570,3 +570,27 @@ def test_boundaries_are_optimal_at_any_length():
         cuts = packing.boundaries(length, count, buckets)
         padded = np.array(cuts)[np.searchsorted(cuts, length)]
         assert len(cuts) <= buckets and ((padded - length) * count).sum() == best[-1]
+
+
+def test_columns_with_names_of_results_do_no_harm(spark):
+    """Every operator on documents and vectors whose further columns are named like its results."""
+    docs = clashing(spark).selectExpr("*", "'i' as ids", "'t' as n_tokens", "'b' as bucket", "'p' as place", "'k' as links", "'d' as decoded", "'m' as part", "'r' as row").where("doc_id is not null")
+    n = docs.count()
+    path = tokens.write_token_files(docs, common.fresh_path(spark, "test-clash"), files=2)
+    assert tokens.checksums(tokens.read_token_files(spark, path)).count() == n
+    model = langid.train(docs)
+    found = langid.predict(docs, model, keep=tuple(docs.columns))
+    assert found.count() == n and len(set(found.columns)) == len(found.columns) and found.schema["score"].dataType.simpleString() == "double"
+    coded = bpe.encode(docs, keep=tuple(docs.columns), decoded=True)
+    assert coded.count() == n and len(set(coded.columns)) == len(coded.columns) and coded.schema["ids"].dataType.simpleString() == "binary"
+    assert secrets.linked(docs).count() == n and packing.packed(docs).count() == n and packing.packed(docs, length="cast(length(coalesce(text, '')) as bigint)").count() == n
+    more = spark.createDataFrame([(i, [float(i % 3 == j) for j in range(4)], i % 2) for i in range(60)], VSCHEMA).selectExpr("*", "1 as cls", "2 as n_links", "3 as rank", "4 as w", "5 as dim", "6 as score", "7 as id")
+    assert embeddings.linked(more).count() == 60 and topk.top_k(more).count() == 3 * 20
+
+
+def test_packing_of_token_files(spark):
+    """Lengths of a dealt encoder: the token files' own column, read without the ids."""
+    path = tokens.write_token_files(frame(spark), common.fresh_path(spark, "test-pack"), files=2)
+    table = tokens.read_token_files(spark, path, ("doc_id", "n_tokens"))
+    got = packing.packed(table.withColumn("text", table["n_tokens"].cast("string")), length="n_tokens").collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(r["n_tokens"] for r in table.collect()) and all(r["padded"] >= r["n_tokens"] for r in got)
