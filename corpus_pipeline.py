@@ -1,7 +1,8 @@
 """Corpus pipeline: quality, language, near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's
-``docs``. All but the last return the columns of ``docs``.
+``docs``. All but the last return the columns of ``docs``, whatever further columns there are and however they are named. An empty
+table stays empty; null ids are ids like any other.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ LANGUAGE_SHARE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. Null texts and texts without words score 0 and go; repeated rows are judged alike and stay."""
     _, scorer = quality.train(docs)
     scored = quality.scored(docs, scorer, keep=tuple(docs.columns), name="__score")
     return scored.where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; ``lang`` becomes the predicted one. Text without letters or mostly mixed goes."""
+    """Documents in a known language; ``lang`` becomes the predicted one. Text without letters (null too) or mostly mixed goes; repeated rows stay."""
     model = langid.fitted(docs)
     found = langid.predict(docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"}), model, keep=tuple({"lang_pred": "__lang_pred", "score": "__score"}.get(c, c) for c in docs.columns), spans=False)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
@@ -32,17 +33,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard similarity 0.8 or more): the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Near duplicates have a Jaccard similarity of 0.8 or more of their five-word shingles; the SimHash index gives most links, prefixes
+    the rest exactly. Texts without words are equal; of repeated rows one stays.
+    """
     return shingles.deduplicated(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind in brackets."""
+    """All documents, personal data replaced by its kind in brackets; null texts stay null, repeated rows stay."""
     return pii.redacted(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and place of every document."""
+    """Bucket, batch and place of every document; null texts have the length of their end token."""
     return packing.packed(docs)
 
 
