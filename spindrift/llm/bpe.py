@@ -172,7 +172,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     kept column with the name of a result gives way to it.
     """
     keep = common.others(keep, "n_tokens", "ids", "decoded")
-    docs = docs.select(*keep, docs[text_col].alias("__text"))
+    docs = common.of_texts(docs).select(*keep, docs[text_col].alias("__text"))
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids", "binary")
     if decoded:
         schema = schema.add("decoded", "binary")

@@ -45,6 +45,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts in an Arrow batch, at most: Spark's default of 10,000 long texts, on both sides of a Python worker, is hundreds of MB.
+TEXT_ROWS = 1000
+
+
+def of_texts(docs: DataFrame) -> DataFrame:
+    """``docs``; lowers the session's rows in an Arrow batch to ``TEXT_ROWS`` where they are more. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(docs.sparkSession.conf.get(key))
+    if most <= 0 or most > TEXT_ROWS:
+        docs.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return docs
+
+
 def placed(docs: DataFrame, label: str) -> DataFrame:
     """``docs`` with ``__file`` and ``__pos``, which name a row: its file's hash and its place there.
 
@@ -99,8 +112,8 @@ def others(keep: tuple[str, ...], *results: str) -> tuple[str, ...]:
 def texts_of(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> tuple[DataFrame, str]:
     """``docs`` with the columns ``keep`` and the text, and the name of the text's column; a text that is kept anyway goes once."""
     if text_col in keep:
-        return docs.select(*keep), text_col
-    return docs.select(*keep, docs[text_col].alias("__text")), "__text"
+        return of_texts(docs).select(*keep), text_col
+    return of_texts(docs).select(*keep, docs[text_col].alias("__text")), "__text"
 
 
 def text_chunks(column: pa.Array, blanks: str = "\n\t\r"):

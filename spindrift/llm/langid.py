@@ -127,7 +127,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     The sample is the rows whose hash is at most the ``rows``-th smallest (copies of a row come whole, and count where they lie). What reaches the driver is
     a table of counts by bucket and language, of fixed size. No labelled rows: a model without languages.
     """
-    usable = labelled.select(F.xxhash64(id_col, text_col).alias("h"), labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
+    usable = common.of_texts(labelled).select(F.xxhash64(id_col, text_col).alias("h"), labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
     cut = usable.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if cut is None:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))

@@ -254,7 +254,7 @@ def count_patterns(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()))], names=["pattern", "n"])
 
-    found = docs.select(docs[text_col].alias("text")).mapInArrow(run, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    found = common.of_texts(docs).select(docs[text_col].alias("text")).mapInArrow(run, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     patterns = np.array([np.frombuffer(bytes(p), np.int8) for p in found["pattern"]], np.int64).reshape(-1, len(LABELLERS))
     return patterns, found["n"].to_numpy(float)
 

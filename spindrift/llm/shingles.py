@@ -365,7 +365,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an empty table stays empty. Texts are not moved unless over ``FEW_PLACES`` rows go.
     """
     names = docs.columns
-    docs = common.placed(docs, "shingle-docs")
+    docs = common.placed(common.of_texts(docs), "shingle-docs")
     rows = common.written(classified(docs, id_col, text_col, words), "shingle-rows")
     places = rows.where("file is not null")
     groups = simhash.near_duplicates(places.select("id", "fp"), id_col="id", edges=links(rows, docs, text_col, words, block))

@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     A kept column with the name of the fingerprint gives way to it.
     """
     keep = common.others(keep, name)
-    docs = docs.select(*keep, docs[text_col].alias("__text"))
+    docs = common.of_texts(docs).select(*keep, docs[text_col].alias("__text"))
     schema = docs.select(*keep).schema.add(name, "long")
 
     def run(batches):

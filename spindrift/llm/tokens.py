@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the row's place deals out ids that repeat (or are null) very often
-    ranged = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("__row"), docs[text_col].alias("__text"))
+    ranged = common.of_texts(docs).select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("__row"), docs[text_col].alias("__text"))
     ranged = ranged.repartitionByRange(n, "doc_id", "__row").sortWithinPartitions("doc_id", "__row").drop("__row")
 
     def run(batches):

@@ -5,7 +5,7 @@ index is its ids and weights, and its summary the largest and smallest weight of
 the best that a block can give bounds every score in it. Blocks are scored in order of falling bounds, and the search of a
 query ends when the next bound is below its k-th score so far, so nothing that belongs to the top k is ever missed.
 
-The search goes in waves over ranges (``RANGE`` blocks): a query's own range first, then ``GROWTH`` times as many ranges in each
+The search goes in waves over ranges (``RANGE`` blocks): a query's own range (or a few neighbours, where ranges are small) first, then ``GROWTH`` times as many ranges in each
 further wave, each with the k-th scores so far. A k-th score over a quarter of the rows leaves about four times k rows above it in
 all, so hits stay few for each query whatever the number of ranges. Before a wave moves any block, its summary meets the queries:
 only blocks whose bound reaches the k-th score of some query go out, and only to the parts with such queries. Work is dealt by
@@ -192,15 +192,21 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     """
     spark = vectors.sparkSession
     index = common.written(blocks(weights_of(vectors, id_col, vector_col)), "topk-blocks")
-    asked = common.written(queries_of(index, every), "topk-queries")
     # one row for each range: its number among those of its length, and how many there are
     ranges = index.select("dim", "range").distinct().selectExpr("dim", "range", "row_number() over (partition by dim order by range) - 1L as rank", "count(*) over (partition by dim) as ranges")
     ranges = common.written(ranges, "topk-ranges")
-    most = ranges.agg(F.max("ranges")).first()[0] or 0
-    parts = common.written(asked.select("dim", "home", "sub").distinct().join(ranges.withColumnRenamed("range", "home"), ["dim", "home"]).withColumnRenamed("rank", "start"), "topk-parts")
-    best, begin, end = None, 0, 1
+    size = ranges.agg(F.max("ranges").alias("most"), F.count("*").alias("all")).first()
+    asked = common.written(queries_of(index, every), "topk-queries")
+    # a part is the queries of one range, or of several neighbours where ranges are small
+    near = max(1, min(GROWTH**2, QUERIES * size["all"] // max(1, asked.count())))
+    home = ranges.selectExpr("dim", "range as home", f"rank div {near} as part")
+    asked = common.written(asked.join(home, ["dim", "home"]).drop("home").withColumnRenamed("part", "home").select(*(f.split()[0] for f in ASKED.split(", "))), "topk-asked")
+    most = size["most"] or 0
+    counts = ranges.select("dim", "ranges").distinct()
+    parts = common.written(asked.select("dim", "home", "sub").distinct().join(counts, "dim").withColumn("start", F.expr(f"home * {near}")), "topk-parts")
+    best, begin, end = None, 0, near
     while begin < most:
-        # (part, range) pairs of this wave: ranges ``begin`` to ``end`` after the part's own
+        # (part, range) pairs of this wave: ranges ``begin`` to ``end`` from the part's first on
         pairs = parts.where(f"ranges > {begin}").selectExpr("dim", "home", "sub", f"explode(sequence({begin}L, least({end}L, ranges) - 1)) as __off", "start", "ranges").selectExpr("dim", "home", "sub", "(start + __off) % ranges as rank")
         target = pairs.join(ranges.select("dim", "range", "rank"), ["dim", "rank"])
         if best is None:
