@@ -48,7 +48,7 @@ def indicators(events: DataFrame, scopes: DataFrame) -> DataFrame:
         "wallUs": R(wall), "stepCount": c("steps"), "eventCount": c("n"), "deviceEventCount": c("dn"), "hostEventCount": c("hn"), "deviceBusyUs": R(c("db")), "deviceBusyPct": R(P(c("db"), wall)), "hostBusyUs": R(c("hb")), "hostBusyPct": R(P(c("hb"), wall)),
         "idleUs": R(c("idle")), "idlePct": R(P(c("idle"), wall)), "hostOnlyUs": R(c("h_only")), "hostOnlyPct": R(P(c("h_only"), wall)), "deviceOnlyUs": R(c("d_only")), "deviceOnlyPct": R(P(c("d_only"), wall)), "commUs": R(c("cu")), "commPct": R(P(c("cu"), wall)),
         "commPctOfDevice": R(P(c("cu"), own("db"))), "commExposedUs": R(c("ce")), "commExposedPct": R(P(c("ce"), wall)), "commOverlapPct": R(P(c("co"), own("cu"))), "commEventCount": c("cn"), "commPerStep": per_step(c("cn")), "commUsPerStep": per_step(c("cu")),
-        "commLatencyMedianUs": R(c("cm")), "commSizeMedianMb": R(c("cs"), 4), "computeUs": R(c("ku")), "computePct": R(P(c("ku"), wall)), "computePctOfDevice": R(P(c("ku"), own("db"))), "copyUs": R(c("yu")), "copyPct": R(P(c("yu"), wall)), "hostCopyUs": R(c("hy")),
+        "commLatencyMedianUs": R(c("cm")), "commSizeMedianMb": F.when(c("cs").isNotNull(), R(c("cs"), 3)), "computeUs": R(c("ku")), "computePct": R(P(c("ku"), wall)), "computePctOfDevice": R(P(c("ku"), own("db"))), "copyUs": R(c("yu")), "copyPct": R(P(c("yu"), wall)), "hostCopyUs": R(c("hy")),
         "hostCopyPctOfHost": R(P(c("hy"), own("hb"))), "hostCopyPct": R(P(c("hy"), wall)), "d2hPerStepUs": per_step(c("d2h")), "h2dPerStepUs": per_step(c("h2d")), "hostScheduleUs": R(c("hs")), "hostSchedulePctOfHost": R(P(c("hs"), own("hb"))), "dispatchEventCount": c("disp"),
         "dispatchPerStep": per_step(c("disp"), 1), "hostSyncUs": R(c("su")), "hostSyncCount": c("sn"), "hostSyncPerStep": per_step(c("sn")), "hostExclusivePerStepUs": R(F.when(c("steps") > 0, c("h_only") / c("steps")).otherwise(c("h_only"))), "maxGapUs": R(c("gmax")),
         "maxGapPct": R(P(c("gmax"), wall)), "meanGapUs": R(F.when(c("gn") > 0, c("idle") / c("gn")).otherwise(0.0)), "gapCount": c("gn"), "avgStepUs": R(F.when(c("steps") > 0, wall / c("steps")).otherwise(wall)), "medianComputeUs": R(c("km")), "hasAttention": c("hasAttention"),
@@ -164,9 +164,12 @@ def warnings(block: DataFrame, reached: DataFrame, sampled: bool = False) -> Dat
 
 
 def causes(block: DataFrame, trigger: float = rules.TRIGGER_SCORE, override: dict | None = None) -> DataFrame:
-    """(scope, phase, bottleneck, cause): causes whose condition holds, for the bottlenecks that reach the trigger; ``<bottleneck>.generic`` if none does."""
+    """(scope, phase, bottleneck, cause): causes whose condition holds, for the bottlenecks that reach the trigger; ``<bottleneck>.generic`` if none does.
+
+    A cause of one phase needs a scope of that phase; the scope of a whole capture carries its dominant one.
+    """
     hit = candidates(block, override).where(F.col("score") >= trigger).select("scope", "bottleneck")
-    tests = [F.when(F.expr(f"(phase = 'overall' or '{ph}' in ('both', phase)) and ({test})"), F.struct(F.lit(i).alias("i"), F.lit(b).alias("bottleneck"), F.lit(c).alias("cause"))) for i, (c, b, ph, test) in enumerate(rules.CAUSES)]
+    tests = [F.when(F.expr(f"'{ph}' in ('both', phase) and ({test})"), F.struct(F.lit(i).alias("i"), F.lit(b).alias("bottleneck"), F.lit(c).alias("cause"))) for i, (c, b, ph, test) in enumerate(rules.CAUSES)]
     long = block.select("scope", "phase", F.explode(F.array_compact(F.array(*tests))).alias("x")).select("scope", "phase", "x.*")
     own = hit.join(long, ["scope", "bottleneck"], "left").join(block.select("scope", F.col("phase").alias("p")), "scope")
     return own.selectExpr("scope", "p as phase", "bottleneck", "coalesce(cause, concat(bottleneck, '.generic')) as cause")
@@ -179,7 +182,7 @@ def advice(block: DataFrame, trigger: float = rules.TRIGGER_SCORE, override: dic
     for i, (a, b, ph, level, test, gain, low) in enumerate(rules.ADVICE):
         g = R(F.expr(f"cast({gain} as double)"), 1)
         w = R(F.expr(f"cast({low} as double)"), 1) if low else R(g * 0.5, 1)
-        items.append(F.when(F.expr(f"(phase = 'overall' or '{ph}' in ('both', phase)) and coalesce({test}, false)"), F.struct(F.lit(i).alias("i"), F.lit(a).alias("advice"), F.lit(b).alias("bottleneck"), F.lit(level).alias("level"), g.alias("gain_pct"), w.alias("low_pct"))))
+        items.append(F.when(F.expr(f"'{ph}' in ('both', phase) and coalesce({test}, false)"), F.struct(F.lit(i).alias("i"), F.lit(a).alias("advice"), F.lit(b).alias("bottleneck"), F.lit(level).alias("level"), g.alias("gain_pct"), w.alias("low_pct"))))
     long = block.select("scope", F.explode(F.array_compact(F.array(*items))).alias("x")).select("scope", "x.*")
     out = long.join(score, ["scope", "bottleneck"], "left").where(f"bottleneck = 'balanced' or score >= {trigger}")
     return out.select("scope", "advice", "bottleneck", "level", "gain_pct", "low_pct", R(F.col("level") * 20 + F.least(F.lit(40.0), F.coalesce("score", F.lit(0.0)) * 0.4) + F.least(F.lit(20.0), F.col("gain_pct") * 0.4)).alias("priority"))

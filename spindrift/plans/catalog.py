@@ -606,19 +606,22 @@ def step_sources(spark, d):
 
 
 def _blocks(spark, d):
-    """Indicator rows of two scopes: overall, and the second half as decode."""
+    """Indicator rows of three scopes: the first quarter as prefill, the second half as decode, and overall, judged as the longer of both."""
     ev = events(spark, d)
     c = S.classify("raw_name", "device")
     ev = ev.withColumn("c", c).selectExpr("idx", "device", "category", "c.subtype as subtype", "c.role as role", "name", "ts", "te", "dur")
     w = ev.agg(F.min("ts").alias("a"), F.max("te").alias("b"))
-    scopes = w.selectExpr("inline(array(named_struct('scope', 'overall', 'phase', 'overall', 'ws', a, 'we', b, 'steps', 30), named_struct('scope', 'decode', 'phase', 'decode', 'ws', a + (b - a) div 2, 'we', b, 'steps', 15)))")
-    scopes = spark.createDataFrame(scopes.collect(), scopes.schema)  # two rows
+    parts = w.selectExpr("inline(array(named_struct('scope', 'prefill', 'ws', a, 'we', a + (b - a) div 4, 'steps', 8), named_struct('scope', 'decode', 'ws', a + (b - a) div 2, 'we', b, 'steps', 15)))")
+    longest = parts.agg(F.max_by("scope", F.expr("we - ws")).alias("phase"))
+    scopes = w.join(F.broadcast(longest)).selectExpr("'overall' as scope", "phase", "a as ws", "b as we", "30 as steps").unionByName(parts.selectExpr("scope", "scope as phase", "ws", "we", "steps"))
+    scopes = spark.createDataFrame(scopes.collect(), scopes.schema)  # three rows
     scoped = kept(ev.join(F.broadcast(scopes), F.expr("ts >= ws and ts < we")).drop("ws", "we", "steps", "phase"), "scoped-events")
     context = "cast(null as double) as mac", "cast(null as double) as mte2", "true as phaseMix", "'low' as phaseConfidence", "false as missingTables"
     return A.settled(A.indicators(scoped, scopes).selectExpr("*", *context))
 
 
-_SC = f"""{EV}, cl AS (SELECT *, {_CLASS} FROM ev), w AS (SELECT min(ts) AS a, max(te) AS b FROM ev), sc AS (SELECT 'overall' AS scope, 'overall' AS phase, a AS ws, b AS we, 30 AS steps FROM w UNION ALL SELECT 'decode', 'decode', a + (b - a) // 2, b, 15 FROM w),
+_SC = f"""{EV}, cl AS (SELECT *, {_CLASS} FROM ev), w AS (SELECT min(ts) AS a, max(te) AS b FROM ev), sp AS (SELECT 'prefill' AS scope, a AS ws, a + (b - a) // 4 AS we, 8 AS steps FROM w UNION ALL SELECT 'decode', a + (b - a) // 2, b, 15 FROM w),
+sc AS (SELECT 'overall' AS scope, (SELECT max_by(scope, we - ws) FROM sp) AS phase, a AS ws, b AS we, 30 AS steps FROM w UNION ALL SELECT scope, scope, ws, we, steps FROM sp),
 es AS (SELECT cl.*, scope FROM cl JOIN sc ON ts >= ws AND ts < we), {swp('es', 'device', 'device', 'host', 'scope', 'bz')}, dv AS (SELECT * FROM es WHERE device = 'device'), {swp('dv', 'category', 'comm', 'compute', 'scope', 'cm')}, {isl('dv', 'scope')},
 pts AS (SELECT scope, s, e FROM isl UNION ALL SELECT scope, ws, ws FROM sc UNION ALL SELECT scope, we, we FROM sc), gp AS (SELECT scope, g1 - g0 AS g FROM (SELECT scope, e AS g0, lead(s) OVER (PARTITION BY scope ORDER BY s, e) AS g1 FROM pts) WHERE g1 - g0 > 50),
 gs AS (SELECT scope, sum(g) AS idle, max(g) AS gmax, count(*) AS gn FROM gp GROUP BY scope),
@@ -684,14 +687,14 @@ def evidence_missing(spark, d):
     return A.missing(_blocks(spark, d)).groupBy("scope").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
 
 
-_CAUSE = f"""{_SCORE}, hit AS (SELECT scope, bottleneck FROM rk WHERE score >= 40), tr AS (
-SELECT scope, 'host' AS bottleneck, 'host.eager-python-per-token' AS cause FROM ib WHERE phase IN ('overall', 'decode') AND dispatchPerStep >= 400 AND deviceBusyPct < 95 UNION ALL SELECT scope, 'host', 'host.sampler-sync' FROM ib WHERE hostSyncCount > 0 AND (hostSyncPerStep >= 0.5 OR hostSyncUs >= wallUs * 0.03)
-UNION ALL SELECT scope, 'host', 'host.prefill-metadata' FROM ib WHERE phase IN ('overall', 'prefill') AND hostOnlyPct >= 15 AND dispatchPerStep >= 300 UNION ALL SELECT scope, 'host', 'host.launch-gaps' FROM ib WHERE gapCount >= 5 AND meanGapUs >= 80 AND idlePct >= 5
-UNION ALL SELECT scope, 'comm', 'comm.decode-tp-small-message' FROM ib WHERE phase IN ('overall', 'decode') AND commPctOfDevice >= 12 AND commLatencyMedianUs <= 120 UNION ALL SELECT scope, 'comm', 'comm.prefill-bandwidth' FROM ib WHERE phase IN ('overall', 'prefill') AND commPctOfDevice >= 12
+_CAUSE = f"""{_SCORE}, hit AS (SELECT scope, phase, bottleneck FROM rk WHERE score >= 40), tr AS (
+SELECT scope, 'host' AS bottleneck, 'host.eager-python-per-token' AS cause FROM ib WHERE phase = 'decode' AND dispatchPerStep >= 400 AND deviceBusyPct < 95 UNION ALL SELECT scope, 'host', 'host.sampler-sync' FROM ib WHERE hostSyncCount > 0 AND (hostSyncPerStep >= 0.5 OR hostSyncUs >= wallUs * 0.03)
+UNION ALL SELECT scope, 'host', 'host.prefill-metadata' FROM ib WHERE phase = 'prefill' AND hostOnlyPct >= 15 AND dispatchPerStep >= 300 UNION ALL SELECT scope, 'host', 'host.launch-gaps' FROM ib WHERE gapCount >= 5 AND meanGapUs >= 80 AND idlePct >= 5
+UNION ALL SELECT scope, 'comm', 'comm.decode-tp-small-message' FROM ib WHERE phase = 'decode' AND commPctOfDevice >= 12 AND commLatencyMedianUs <= 120 UNION ALL SELECT scope, 'comm', 'comm.prefill-bandwidth' FROM ib WHERE phase = 'prefill' AND commPctOfDevice >= 12
 UNION ALL SELECT scope, 'comm', 'comm.overlap-disabled' FROM ib WHERE commPctOfDevice >= 8 AND commOverlapPct < 40 UNION ALL SELECT scope, 'copy', 'copy.d2h-sync-sampling' FROM ib WHERE d2hPerStepUs >= 150 OR hostSyncCount > 0 UNION ALL SELECT scope, 'copy', 'copy.h2d-kv-or-weight' FROM ib WHERE h2dPerStepUs >= 200
-UNION ALL SELECT scope, 'compute', 'compute.prefill-attention-quadratic' FROM ib WHERE phase IN ('overall', 'prefill') AND computePct >= 55 AND hasAttention UNION ALL SELECT scope, 'compute', 'compute.decode-memory-bound' FROM ib WHERE phase IN ('overall', 'decode') AND deviceBusyPct >= 70
+UNION ALL SELECT scope, 'compute', 'compute.prefill-attention-quadratic' FROM ib WHERE phase = 'prefill' AND computePct >= 55 AND hasAttention UNION ALL SELECT scope, 'compute', 'compute.decode-memory-bound' FROM ib WHERE phase = 'decode' AND deviceBusyPct >= 70
 UNION ALL SELECT scope, 'compute', 'compute.fragmented-small-ops' FROM ib WHERE deviceBusyPct >= 70 AND computePct >= 40 AND medianComputeUs > 0 AND medianComputeUs < 30)
-SELECT hit.scope, hit.scope AS phase, hit.bottleneck, coalesce(cause, hit.bottleneck || '.generic') AS cause FROM hit LEFT JOIN tr ON hit.scope = tr.scope AND hit.bottleneck = tr.bottleneck"""
+SELECT hit.scope, hit.phase, hit.bottleneck, coalesce(cause, hit.bottleneck || '.generic') AS cause FROM hit LEFT JOIN tr ON hit.scope = tr.scope AND hit.bottleneck = tr.bottleneck"""
 
 
 @query("root_causes", _CAUSE)
@@ -702,7 +705,7 @@ def root_causes(spark, d):
 _TRIG = ", ".join(f"('{k}', '{m}', CAST({m} AS DOUBLE), {t or 'true'})" for k, ms in A.rules.TRIGGERS.items() for m, t in ms)
 
 
-@query("cause_triggers", f"{_CAUSE.replace('SELECT hit.scope, hit.scope AS phase', ', cau AS (SELECT hit.scope, hit.scope AS phase')}), tg AS (SELECT scope, t.* FROM ix, LATERAL (SELECT * FROM (VALUES {_TRIG}) AS v(kind, metric, v, ok)) AS t) SELECT cau.scope, cause, metric, CASE WHEN v IS NOT NULL THEN {js('v')} END AS value FROM cau JOIN tg ON cau.scope = tg.scope AND tg.kind = split_part(cause, '.', 1) AND ok")
+@query("cause_triggers", f"{_CAUSE.replace('SELECT hit.scope, hit.phase', ', cau AS (SELECT hit.scope, hit.phase')}), tg AS (SELECT scope, t.* FROM ix, LATERAL (SELECT * FROM (VALUES {_TRIG}) AS v(kind, metric, v, ok)) AS t) SELECT cau.scope, cause, metric, CASE WHEN v IS NOT NULL THEN {js('v')} END AS value FROM cau JOIN tg ON cau.scope = tg.scope AND tg.kind = split_part(cause, '.', 1) AND ok")
 def cause_triggers(spark, d):
     """The measures behind each cause."""
     block = _blocks(spark, d)
@@ -719,7 +722,7 @@ def _advice_row(item) -> str:
     """Oracle's rows of one advice template over ``ix``."""
     name, kind, phase, level, test, gain, low = item
     careful = js(low, 1) if low else js(f"{js(gain, 1)} * 0.5", 1)
-    return f"SELECT scope, '{name}' AS advice, '{kind}' AS bottleneck, {level} AS level, {js(gain, 1)} AS gain_pct, {careful} AS low_pct FROM ix WHERE (phase = 'overall' OR '{phase}' IN ('both', phase)) AND coalesce({test}, false)"
+    return f"SELECT scope, '{name}' AS advice, '{kind}' AS bottleneck, {level} AS level, {js(gain, 1)} AS gain_pct, {careful} AS low_pct FROM ix WHERE '{phase}' IN ('both', phase) AND coalesce({test}, false)"
 
 
 _ADV = f"{_SCORE}, adv AS ({' UNION ALL '.join(map(_advice_row, A.rules.ADVICE))}), ad AS (SELECT adv.scope, advice, adv.bottleneck, level, gain_pct, low_pct, {js('level * 20 + least(40.0, coalesce(score, 0) * 0.4) + least(20.0, gain_pct * 0.4)')} AS priority FROM adv LEFT JOIN rk ON adv.scope = rk.scope AND adv.bottleneck = rk.bottleneck WHERE adv.bottleneck = 'balanced' OR score >= 40)"
