@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, packing, pii, quality, secrets, simhash, tokens, topk
+from . import bpe, embeddings, langid, packing, periods, pii, quality, secrets, simhash, tokens, topk
 
 
 QUERIES = {
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_pii": pii.query,
     "op10_simhash_near_dedup": simhash.query,
+    "op11_periodic_runs": periods.query,
 }
 ORACLES = {"op5_embedding_near_dedup": embeddings.ORACLE, "op6_top_k": topk.ORACLE}
