@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, packing, periods, pii, quality, secrets, simhash, tokens, topk
+from . import bpe, embeddings, langid, neighbours, packing, periods, pii, quality, secrets, simhash, spellings, tokens, topk
 
 
 QUERIES = {
@@ -17,5 +17,7 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_simhash_near_dedup": simhash.query,
     "op11_periodic_runs": periods.query,
+    "op12_nearest_neighbours": neighbours.query,
+    "op13_spelling_variants": spellings.query,
 }
 ORACLES = {"op5_embedding_near_dedup": embeddings.ORACLE, "op6_top_k": topk.ORACLE}
