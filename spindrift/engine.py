@@ -16,7 +16,7 @@ from spindrift.operators import analysis as A
 from spindrift.operators import dataset as D
 from spindrift.operators import phases as P
 from spindrift.operators import view as V
-from spindrift.sources import csv_tables, records, sniff, trace_json
+from spindrift.sources import csv_tables, json_ranges, records, sniff, trace_json
 
 
 @dataclass
@@ -62,13 +62,12 @@ class Engine:
         """
         paths = [self._guard(p) for p in ([path] if isinstance(path, str) else path)]
         files = records.files(self.spark, paths)
-        head = F.substring("content", 1, 262144).cast("string").alias("head")
-        found = sniff.sniffed(files.select("path", "length", F.substring_index("path", "/", -1).alias("name"), head)).drop("head")
+        found = sniff.sniffed(records.heads(self.spark, files)).drop("head")
         found = kept(found, "capture-files")
         if found.where("kind = 'archive'").limit(1).count():  # what they hold is written once and read like files
             inside = kept(records.expand_archives(files.join(F.broadcast(found.where("kind = 'archive'").select("path")), "path", "left_semi")).selectExpr("concat(archive, '!', name) as path", "length", "content"), "capture-members")
             files = files.select("path", "length", "content").join(F.broadcast(found.where("kind <> 'archive'").select("path")), "path", "left_semi").unionByName(inside)
-            found = found.unionByName(sniff.sniffed(inside.select("path", "length", F.substring_index("path", "/", -1).alias("name"), head)).drop("head"))
+            found = found.unionByName(sniff.sniffed(records.heads(self.spark, inside)).drop("head"))
             found = kept(found, "capture-files")
         kinds = [(r["path"], r["kind"]) for r in found.select("path", "kind").collect()]  # one row for each file
         if any(k == "sqlite" for _, k in kinds):
@@ -81,7 +80,11 @@ class Engine:
         capture = Capture(label or paths[0].rstrip("/").rsplit("/", 1)[-1], self.spark.createDataFrame([], EMPTY), artifacts=found)
         parts, origin = [], 0
         if "trace-json" in has:
-            raw = kept(trace_json.trace_events(trace_json.read_elements(self.spark, files=of_kind("trace-json"))), "capture-trace")
+            inner = of_kind("trace-json").where("contains(path, '!')")  # members of archives
+            elements = [trace_json.read_elements(self.spark, files=inner)] if any("!" in p for p, k in kinds if k == "trace-json") else []
+            plain = [p for p, k in kinds if k == "trace-json" and "!" not in p]
+            elements += [json_ranges.read_elements(self.spark, plain)] if plain else []
+            raw = kept(trace_json.trace_events(reduce(DataFrame.unionByName, elements)), "capture-trace")
             units = D.time_units(raw).collect()  # one row for each trace
             capture.units = {r["path"]: r["unit"] for r in units}
             raw = D.in_microseconds(raw, self.spark.createDataFrame(units, "path string, unit string"))
@@ -154,14 +157,13 @@ class Engine:
         scopes = [("overall", known[0]["phase"] if known else "overall", begin, end, capture.steps.count())] + [(r["phase"], r["phase"], r["ws"], r["we"], r["steps"]) for r in known]
         scopes = self.spark.createDataFrame(scopes, "scope string, phase string, ws long, we long, steps int")
         names = [c for c in ("idx", "device", "category", "subtype", "role", "name", "ts", "te", "dur", "size_mb") if c in capture.events.columns]
-        scoped = capture.events.select(*names).join(F.broadcast(scopes.selectExpr("scope", "ws", "we")), F.expr("ts >= ws and ts < greatest(we, ws + 1)")).drop("ws", "we")
         values = {}
         tables = [t.select(F.explode("utilization").alias("m", "v"), F.coalesce("dur_us", "total_us", F.lit(1.0)).alias("w")) for t in capture.tables.values()]
         if tables:
             means = reduce(DataFrame.unionByName, tables).groupBy("m").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v")).collect()
             values = {r["m"]: r["v"] for r in means}  # ten metrics at most
         context = {"mac": F.lit(values.get("mac")).cast("double"), "mte2": F.lit(values.get("mte2")).cast("double"), "phaseMix": F.lit(len(known) > 1), "phaseConfidence": F.lit(sure), "missingTables": F.lit(not capture.tables)}
-        return A.settled(A.indicators(scoped, scopes).withColumns(context))
+        return A.settled(A.indicators(capture.events.select(*names), scopes).withColumns(context))
 
     def scoped(self, capture: Capture, phase: str = "auto") -> DataFrame:
         """Indicator rows to judge: all scopes, or with a ``phase`` named, one scope that is held to be of that phase."""

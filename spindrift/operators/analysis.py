@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import scalars as S
+from spindrift.operators import dataset as D
 from spindrift.operators import intervals as I  # noqa: E741
 from spindrift.plans import rules
 
@@ -15,17 +16,19 @@ R, P = S.round_half_up, S.percent_of
 def indicators(events: DataFrame, scopes: DataFrame) -> DataFrame:
     """One row of measures for each scope.
 
-    ``events`` carry ``scope`` (an event of several scopes occurs in each), device, category, subtype, role, name, ts, te, dur and,
-    where message sizes are known, ``size_mb``; they are read several times, so a caller writes them first if they are costly.
-    ``scopes`` has scope, phase, ws, we, steps. Interval measures come from sweeps keyed by scope, the rest from one aggregate.
+    ``events`` carry device, category, subtype, role, name, ts, te, dur and, where message sizes are known, ``size_mb``; they are read
+    three times, so a caller writes them first if they are costly. ``scopes`` has scope, phase, ws, we, steps: a few rows, which may
+    overlap; an event belongs to those in which it starts. Interval measures and gaps come from one sweep over all scopes, sums from
+    one aggregate over what events have in common, medians from counted values.
     """
     sides = {"d": "device = 'device'", "h": "device = 'host'", "c": "device = 'device' and category = 'comm'", "k": "device = 'device' and category = 'compute'"}
     spans = {"db": "d > 0", "hb": "h > 0", "d_only": "d > 0 and h = 0", "h_only": "h > 0 and d = 0", "cu": "c > 0", "co": "c > 0 and k > 0", "ce": "c > 0 and k = 0"}
-    busy = I.sweeps(events, sides, spans, ["scope"], "ts", "te")
-    idle = I.gaps(events.where("device = 'device'"), scopes.select("scope", "ws", "we"), int(rules.MIN_GAP_US), ["scope"], "ts", "te").groupBy("scope").agg(F.sum("dur").alias("idle"), F.max("dur").alias("gmax"), F.count("*").alias("gn"))
+    named = [(r["scope"], r["ws"], r["we"]) for r in scopes.collect()]  # the whole capture and its phases
+    within = F.expr("filter(array({}), x -> x is not null)".format(", ".join(f"case when ts >= {a}L and ts < {max(b, a + 1)}L then '{n}' end" for n, a, b in named)))
+    busy = I.sweeps_in(events, [(n, a, max(b, a + 1)) for n, a, b in named], sides, spans, "d", int(rules.MIN_GAP_US), "ts", "te").withColumnsRenamed({"longest": "gmax", "pauses": "gn"})
     # first by what rows have in common, then conditional sums over those few rows
     sync = F.expr(f"device = 'host' and name rlike '(?i){rules.SYNC_OPS}'").alias("sync")
-    alike = events.groupBy("scope", "device", "category", "subtype", "role", sync).agg(F.count("*").alias("n"), F.sum("dur").alias("d"))
+    alike = events.groupBy(within.alias("scopes"), "device", "category", "subtype", "role", sync).agg(F.count("*").alias("n"), F.sum("dur").alias("d")).withColumn("scope", F.explode("scopes"))
     total = lambda test: F.coalesce(F.sum(F.expr(f"case when {test} then d end")), F.lit(0)).cast("double")
     many = lambda test: F.coalesce(F.sum(F.expr(f"case when {test} then n end")), F.lit(0)).cast("long")
     device = "device = 'device' and category"
@@ -34,11 +37,13 @@ def indicators(events: DataFrame, scopes: DataFrame) -> DataFrame:
         many(f"{device} = 'comm'").alias("cn"), total(f"{device} = 'copy' and subtype = 'd2h'").alias("d2h"), total(f"{device} = 'copy' and subtype = 'h2d'").alias("h2d"), many("device = 'host' and (role = 'framework' or category = 'schedule')").alias("disp"), total("sync").alias("su"), many("sync").alias("sn"),
         F.coalesce(F.max(F.expr(f"{device} = 'compute' and subtype = 'attention'")), F.lit(False)).alias("hasAttention"),
     )
-    middle = lambda kind: F.expr(f"percentile(case when category = '{kind}' then dur end, 0.5)")
-    sized = "size_mb" if "size_mb" in events.columns else "cast(null as double)"
-    medians = events.where("device = 'device' and category in ('comm', 'compute')").groupBy("scope").agg(middle("comm").alias("cm"), middle("compute").alias("km"), F.expr(f"percentile(case when category = 'comm' and {sized} > 0 then {sized} end, 0.5)").alias("cs"))
+    size = "named_struct('kind', 'cs', 'v', case when category = 'comm' and size_mb > 0 then cast(size_mb as double) end)" if "size_mb" in events.columns else None
+    measured = ", ".join(filter(None, ["named_struct('kind', if(category = 'comm', 'cm', 'km'), 'v', cast(dur as double))", size]))
+    values = events.where("device = 'device' and category in ('comm', 'compute')").select(F.explode(within).alias("scope"), "category", "dur", *(["size_mb"] if size else [])).selectExpr("scope", f"inline(array({measured}))")
+    middle = D.quantiles(values, ["scope", "kind"], "v", {"m": 0.5}, middle=True)
+    medians = middle.groupBy("scope").agg(*(F.max(F.when(F.col("kind") == k, F.col("m"))).alias(k) for k in ("cm", "km", "cs")))
     sums = sums.join(medians, "scope", "left")
-    x = scopes.join(sums, "scope", "left").join(busy, "scope", "left").join(idle, "scope", "left")
+    x = scopes.join(sums, "scope", "left").join(busy, "scope", "left")
     x = x.na.fill(0, [k for k in x.columns if k != "cs"])
     c = F.col
     wall = F.greatest(F.lit(1.0), (c("we") - c("ws")).cast("double"))

@@ -1,19 +1,26 @@
 """Interval algebra: union, overlap, exclusive time, islands and gaps of large interval sets.
 
-A running maximum over all intervals in order would be one task. Instead the time axis is cut into ``buckets`` equal parts: an
-interval is clipped to each part that it touches, every part is solved on its own, lengths add up exactly, and islands that touch
-an edge are joined across it (at most two for each part and key, whatever the number of intervals).
+A running maximum over all intervals in order would be one task. Instead the time axis is cut into parts: an interval is clipped to
+each part that it touches, every part is solved on its own, lengths add up exactly, and islands that touch an edge are joined across
+it (at most two for each part and key, whatever the number of intervals).
+The borders of the parts are quantiles of the starts, from a sketch that is merged over all tasks: each part has about as many
+starts, however they crowd on the axis. An instant at which more start than a part holds cannot be cut; intervals with the same start
+are folded into one before they are shuffled.
 Other ordered passes (next, last before, running sums) work alike: each part in its own task, then one row a part, in order,
 carries what the parts before it hand on. Times are whole numbers (microseconds). Intervals with an end before their start, or nulls, are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts of the time axis, at least; a session with more shuffle partitions gets as many parts.
 BUCKETS = 64
+#: Beyond all times.
+FAR = 1 << 62
 
 
 def parts_of(df: DataFrame, buckets: int | None) -> int:
@@ -21,11 +28,26 @@ def parts_of(df: DataFrame, buckets: int | None) -> int:
     return buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def in_parts(df: DataFrame, at: str, span: DataFrame, buckets: int | None = None) -> DataFrame:
-    """``df`` with ``__part``, the part of the axis of ``at`` that a row stands in; ``span`` is one row (__a, __b), its ends."""
+def cuts_of(df: DataFrame, at: str, buckets: int | None = None) -> DataFrame:
+    """One row with ``__cuts``: rising borders that divide the values of ``at`` into about equal parts, by a mergeable quantile sketch.
+
+    Without values there are none, and all is one part.
+    """
     n = parts_of(df, buckets)
-    part = f"cast(floor(cast(`{at}` - __a as double) / cast(greatest(1, __b - __a + 1) as double) * {n}) as int) as __part"
-    return df.join(F.broadcast(span)).selectExpr(*(f"`{c}`" for c in df.columns), part)
+    shares = ", ".join(f"{k / n!r}D" for k in range(1, n))
+    return df.agg(F.expr(f"coalesce(array_sort(array_distinct(percentile_approx(cast(`{at}` as bigint), array({shares}), {20 * n}))), cast(array() as array<bigint>)) as __cuts" if n > 1 else "cast(array() as array<bigint>) as __cuts"))
+
+
+def part_of(x: str, n: int) -> str:
+    """SQL of the part that the time ``x`` stands in: the number of borders at or before it, by binary search over fewer than ``n``."""
+    steps = ", ".join(str(1 << k) for k in reversed(range(max(1, n.bit_length()))))
+    return f"aggregate(array({steps}), 0, (__p, __w) -> if(__p + __w <= size(__cuts) and get(__cuts, __p + __w - 1) <= {x}, __p + __w, __p))"
+
+
+def in_parts(df: DataFrame, at: str, cuts: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``__part``, the part of the axis of ``at`` that a row stands in; ``cuts`` is a row of ``cuts_of``, by default that of ``df``."""
+    cuts = cuts_of(df, at, buckets) if cuts is None else cuts
+    return df.join(F.broadcast(cuts)).selectExpr(*(f"`{c}`" for c in df.columns), f"{part_of(f'`{at}`', parts_of(df, buckets))} as __part")
 
 
 def with_earlier(rows: DataFrame, one: str, carry: str, name: str, keys: list[str] | None = None) -> DataFrame:
@@ -45,12 +67,12 @@ def with_earlier(rows: DataFrame, one: str, carry: str, name: str, keys: list[st
 
 def _clipped(df: DataFrame, keys: list[str], start: str, end: str, buckets: int | None, extra: list[str] | None = None) -> DataFrame:
     """keys, extra, part, s, e, lo, hi: each interval clipped to each part [lo, hi) of the axis that it touches."""
-    extra, buckets = extra or [], parts_of(df, buckets)
+    extra = extra or []
     src = df.where(f"`{end}` >= `{start}`").selectExpr(*(f"`{k}`" for k in [*keys, *extra]), f"cast(`{start}` as bigint) as s", f"cast(`{end}` as bigint) as e")
-    span = src.agg(F.min("s").alias("__a"), F.max("e").alias("__b")).withColumn("__w", F.expr(f"greatest(1, cast(ceil((__b - __a + 1) / {buckets}) as bigint))"))
-    cut = src.join(F.broadcast(span))  # one row
-    cut = cut.selectExpr("*", "explode(sequence((s - __a) div __w, (greatest(s, e - 1) - __a) div __w)) as part")
-    cut = cut.selectExpr("*", "__a + part * __w as lo", "__a + (part + 1) * __w as hi")
+    n = parts_of(df, buckets)
+    cut = src.join(F.broadcast(cuts_of(src, "s", buckets)))  # one row
+    cut = cut.selectExpr("*", f"explode(sequence({part_of('s', n)}, {part_of('greatest(s, e - 1)', n)})) as part")
+    cut = cut.selectExpr("*", f"if(part = 0, {-FAR}L, get(__cuts, part - 1)) as lo", f"if(part = size(__cuts), {FAR}L, get(__cuts, part)) as hi")
     return cut.selectExpr(*(f"`{k}`" for k in [*keys, *extra]), "part", "greatest(s, lo) as s", "least(e, hi) as e", "lo", "hi")
 
 
@@ -58,10 +80,10 @@ def islands(df: DataFrame, keys: list[str] | None = None, start: str = "start",
     """(keys, start, end, n): maximal merged intervals; touching ones merge. ``n`` counts clipped pieces in it."""
     keys = keys or []
     by = ", ".join(f"`{k}`" for k in [*keys, "part"])
-    cut = _clipped(df, keys, start, end, buckets)
+    cut = _clipped(df, keys, start, end, buckets).groupBy(*keys, "part", "lo", "hi", "s").agg(F.max("e").alias("e"), F.count("*").alias("c"))  # same start: one row
     top = cut.selectExpr("*", f"max(e) over (partition by {by} order by s, e rows between unbounded preceding and 1 preceding) as m")
     flag = top.selectExpr("*", f"sum(case when m is null or s > m then 1 else 0 end) over (partition by {by} order by s, e rows unbounded preceding) as g")
-    pieces = flag.groupBy(*keys, "part", "g", "lo", "hi").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.count("*").alias("n"))
+    pieces = flag.groupBy(*keys, "part", "g", "lo", "hi").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.sum("c").alias("n"))
     inner = pieces.where("start > lo and end < hi").select(*keys, "start", "end", "n")
     edge = pieces.where("start <= lo or end >= hi")
     over = f"over (partition by {', '.join(f'`{k}`' for k in keys)} order by start" if keys else "over (order by start"  # at most two rows for each part and key
@@ -102,6 +124,47 @@ def sweeps(df: DataFrame, sets: dict[str, str], measures: dict[str, str], keys:
     return run.groupBy(*keys).agg(*(F.coalesce(F.sum(F.expr(f"case when {t} then __len end")), F.lit(0)).cast("long").alias(n) for n, t in measures.items()))
 
 
+def sweeps_in(df: DataFrame, scopes: list[tuple[str, int, int]], sets: dict[str, str], measures: dict[str, str], idle: str, least: int = 0, start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
+    """(scope, measures, idle, longest, pauses): ``sweeps`` and the gaps of one set for several scopes, which may overlap, in one pass.
+
+    ``scopes`` are a few (name, ws, we); an interval belongs to those in which it starts, whole. No row is copied for a scope: each
+    change of what is open is one row with a counter for each scope and set, and measures and gaps are folded from the same rows.
+    ``pauses`` spans of the scope without an interval of the set ``idle`` are longer than ``least``: ``idle`` in total, ``longest`` each.
+    """
+    scoped = list(enumerate(scopes))
+    inside = [f"int(coalesce(`{start}` >= {a}L and `{start}` < {b}L, false)) as `__m{i}`" for i, (_, a, b) in scoped]
+    rows = df.selectExpr(f"`{start}`", f"`{end}`", *(f"int(coalesce({t}, false)) as `{n}`" for n, t in sets.items()), *inside)
+    rows = rows.where(" or ".join(f"`{n}` = 1" for n in sets)).where(" or ".join(f"`__m{i}` = 1" for i, _ in scoped))
+    cut = _clipped(rows, [], start, end, buckets, [*sets, *(f"__m{i}" for i, _ in scoped)])
+    marks = cut.selectExpr("part", *(f"`{n}`" for n in sets), *(f"`__m{i}`" for i, _ in scoped), "inline(array(named_struct('t', s, '__d', 1), named_struct('t', e, '__d', -1)))")
+    steps = marks.groupBy("part", "t").agg(
+        *(F.expr(f"sum(`{n}` * `__m{i}` * __d)").alias(f"{n}_{i}") for i, _ in scoped for n in sets), *(F.expr(f"sum(if(__d > 0, `{idle}` * `__m{i}`, 0))").alias(f"__o{i}") for i, _ in scoped)
+    )
+    over = "over (partition by part order by t)"
+    run = steps.selectExpr("part", "t", f"lead(t) {over} - t as __len", *(f"sum(`{n}_{i}`) {over} as `{n}_{i}`" for i, _ in scoped for n in sets), *(f"`{idle}_{i}` as `__x{i}`" for i, _ in scoped), *(f"`__o{i}`" for i, _ in scoped))
+    begins = {i: f"(`__o{i}` > 0 and `{idle}_{i}` = `__x{i}`)" for i, _ in scoped}  # an interval starts and none was open before
+    ends = {i: f"(`{idle}_{i}` = 0 and (`__x{i}` < 0 or `__o{i}` > 0))" for i, _ in scoped}  # none is open any more
+    run = run.selectExpr("*", *(f"max(case when {ends[i]} then t end) over (partition by part order by t rows between unbounded preceding and 1 preceding) as `__l{i}`" for i, _ in scoped))
+    held = {n: [re.sub(rf"\b({'|'.join(sets)})\b", rf"`\1_{i}`", t) for i, _ in scoped] for n, t in measures.items()}
+    pause = {i: f"case when {begins[i]} and t - `__l{i}` > {least} then t - `__l{i}` end" for i, _ in scoped}
+    each = run.groupBy("part").agg(
+        *(F.expr(f"sum(case when {t} then __len end)").alias(f"{n}_{i}") for n, ts in held.items() for i, t in enumerate(ts)),
+        *(F.expr(f"{f}({x})").alias(f"__{f}{i}") for f in ("sum", "max", "count") for i, x in pause.items()), *(F.expr(f"min(case when {begins[i]} then t end)").alias(f"__f{i}") for i, _ in scoped), *(F.expr(f"max(case when {ends[i]} then t end)").alias(f"__l{i}") for i, _ in scoped),
+    )
+    between = each.selectExpr("*", *(f"`__f{i}` - coalesce(max(`__l{i}`) over (order by part rows between unbounded preceding and 1 preceding), {a}L) as `__g{i}`" for i, (_, a, _) in scoped))  # a row a part
+    cells = []
+    for i, (name, a, b) in scoped:
+        last = f"({b}L - coalesce(max(`__l{i}`), {a}L))"
+        own = f"case when `__g{i}` > {least} then `__g{i}` end"
+        at_end = f"if({last} > {least}, {{0}}, 0L)"
+        sums = ", ".join(f"'{n}', cast(coalesce(sum(`{n}_{i}`), 0) as bigint)" for n in measures)
+        cells.append(
+            f"named_struct('scope', '{name}', {sums}, 'idle', cast(coalesce(sum(`__sum{i}`), 0) + coalesce(sum({own}), 0) + {at_end.format(last)} as bigint), "
+            f"'longest', cast(greatest(coalesce(max(`__max{i}`), 0), coalesce(max({own}), 0), {at_end.format(last)}) as bigint), 'pauses', cast(coalesce(sum(`__count{i}`), 0) + count({own}) + {at_end.format('1L')} as bigint))"
+        )
+    return between.agg(F.expr(f"array({', '.join(cells)})").alias("__s")).selectExpr("inline(__s)")
+
+
 def sweep(df: DataFrame, side: str, left: str, right: str, keys: list[str] | None = None, start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
     """(keys, left_us, right_us, both_us, left_only_us, right_only_us): one pass over the ends of two sets of intervals."""
     measures = {"left_us": "l > 0", "right_us": "r > 0", "both_us": "l > 0 and r > 0", "left_only_us": "l > 0 and r = 0", "right_only_us": "r > 0 and l = 0"}
@@ -117,7 +180,7 @@ def gaps(busy: DataFrame, window: DataFrame, least: int = 0, keys: list[str] | N
     named = [f"`{k}`" for k in keys]
     merged = islands(busy, keys, start, end, buckets).select(*keys, "start", "end")
     edges = window.selectExpr(*named, "ws as start", "ws as end").unionByName(window.selectExpr(*named, "we as start", "we as end"))
-    rows = in_parts(merged.unionByName(edges), "start", window.agg(F.min("ws").alias("__a"), F.max("we").alias("__b")), buckets)
+    rows = in_parts(merged.unionByName(edges), "start", cuts_of(busy, start, buckets), buckets)
     over = f"over (partition by {', '.join([*named, '__part'])} order by start, end)"
     run = rows.selectExpr(*named, "__part", "start", "end", f"lead(start) {over} as __n", f"row_number() {over} as __r")
     inner = run.where("__n is not null").selectExpr(*named, "end as s", "__n as e")
@@ -138,18 +201,28 @@ def as_of(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value:
     a = left.select(*(F.col(c) for c in names), F.col(left_ts).alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     b = right.select(*(F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names), F.col(right_ts).alias("__t"), F.lit(0).alias("__k"), F.col(value).alias("__v"))
     times = left.select(F.col(left_ts).alias("t")).unionByName(right.select(F.col(right_ts).alias("t")))
-    rows = in_parts(a.unionByName(b).withColumnRenamed("__v", "__w"), "__t", times.agg(F.min("t").alias("__a"), F.max("t").alias("__b")), buckets)
+    rows = in_parts(a.unionByName(b).withColumnRenamed("__v", "__w"), "__t", cuts_of(times, "t", buckets), buckets)
     by = ", ".join([*(f"`{k}`" for k in keys), "__part"])
     both = rows.selectExpr("*", f"last_value(__w) ignore nulls over (partition by {by} order by __t, __k, __w rows unbounded preceding) as __own")
     both = with_earlier(both, "max_by(__w, case when __w is not null then struct(__t, __w) end)", "last_value(__v) ignore nulls", "__earlier", keys)
     return both.where("__k = 1").selectExpr(*(f"`{c}`" for c in names), f"case when __t is not null then coalesce(__own, __earlier) end as `{value}_asof`")
 
 
-def contained(events: DataFrame, steps: DataFrame, ts: str = "start", width: int = 1 << 36) -> DataFrame:
+#: A step goes to that many aligned blocks, up to four times as many (and one more at its end).
+BLOCKS = 16
+
+
+def contained(events: DataFrame, steps: DataFrame, ts: str = "start", blocks: int = BLOCKS) -> DataFrame:
     """``events`` with the step (``step, ws, we`` of ``steps``) in which they start, ``ws <= ts < we``; events in none go.
 
-    A range join as an equi-join on time buckets of ``width``: steps go to each bucket that they touch, events to one.
+    A range join as an equi-join on aligned dyadic blocks. A step is covered by blocks of one size, a power of four that its own length
+    decides (``blocks`` to four times as many), so steps of microseconds and of hours are cut alike, whether they follow each other, nest or
+    overlap. An event has one key for each size in use: steps of about one length give a single one, any lengths thirty-two at most.
+    Blocks at the ends of a step reach beyond it by a sixteenth of it at most; the times decide there. Empty steps, null times and events
+    outside all steps match nothing. A block with very many events is split by the adaptive skew join.
     """
-    cut = steps.selectExpr("step", "ws", "we", f"explode(sequence(ws div {width}, greatest(ws, we - 1) div {width})) as __b")
-    found = events.withColumn("__b", F.expr(f"`{ts}` div {width}")).join(cut, "__b").where(f"`{ts}` >= ws and `{ts}` < we")
-    return found.drop("__b", "ws", "we")
+    own = steps.where("we > ws").selectExpr("step", "cast(ws as bigint) as ws", "cast(we as bigint) as we", f"greatest(0, length(bin(cast(we - ws as bigint))) - {blocks.bit_length()}) div 2 * 2 as __l")
+    sizes = own.agg(F.collect_set(F.col("__l").cast("int")).alias("__ls"))  # thirty-two at most
+    cut = own.selectExpr("step", "ws", "we", "cast(__l as int) as __l").selectExpr("step", "ws", "we", "__l", "explode(sequence(shiftright(ws, __l), shiftright(we - 1, __l))) as __b")
+    keyed = events.join(F.broadcast(sizes)).selectExpr(*(f"`{c}`" for c in events.columns), "explode(__ls) as __l").withColumn("__b", F.expr(f"shiftright(cast(`{ts}` as bigint), __l)"))
+    return keyed.join(cut, ["__l", "__b"]).where(f"`{ts}` >= ws and `{ts}` < we").drop("__l", "__b", "ws", "we")

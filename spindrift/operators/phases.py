@@ -59,7 +59,7 @@ def engine_steps(events: DataFrame, pattern: str = rules.ENGINE_STEPS, least: in
     best = host.groupBy("name").agg(F.count("*").alias("n"), F.sum("dur").alias("t")).where(f"n >= {least}").orderBy(F.desc("n"), F.desc("t"), "name").limit(1).select(F.col("name").alias("__n"))
     own = host.join(F.broadcast(best), host["name"] == best["__n"], "left_semi")
     own = kept(own.select("name", "ts", "te", "idx"), "engine-runs")
-    rows = I.in_parts(own, "ts", own.agg(F.min("ts").alias("__a"), F.max("ts").alias("__b")))
+    rows = I.in_parts(own, "ts")
     top = rows.selectExpr("*", "max(te) over (partition by __part order by ts, te desc, idx rows between unbounded preceding and 1 preceding) as m")
     top = I.with_earlier(top, "max(te)", "max(__v)", "before").selectExpr("name", "ts as ws", "te as we", "greatest(m, before) as m")
     return top.where("m is null or ws >= m").select("name", "ws", "we")
@@ -72,7 +72,7 @@ def gap_segments(events: DataFrame, least: int = 200, factor: int = 4) -> DataFr
     cent wide are counted first, then the values of the one class that holds it. The islands are written as a table first, as they are read more than once.
     """
     merged = kept(I.islands(events, [], "ts", "te").select("start", "end"), "islands")
-    merged = I.in_parts(merged, "start", merged.agg(F.min("start").alias("__a"), F.max("start").alias("__b")))
+    merged = I.in_parts(merged, "start")
     pauses = merged.selectExpr("*", "lag(`end`) over (partition by __part order by start) as p")
     pauses = I.with_earlier(pauses, "max(`end`)", "max(__v)", "before").selectExpr("__part", "start", "`end`", "start - coalesce(p, before) as gap")
     long = pauses.where("gap > 0").selectExpr("gap", "cast(floor(log2(gap) * 32) as int) as class")
@@ -127,9 +127,9 @@ def labelled(steps: DataFrame, value: str, markers: DataFrame | None = None) ->
     return both.join(F.broadcast(mixed)).selectExpr(*(f"`{n}`" for n in names), "phase", "method", sure)
 
 
-def step_metrics(events: DataFrame, steps: DataFrame, width: int = 1 << 36) -> DataFrame:
+def step_metrics(events: DataFrame, steps: DataFrame) -> DataFrame:
     """One row for each step with events: busy time of both sides, idle time, time of each category, communication overlap and exposure."""
-    inside = I.contained(events, steps, "ts", width)
+    inside = I.contained(events, steps, "ts")
     busy = I.sweep(inside, "device", "device", "host", ["step"], "ts", "te")
     comm = I.sweep(inside.where("device = 'device'"), "category", "comm", "compute", ["step"], "ts", "te").selectExpr("step", "left_us as comm_us", "both_us as comm_overlap_us", "left_only_us as comm_exposed_us")
     sums = inside.groupBy("step").agg(F.count("*").alias("events"), *(F.coalesce(F.sum(F.expr(f"case when device = 'device' and category = '{c}' then dur end")), F.lit(0)).cast("long").alias(f"{c}_sum_us") for c in ("compute", "copy")))

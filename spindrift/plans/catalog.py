@@ -610,14 +610,14 @@ def _blocks(spark, d):
     ev = events(spark, d)
     c = S.classify("raw_name", "device")
     ev = ev.withColumn("c", c).selectExpr("idx", "device", "category", "c.subtype as subtype", "c.role as role", "name", "ts", "te", "dur")
-    w = ev.agg(F.min("ts").alias("a"), F.max("te").alias("b"))
-    parts = w.selectExpr("inline(array(named_struct('scope', 'prefill', 'ws', a, 'we', a + (b - a) div 4, 'steps', 8), named_struct('scope', 'decode', 'ws', a + (b - a) div 2, 'we', b, 'steps', 15)))")
-    longest = parts.agg(F.max_by("scope", F.expr("we - ws")).alias("phase"))
-    scopes = w.join(F.broadcast(longest)).selectExpr("'overall' as scope", "phase", "a as ws", "b as we", "30 as steps").unionByName(parts.selectExpr("scope", "scope as phase", "ws", "we", "steps"))
-    scopes = spark.createDataFrame(scopes.collect(), scopes.schema)  # three rows
-    scoped = kept(ev.join(F.broadcast(scopes), F.expr("ts >= ws and ts < we")).drop("ws", "we", "steps", "phase"), "scoped-events")
+    ev = kept(ev.drop("idx"), "block-events")
+    w = ev.agg(F.min("ts").alias("a"), F.max("te").alias("b")).first()
+    a, b = (w["a"], w["b"]) if w["a"] is not None else (0, 0)
+    parts = [("prefill", "prefill", a, a + (b - a) // 4, 8), ("decode", "decode", a + (b - a) // 2, b, 15)]
+    longest = max(parts, key=lambda x: x[3] - x[2])[1]
+    scopes = spark.createDataFrame([("overall", longest, a, b, 30), *parts], "scope string, phase string, ws long, we long, steps int")
     context = "cast(null as double) as mac", "cast(null as double) as mte2", "true as phaseMix", "'low' as phaseConfidence", "false as missingTables"
-    return A.settled(A.indicators(scoped, scopes).selectExpr("*", *context))
+    return A.settled(A.indicators(ev, scopes).selectExpr("*", *context))
 
 
 _SC = f"""{EV}, cl AS (SELECT *, {_CLASS} FROM ev), w AS (SELECT min(ts) AS a, max(te) AS b FROM ev), sp AS (SELECT 'prefill' AS scope, a AS ws, a + (b - a) // 4 AS we, 8 AS steps FROM w UNION ALL SELECT 'decode', a + (b - a) // 2, b, 15 FROM w),

@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +131,39 @@ def files(spark: SparkSession, path: str | list[str], glob: str | None = None) -
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+#: Characters of a file that tell what it is, and bytes of a file up to which it is read as one row for them.
+HEAD, ONE_ROW = 262_144, 64 << 20
+
+
+def heads(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """(path, length, name, head) of files (path, length, content): the beginning of each, of large ones without reading them whole."""
+    name = F.substring_index("path", "/", -1).alias("name")
+    few = found.where(F.col("length") <= ONE_ROW).select("path", "length", name, F.substring("content", 1, HEAD).cast("string").alias("head"))
+    large = {r["path"]: r["length"] for r in found.where(F.col("length") > ONE_ROW).select("path", "length").collect()}  # a row for each large file
+    if not large:
+        return few
+
+    def run(batches):
+        own, held = None, ""
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([large.get(own, 0)], pa.int64()), pa.array([own.rsplit("/", 1)[-1]]), pa.array([held[:HEAD]])], names=["path", "length", "name", "head"])
+
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value"), strict=True):
+                if path != own:
+                    if own:
+                        yield told()
+                    own, held = path, ""
+                if len(held) < HEAD:
+                    held += value.as_buffer().to_pybytes()[: HEAD * 4].decode("utf-8", "replace") + "}"
+        if own:
+            yield told()
+
+    rows = spark.read.option("lineSep", "}").text(list(large)).where("_metadata.file_block_start = 0").selectExpr("_metadata.file_path as path", "cast(value as binary) as value")
+    return few.unionByName(rows.mapInArrow(run, "path string, length long, name string, head string"))
+
+
 def read_records(spark: SparkSession, path: str | None = None, names: dict[str, int] | None = None, glob: str = "*.{pb,proto,bin}", files: DataFrame | None = None) -> DataFrame:
     """(path, idx, name, start_us, dur_us, confidence) of all record files below ``path``, or of ``files`` (path, content).
 

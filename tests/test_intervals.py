@@ -134,3 +134,67 @@ def test_doubling_doubles(spark):
     assert sum(r["share_pct"] for r in D.category_totals(ev).collect()) == 100
     head = D.with_overflow(D.operator_stats(ev), 1).collect()
     assert sum(r["count"] for r in head) == 30 and [r["folded"] for r in head if r["name"] == "(other)"] == [2]
+
+
+def test_contained_is_a_plain_range_join(spark):
+    r = random.Random(8)
+    steps = [(i, s := r.randrange(-5000, 5000), s + r.choice([-3, 0, 1, 2, 17, 100, 900, 9000])) for i in range(120)] + [(500, -(10**15), 10**15), (501, 2, 3)]  # nested, overlapping, empty, huge, tiny
+    events = [(i, r.choice([None, r.randrange(-6000, 6000), 10**14])) for i in range(400)]
+    got = I.contained(spark.createDataFrame(events, "idx int, ts long"), spark.createDataFrame(steps, "step int, ws long, we long"), "ts")
+    assert got.columns == ["idx", "ts", "step"]
+    want = sorted((i, t, k) for i, t in events for k, a, b in steps if t is not None and a <= t < b)
+    assert sorted(tuple(x) for x in got.collect()) == want
+    assert I.contained(spark.createDataFrame(events, "idx int, ts long"), spark.createDataFrame([], "step int, ws long, we long"), "ts").count() == 0
+
+
+def test_range_join_of_short_steps_has_no_common_key(spark):
+    """A capture of a second with thousands of steps: keys hold a few steps each, events a single key."""
+    steps = spark.range(5000).selectExpr("id as step", "id * 200 as ws", "id * 200 + 100 as we")
+    events = spark.range(200_000).selectExpr("id as idx", "(id * 7919) % 1000000 as ts")
+    got = I.contained(events, steps, "ts")
+    assert got.count() == 100_000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" in plan and "Cartesian" not in plan
+    level = (100).bit_length() - I.BLOCKS.bit_length() & ~1
+    each = steps.selectExpr(f"explode(sequence(shiftright(ws, {level}), shiftright(we - 1, {level}))) as b").groupBy("b").count()
+    assert each.agg(F.max("count")).first()[0] <= 2
+
+
+def test_parts_follow_crowded_times(spark):
+    """Half of all events in a hundredth of the span, and an instant with a tenth of them."""
+    ev = spark.range(60_000).selectExpr("case when id % 2 = 0 then 500000 + id % 10000 when id % 10 = 1 then 700000 else (id * 7919) % 1000000 end as ts").withColumn("te", F.expr("ts + 5"))
+    sizes = [r["count"] for r in I.in_parts(ev.where("ts <> 700000"), "ts", buckets=64).groupBy("__part").count().collect()]
+    assert len(sizes) > 50 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    rows = [(r["ts"], r["te"]) for r in ev.distinct().collect()]
+    assert sorted((r["start"], r["end"]) for r in I.islands(ev, [], "ts", "te", 64).collect()) == merged(rows)
+    assert I.islands(ev, [], "ts", "te", 64).agg(F.sum("n")).first()[0] >= 60_000
+
+
+@pytest.mark.parametrize("seed,buckets", [(1, 1), (2, 6), (3, 64), (4, 300)])
+def test_one_sweep_for_all_scopes(spark, seed, buckets):
+    r = random.Random(seed)
+    rows = [(r.choice(["a", "b", None]), s := r.randrange(2000), s + r.choice([0, 0, 1, 5, 40, r.randrange(300)])) for _ in range(90)]
+    scopes = [("all", 0, 2600), ("early", 0, 700), ("late", 1200, 2000), ("none", 9000, 9100)]
+    got = I.sweeps_in(spark.createDataFrame(rows, "side string, ts long, te long"), scopes, {"x": "side = 'a'", "y": "side = 'b'"}, {"left": "x > 0", "only": "x > 0 and y = 0", "both": "x > 0 and y > 0"}, "x", 10, "ts", "te", buckets)
+    found = {g["scope"]: g for g in got.collect()}
+    for name, lo, hi in scopes:
+        own = {k: [(s, e) for side, s, e in rows if side == k and lo <= s < hi] for k in "ab"}
+        x, y = ({t for s, e in own[k] for t in range(s, e)} for k in "ab")
+        ends = [(lo, lo), *merged(own["a"]), (hi, hi)]
+        gaps = [d for p, q in zip(ends, ends[1:], strict=False) if (d := q[0] - p[1]) > 10]
+        g = found[name]
+        assert (g["left"], g["only"], g["both"], g["idle"], g["longest"], g["pauses"]) == (len(x), len(x - y), len(x & y), sum(gaps), max(gaps, default=0), len(gaps))
+
+
+def test_exact_quantiles_without_a_buffer(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 0, r.randrange(-50, 50), r.randrange(10**6), 10**12 + r.randrange(5)])) for _ in range(3000)] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v long").withColumn("x", F.expr("v / 8"))
+    shares = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q95": 0.95, "q100": 1.0}
+    for value in ("v", "x"):
+        exact = df.where("v is not null").groupBy("k").agg(*(F.expr(f"percentile_disc({q}) within group (order by {value})").alias(n) for n, q in shares.items())).collect()
+        assert {g["k"]: tuple(g)[1:] for g in D.quantiles(df, ["k"], value, shares).collect()} == {g["k"]: tuple(g)[1:] for g in exact}
+        exact = df.where("v is not null").groupBy("k").agg(F.expr(f"percentile({value}, 0.5)").alias("m"), F.expr(f"percentile({value}, 0.25)").alias("w")).collect()
+        got = {g["k"]: (g["m"], g["w"]) for g in D.quantiles(df, ["k"], value, {"m": 0.5, "w": 0.25}, middle=True).collect()}
+        assert got == {e["k"]: (pytest.approx(e["m"]), pytest.approx(e["w"])) for e in exact}
+    assert D.quantiles(df.where("k = 'none'"), ["k"], "v", shares).count() == 0

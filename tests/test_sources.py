@@ -12,7 +12,7 @@ import zipfile
 import pytest
 
 from spindrift.functions import scalars as S
-from spindrift.sources import csv_tables, records, sniff, trace_json
+from spindrift.sources import csv_tables, json_ranges, records, sniff, trace_json
 
 EVENTS = [
     {"ph": "M", "name": "process_name", "pid": 2, "args": {"name": "Ascend Hardware"}}, {"ph": "M", "name": "process_name", "pid": 1, "args": {"name": "Python"}},
@@ -45,6 +45,102 @@ def test_cut_off_and_oversized():
     assert trace_json.scan_text("not json")[1].truncated
 
 
+def _value(r, depth=0):
+    k = r.random()
+    if depth > 2 or k < 0.4:
+        return r.choice([1, -2.5, True, None, 'a"b', "\\", '\\\\"', "}{][,", "é\U0001f600", "", " a  b "])
+    if k < 0.7:
+        return [_value(r, depth + 1) for _ in range(r.randint(0, 3))]
+    return {r.choice(["k", 'x"y', "\\"]): _value(r, depth + 1) for _ in range(r.randint(0, 3))}
+
+
+def _cut(text: bytes, cuts: list[int]) -> tuple[list, bool]:
+    """Pieces of ranges cut anywhere, and whether the text stops short."""
+    parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+    rows = []
+    for i, part in enumerate(parts):
+        s = json_ranges.Summary()
+        for at in range(0, len(part), 7):
+            s.push(part[at : at + 7])
+        rows.append({"path": "f", "start": i * 10**6, "size": len(text), "read": s.size, "first": s.first, "states": s.states, "depths": s.depths})
+    known, files = json_ranges.begins(rows)
+    found = []
+    for i, part in enumerate(parts):
+        cutter = json_ranges.Cutter(*known["f", i * 10**6], i * 10**6)
+        for at in range(0, len(part), 11):
+            found += cutter.push(part[at : at + 11])
+        found += [(*x[:1], x[1], x[2], x[3]) for x in cutter.end()]
+    return found, files["f"][1]
+
+
+def _elements(found: list) -> list[bytes]:
+    held, out = None, []
+    for _, kind, region, data in found:
+        if kind == "whole":
+            out.append(data)
+        elif kind == "tail":
+            held = [region, data]
+        elif kind == "middle" and held:
+            held[1] += data
+        elif kind == "head" and held:
+            out += [held[1] + data] if held[0] != -1 else []
+            held = None
+        elif kind == "end":
+            break
+    return [d.strip() for d in out if d.strip()]
+
+
+def test_ranges_cut_anywhere_equal_one_piece():
+    import random
+
+    r = random.Random(0)
+    for _ in range(600):
+        elements = [_value(r) for _ in range(r.randint(0, 5))]
+        text = json.dumps(elements, ensure_ascii=r.random() < 0.5, indent=r.choice([None, 1])).encode()
+        cuts = sorted(r.sample(range(1, len(text)), min(len(text) - 1, r.randint(0, 6))))
+        found, short = _cut(text, cuts)
+        assert [json.loads(d) for d in _elements(found)] == elements and not short
+        text = text[: r.randrange(1, len(text) + 1)]
+        cuts = [c for c in cuts if c < len(text)]
+        assert _elements(_cut(text, cuts)[0]) == _elements(_cut(text, [])[0])
+        junk = b"[" + bytes(r.choice(b'[]{},"\\ a1') for _ in range(r.randint(1, 40)))
+        cuts = sorted(r.sample(range(1, len(junk)), min(len(junk) - 1, 3)))
+        assert _elements(_cut(junk, cuts)[0]) == _elements(_cut(junk, [])[0])
+
+
+@pytest.mark.parametrize("size", [150, 1000, 1 << 27])
+def test_files_in_byte_ranges(spark, tmp_path, size):
+    import random
+
+    r = random.Random(size)
+    docs = {
+        "bare.json": [_value(r) for _ in range(150)], "named.json": {"m": 1, "o": {"a": [1, 2], "b": {"c": "}"}}, "traceEvents": [{"e": _value(r)} for _ in range(120)], 'p"q': "x,y", "other": [{"z": 1}, 7]},
+        "nested.json": {"deep": {str(i): [i, {"x": [i]}] for i in range(200)}, "traceEvents": [{"last": True}]}, "none.json": [],
+    }
+    for name, doc in docs.items():
+        (tmp_path / name).write_text(json.dumps(doc, indent=1 if name == "named.json" else None))
+    whole = json.dumps(EVENTS * 9)
+    (tmp_path / "short.json").write_text(whole[: whole.rindex("aten::add")])
+    (tmp_path / "word.json").write_text("not json")
+    (tmp_path / "empty.json").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        rows = json_ranges.read_elements(spark, [str(tmp_path / n) for n in sorted(p.name for p in tmp_path.iterdir())]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {}
+    for x in sorted(rows, key=lambda x: (x["path"], x["seq"])):
+        got.setdefault(x["path"].rsplit("/", 1)[1], []).append((x["key"], x["element"], x["truncated"]))
+    parsed = {n: [(k, json.loads(e)) for k, e, cut in v if not cut] for n, v in got.items()}
+    assert parsed["bare.json"] == [("", e) for e in docs["bare.json"]]
+    assert parsed["named.json"] == [("traceEvents", e) for e in docs["named.json"]["traceEvents"]] + [("other", {"z": 1}), ("other", 7)]
+    assert parsed["nested.json"] == [("traceEvents", {"last": True})] and "none.json" not in parsed
+    short = EVENTS * 9
+    assert parsed["short.json"] == [("", e) for e in short[: len(parsed["short.json"])]] and len(parsed["short.json"]) == 8 * len(EVENTS) + 3
+    assert {n for n, v in got.items() if any(cut for *_, cut in v)} == {"short.json", "word.json"}
+
+
 def test_trace_files(spark, tmp_path):
     (tmp_path / "rank_3_trace_view.json").write_text(json.dumps(EVENTS)[:-1])
     elements = trace_json.read_elements(spark, str(tmp_path), chunk=50)
