@@ -8,8 +8,8 @@ touch both, and of two near words the one whose prefix ends earlier in that orde
 
 So pivots are looked up among prefixes, with position limits: an untouched pivot has the edit on one side, so on its other side
 both words are equal up to their end. It stands equally far from that end, and words differ by one in length at most. The key of the
-index is the word from that end to the bigram and the length of the word looked for; it contains the bigram and its position, and
-stays selective whatever the size of the vocabulary. Pairs with a common key are verified letter by letter.
+index is the word from that end to the bigram and the length of the word looked for; where that is less than half of the word, half
+of the rest is equal too, and part of the key. So keys hold half of a word at least. Pairs with a common key are verified letter by letter.
 
 Words are counted in each task before they are shuffled; a variant's form and root come from partial aggregates and salted joins, so
 a word that many others resemble is no task of its own.
@@ -120,7 +120,7 @@ def pivots(position: np.ndarray, weight: np.ndarray, many: int = EDITS + 1) -> n
 
 
 def _index(batches, rank: np.ndarray, count: np.ndarray):
-    """Rows of the index: (word, n, size, is_pivot, last, end, position) for prefix grams and pivots."""
+    """Rows of the index: (word, size, is_pivot, last, place) for prefix grams and pivots."""
     for batch in batches:
         words = batch.column("word").to_pylist()
         if not words:
@@ -139,7 +139,7 @@ def _index(batches, rank: np.ndarray, count: np.ndarray):
         at = np.r_[prefix, chosen]
         is_pivot = np.r_[np.zeros(len(prefix), bool), np.ones(len(chosen), bool)]
         own = word[at]
-        yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(own)), batch.column("n").take(pa.array(own)), pa.array(size[own].astype(np.int32)), pa.array(is_pivot), pa.array(last[own]), pa.array(place[at].astype(np.int32))], names=["word", "n", "size", "is_pivot", "last", "place"])
+        yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(own)), pa.array(size[own].astype(np.int32)), pa.array(is_pivot), pa.array(last[own]), pa.array(place[at].astype(np.int32))], names=["word", "size", "is_pivot", "last", "place"])
 
 
 def one_apart(a: str, b: str) -> bool:
@@ -158,6 +158,20 @@ def _verified(batches):
         yield batch.filter(pa.array([one_apart(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)], pa.bool_()))
 
 
+def _keys(other: str, place: str, mirrored: str, size: str) -> str:
+    """SQL of a word's keys for one gram; the word looked for, or the word itself, has ``other`` letters, and in it the gram stands at ``place`` (from ``mirrored`` if the end is untouched).
+
+    If what is equal is less than half of that word, so is half of the rest, on the near or on the far side of the edit: each is a key.
+    """
+    head = lambda n: f"substring(word, 1, {n})"
+    tail = lambda n: f"substring(word, {size} - ({n}) + 1)"
+    p, q = f"({place} + {GRAM})", f"({other} - {mirrored})"  # letters of the untouched beginning, of the untouched end
+    c, d = f"({p} + ({other} - {p}) div 2)", f"({mirrored} div 2)"
+    first = f"if(2 * {p} >= {other}, xxhash64(0, {head(p)}, {other}), xxhash64(1, {head(c)}, {other})), if(2 * {p} >= {other}, null, xxhash64(2, {head(p)}, {tail(f'{other} - {c}')}, {other}))"
+    last = f"if(2 * {q} >= {other}, xxhash64(3, {tail(q)}, {other}), xxhash64(4, {head(d)}, {tail(q)}, {other})), if(2 * {q} >= {other}, null, xxhash64(5, {tail(f'{other} - {d}')}, {other}))"
+    return f"array_compact(if({mirrored} < 0, array({first}), array({first}, {last})))"
+
+
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """(a, na, b, nb), a < b: every pair of words of ``vocabulary(word, n)`` that one edit turns into each other, once.
 
@@ -166,14 +180,14 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     count = gram_counts(vocabulary)
     rank = np.empty(GRAMS, np.int64)
     rank[np.lexsort((np.arange(GRAMS), count))] = np.arange(GRAMS)
-    rows = common.written(vocabulary.mapInArrow(lambda it: _index(it, rank, count), "word string, n long, size int, is_pivot boolean, last long, place int"), "spelling-grams")
-    # the two ends of a word that a gram divides, each with the gram itself
-    ends = f"inline(array(named_struct('head', true, 'part', substring(word, 1, place + {GRAM})), named_struct('head', false, 'part', substring(word, place + 1))))"
-    key = "xxhash64(head, part, {0}) as key"
-    prefixes = rows.where("not is_pivot").selectExpr("word as b", "n as nb", "last as lb", "size", ends).selectExpr("b", "nb", "lb", key.format("size"))
-    looked = rows.where("is_pivot").selectExpr("word as a", "n as na", "last as la", "size", ends).selectExpr("a", "na", "la", "head", "part", f"explode(sequence(size - {EDITS}, size + {EDITS})) as other").selectExpr("a", "na", "la", key.format("other"))
-    met = looked.join(prefixes, "key").where("la <= lb and a <> b").selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb")
-    return met.mapInArrow(_verified, met.schema).distinct()
+    rows = common.written(vocabulary.mapInArrow(lambda it: _index(it, rank, count), "word string, size int, is_pivot boolean, last long, place int"), "spelling-grams")
+    prefixes = rows.where("not is_pivot").selectExpr("word as b", "last as lb", f"explode({_keys('size', 'place', 'place', 'size')}) as key")
+    looked = rows.where("is_pivot").selectExpr("word", "last", "size", "place", f"explode(sequence(size - {EDITS}, size + {EDITS})) as other")
+    looked = looked.selectExpr("word as a", "last as la", f"explode({_keys('other', 'place', '(other - size + place)', 'size')}) as key")
+    met = looked.join(prefixes, "key").where("la <= lb and a <> b").selectExpr("least(a, b) as a", "greatest(a, b) as b")
+    pairs = met.mapInArrow(_verified, met.schema).distinct()
+    own = vocabulary.select("word", "n")
+    return pairs.join(own.toDF("a", "na"), "a").join(own.toDF("b", "nb"), "b").select("a", "na", "b", "nb")
 
 
 def variants(vocabulary: DataFrame, times: int = TIMES) -> DataFrame:
