@@ -37,6 +37,8 @@ BUCKET = 1 << 17
 REMEMBERED, SLICE, PAIRS = 1 << 16, 2 << 20, 1 << 18
 #: Bits of a set's parity map, at least; bits (a power of two) of the map of rows whose sets are wanted.
 PARITY, WANTED = 512, 1 << 25
+#: Bits of the folded parity map that goes with an entry of a shingle that very many sets have, at most.
+FOLDED = 4096
 #: Odd factors of the words of a shingle.
 FACTORS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 #: Bytes of the sets in a cell in which pairs are compared, about.
@@ -99,6 +101,14 @@ def least_differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def folded(raw: bytes, bits: int) -> bytes:
+    """A parity map of at most so many bits: halves of it, put upon each other."""
+    x = np.frombuffer(raw, np.uint64)
+    while 64 * len(x) > bits:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def _sets(texts: pa.Array, words: int):
     """(digest, sorted set, all shingles) of each text."""
     flat, ends = shingled(texts, words)
@@ -218,7 +228,10 @@ def _shared(batches, buckets: int):
 
 
 def _paired(batches):
-    """Pairs of sets of different components with a common prefix shingle that may reach 4/5, from sorted rows of ``common.blocked_groups``."""
+    """Pairs of sets of different components with a common prefix shingle that may reach 4/5, from sorted rows of ``common.blocked_groups``.
+
+    Places in the order, sizes and parity maps (first on their shortest form, all pairs at once) rule pairs out before they are rows.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for got in common.grouped(batches, "grp"):
         cols = {c: got[c].to_numpy() for c in ("grp", "s", "lo", "hi", "blk", "root", "fp", "n", "at")}
@@ -230,6 +243,8 @@ def _paired(batches):
         # each row is paired with the rows of its shingle after those of its own component
         first, last = np.repeat(parts[1:], np.diff(parts)), np.repeat(cuts[1:], np.diff(cuts))
         n, at, fp, blk, across = cols["n"], cols["at"], cols["fp"], cols["blk"], cols["lo"] != cols["hi"]
+        maps = got["map"].to_pylist()
+        short = np.frombuffer(b"".join(folded(m, PARITY) for m in maps), np.uint64).reshape(len(maps), -1)
         many = last - first
         total = np.cumsum(many)
         start = 0
@@ -237,12 +252,21 @@ def _paired(batches):
             stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, side="right")), start + 1)
             i, j = np.repeat(np.arange(start, stop), many[start:stop]), common.ragged(first[start:stop], many[start:stop])
             start = stop
-            ok = _reach(n[i], n[j], at[i], at[j]) & (~across[i] | (blk[i] != blk[j]))
+            ok = _reach(n[i], n[j], at[i], at[j]) & (~across[i] | (blk[i] != blk[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            ok = 9 * np.bitwise_count(short[i] ^ short[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+            i, j = i[ok], j[ok]
+            ok = np.fromiter((9 * least_differing(maps[x], maps[y]) <= n[x] + n[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
             a, b = fp[i[ok]], fp[j[ok]]
             ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=schema)
 
 
+def _folded(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([folded(m, FOLDED) for m in batch.column("map").to_pylist()], pa.binary())], names=["fp", "map"])
+
+
 def pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and parity maps do not rule out."""
     own = classes.selectExpr("fp", "n", "map")
@@ -345,9 +369,10 @@ def links(rows: DataFrame, docs: DataFrame, text_col: str = "text", words: int =
     entries = found.where("s is not null").selectExpr("a as fp", "s", "n", "at")
     entries = entries.join(roots, "fp", "left").selectExpr("s", "fp", "n", "at", "coalesce(root, fp) as root")
     mixed = entries.groupBy("s").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select("s")
-    entries = common.written(common.beside(entries, mixed, "s"), "shingle-entries")
+    small = classes.select("fp", "map").mapInArrow(_folded, "fp long, map binary")
+    entries = common.written(common.beside(common.beside(entries, mixed, "s"), small, "fp"), "shingle-entries")
     spread = common.blocked_groups(entries, ["s"], "fp", block).repartition("grp").sortWithinPartitions("grp", "s", "lo", "hi", "root", "fp")
-    more = spread.select("grp", "s", "lo", "hi", "blk", "root", "fp", "n", "at").mapInArrow(_paired, "a long, b long")
+    more = spread.select("grp", "s", "lo", "hi", "blk", "root", "fp", "n", "at", "map").mapInArrow(_paired, "a long, b long")
     pairs = found.where("s is null").select("a", "b").unionByName(more).distinct()
     pairs = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
     left = common.written(pruned(pairs, classes), "shingle-pairs")
