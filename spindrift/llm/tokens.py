@@ -32,8 +32,8 @@ CACHE = 400_000
 SLICE = 4 << 20
 #: ASCII marks that a tokenizer of this kind separates from a letter or digit before them (the apostrophe is not one).
 MARKS = '.,;:!?*$&#%|"()[]{}<>=/\\@^_`~+-'
-#: Ends of words that marks are cut from, and those marks.
-CUTS, CUT_TAIL = r"[0-9A-Za-z\x{DF}-\x{F6}\x{F8}-\x{24F}]$", "(?P<t>[" + re.escape(MARKS) + "]+)$"
+#: Ends of words that marks are cut from, and those marks. U+0130 is not one: it is two characters in lower case.
+CUTS, CUT_TAIL = r"[0-9A-Za-z\x{DF}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$", "(?P<t>[" + re.escape(MARKS) + "]+)$"
 
 
 class WordEncoder:
