@@ -2,12 +2,14 @@
 
 Strong patterns (assignments, access identifiers, long hex) are reported wherever they stand. Weak candidates are too common
 to report alone: user or client identifiers, bare 40-character keys and endpoints. An interval join links the parts of a
-credential within a scope (a paragraph): an identifier, a secret and an endpoint with at most ``REACH`` characters between the end of one and the start of the next. A weak
-candidate is reported only if a part of another role stands that near and one of the linked parts is a secret.
-
-The join is a running maximum of ends and one of starts from behind over the parts of each row ordered by (scope, place), a
-pass in each direction; it never builds pairs. Only the parts are shuffled, by row, never the texts; a row's parts are bounded by its
-own text. Linked parts carry the number of their credential.
+credential within a scope (a paragraph): an identifier, a secret and an endpoint with at most ``REACH`` characters between the end of
+one and the start of the next. Parts that overlap are one thing seen twice and don't link. A weak candidate is reported only if a
+complementary part stands that near: an identifier needs a secret, an endpoint a secret that is named as one (or a bare key or hex run with an
+identifier near the endpoint too), a bare key an identifier; so a link beside a hash is none.
+
+The join is an ordered pass over the starts and ends of the parts of each row, and one back: the last end before a start, the first start
+behind an end, for each role. It never builds pairs, and scopes are numbered by one pass as well. Only the parts are shuffled, by row,
+never the texts; a row's parts are bounded by its own text. Linked parts carry the number of their credential.
 """
 
 from __future__ import annotations
@@ -26,16 +28,19 @@ SCOPE_WIDTH = 1 << 40
 BASE = [
     ("assign", "secret", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", None),
     ("access", "identifier", r"AKIA[A-Z0-9]+", "length(x) >= 16"),
-    ("hex", "secret", r"(?<![0-9a-f])[0-9a-f]{32,}+", None),
+    ("hex", "bare", r"(?<![0-9a-f])[0-9a-f]{32,}+", None),
 ]
 WEAK = [
     ("ident", "identifier", r"""(?i)(?<![a-z0-9_])(?:user(?:name)?|login|client_?id|account|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}+"""),
-    ("key40", "secret", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"),
+    ("key40", "bare", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"),
     ("endpoint", "endpoint", r"(?i)(?:(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[A-Za-z0-9._~:/?#@%&=+-]{4,}+|(?<![a-z0-9_])(?:host|server|endpoint)\x20*[:=]\x20*[A-Za-z0-9.-]{4,}+)"),
 ]
 KINDS = [k[0] for k in BASE] + [k[0] for k in WEAK]
-ROLES = {"identifier": 0, "secret": 1, "endpoint": 2}
+#: A bare secret isn't named as one.
+ROLES = {"identifier": 0, "secret": 1, "endpoint": 2, "bare": 3}
 _ROLE_OF = [ROLES[k[1]] for k in BASE] + [ROLES[k[1]] for k in WEAK]
+#: For each role the SQL of a complementary part near, over ``__has0`` to ``__has3``.
+COMPLEMENT = ["__has1 or __has3", "__has0 or __has2", "__has1 or __has3 and __has0", "__has0"]
 
 _LEAD = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""
 
@@ -80,16 +85,19 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     keyed = docs.selectExpr("monotonically_increasing_id() as __row", f"`{id_col}` as __id", f"`{text_col}` as __text")
     parts = scanned(keyed, ("__row", "__id"), "__text")
-    rows = parts.selectExpr("__row", "__id", "scopes", "explode_outer(parts) as part")
-    # the scope of a part: how many scope ends stand before it
-    rows = rows.selectExpr("__row", "__id", "part", f"part.s + {SCOPE_WIDTH} * size(filter(scopes, x -> x < part.s)) as __at", f"get(array({', '.join(map(str, _ROLE_OF))}), part.k) as __role")
-    # nearest part of each role on both sides: the last end of those that start before, the first start of those after
-    rows = rows.selectExpr("*", "__at + part.e - part.s as __to")
-    doc = "partition by __row order by __at"
-    before = rows.selectExpr("*", *(f"max(case when __role = {r} then __to end) over ({doc} range between unbounded preceding and current row) as __end{r}" for r in range(3)))
-    both = before.selectExpr("*", *(f"min(case when __role = {r} then __at end) over ({doc} desc range between unbounded preceding and current row) as __start{r}" for r in range(3)))
-    seen = both.selectExpr("*", *(f"(coalesce(__at - __end{r} <= {REACH}, false) or coalesce(__start{r} - __to <= {REACH}, false)) as __has{r}" for r in range(3)))
-    others = "case __role when 0 then __has1 when 1 then __has0 or __has2 else __has1 end"
+    # scope ends go along as parts of no kind, and one empty part keeps every row
+    ends = "transform(scopes, x -> named_struct('s', x, 'k', -1, 'e', x))"
+    rows = parts.selectExpr("__row", "__id", f"explode(concat(parts, {ends}, array(cast(null as struct<s:bigint,k:int,e:bigint>)))) as part")
+    rows = rows.selectExpr("*", f"part.s + {SCOPE_WIDTH} * count_if(part.k = -1) over (partition by __row order by part.s, part.k desc rows unbounded preceding) as __at").where("part is null or part.k >= 0")
+    rows = rows.selectExpr("*", "__at + part.e - part.s as __to", f"get(array({', '.join(map(str, _ROLE_OF))}), part.k) as __role")
+    # starts and ends in order; at one place ends come first, so parts that touch are disjoint
+    points = rows.selectExpr("*", "inline(array(named_struct('__pos', __to, '__start', 0), named_struct('__pos', __at, '__start', 1)))")
+    doc, ahead, back = "partition by __row order by __at", "partition by __row order by __pos, __start rows unbounded preceding", "partition by __row order by __pos desc, __start desc rows unbounded preceding"
+    n = len(ROLES)
+    near = points.selectExpr("*", *(f"case when __start = 1 then max(case when __start = 0 and __role = {r} then __pos end) over ({ahead}) end as __end{r}" for r in range(n)), *(f"case when __start = 0 then min(case when __start = 1 and __role = {r} then __pos end) over ({back}) end as __start{r}" for r in range(n)))
+    both = near.groupBy("__row", "__id", "part", "__at", "__to", "__role").agg(*(F.max(f"__end{r}").alias(f"__end{r}") for r in range(n)), *(F.min(f"__start{r}").alias(f"__start{r}") for r in range(n)))
+    seen = both.selectExpr("*", *(f"(coalesce(__at - __end{r} <= {REACH}, false) or coalesce(__start{r} - __to <= {REACH}, false)) as __has{r}" for r in range(n)))
+    others = "case __role " + " ".join(f"when {r} then {c}" for r, c in enumerate(COMPLEMENT)) + " end"
     told = seen.selectExpr("__row", "__id", "__at", "__to", "part", f"case when part.k < {len(BASE)} then part end as __base", f"case when part.k < {len(BASE)} or {others} then part end as __told", f"coalesce({others}, false) as __link")
     told = told.selectExpr("*", f"max(case when __link then __to end) over ({doc}, part.k rows between unbounded preceding and 1 preceding) as __last")
     told = told.selectExpr("*", f"count_if(__link and (__last is null or __at - __last > {REACH})) over ({doc}, part.k rows between unbounded preceding and current row) as __c")

@@ -457,6 +457,21 @@ def test_secrets_are_linked_within_scopes(spark):
     assert got == {1: ["assign", "endpoint", "ident"], 2: [], 3: ["assign"], 4: ["assign"], 5: ["access", "key40"]}
 
 
+def test_hashes_beside_links_are_no_credentials(spark):
+    rows = [(1, "https://github.com/a/b/commit/" + "0123456789abcdef" * 2 + "01234567"), (2, "commit " + "ab12" * 8 + " fixed at https://example.org/page"), (3, "user: admin7 " + "ab12" * 8 + " https://example.org/page"), (4, "token=abcdefgh1https://x.example/y"), (5, "secret=abcdefgh1 https://x.example/y")]
+    got = {r["doc_id"]: sorted(secrets.KINDS[x["k"]] for x in r["spans"]) for r in secrets.linked(frame(spark, rows)).collect()}
+    assert got == {1: ["hex"], 2: ["hex"], 3: ["endpoint", "hex", "ident"], 4: ["assign"], 5: ["assign", "endpoint"]}
+
+
+def test_a_long_text_of_many_parts_is_scanned_in_linear_time(spark):
+    import time
+
+    text = "".join(f"user: name{i} password=abcd{i:08d} host = db{i}.example.org\n\n" for i in range(16_000))
+    began = time.time()
+    r = secrets.linked(frame(spark, [(1, text)])).selectExpr("size(base) as b", "size(spans) as s", "array_max(links.c) as c").first()
+    assert tuple(r) == (16_000, 48_000, 16_000) and time.time() - began < 60
+
+
 def test_long_secrets_break_no_link(spark):
     long = "token=" + "a1B2" * 113
     rows = [(1, long + " host = db.example.org user: admin7"), (2, "user: admin7 " + long + " host = db.example.org"), (3, long + " " * 400 + "user: admin7"), (4, long + " " * 401 + "user: admin7"), (5, long + "\n\nuser: admin7"), (6, "user: admin7" + " " * 401 + long)]
@@ -472,8 +487,9 @@ def test_secret_links_are_brute_force(spark):
         role, scope = [secrets._ROLE_OF[p["k"]] for p in r["parts"]], [sum(x < p["s"] for x in r["scopes"]) for p in r["parts"]]
         want = set()
         for i, p in enumerate(r["parts"]):
-            near = {role[j] for j, q in enumerate(r["parts"]) if scope[i] == scope[j] and max(q["s"] - p["e"], p["s"] - q["e"]) <= secrets.REACH}
-            if p["k"] < len(secrets.BASE) or near & ({0, 2} if role[i] == 1 else {1}):
+            near = {role[j] for j, q in enumerate(r["parts"]) if scope[i] == scope[j] and 0 <= max(q["s"] - p["e"], p["s"] - q["e"]) <= secrets.REACH}
+            linked = {0: near & {1, 3}, 1: near & {0, 2}, 2: 1 in near or {0, 3} <= near, 3: 0 in near}[role[i]]
+            if p["k"] < len(secrets.BASE) or linked:
                 want.add((p["s"], p["k"], p["e"]))
         assert {(x["s"], x["k"], x["e"]) for x in r["spans"]} == want
 
