@@ -215,12 +215,16 @@ class Engine:
     def view(self, capture: Capture, budget: int = 150_000) -> DataFrame:
         """What a page shows: each operator with its quota and its longest events in order of time, as JSON rows."""
         stats = D.operator_stats(capture.events)
-        quota = V.event_budget(stats, budget, 20).select(F.col("device").alias("d"), F.col("name").alias("n"), "quota")
-        ev = capture.events.selectExpr("device", "name", "idx", "ts", "dur", "row_number() over (partition by device, name order by dur desc, idx) as place")
-        kept = ev.join(quota, (F.col("device") == F.col("d")) & (F.col("name") == F.col("n"))).where("place <= quota")
+        quota = V.event_budget(stats, budget, 20)
+        kept = V.within_quota(capture.events.select("device", "name", "idx", "ts", "dur"), quota)
         rows = kept.groupBy("device", "name").agg(F.sort_array(F.collect_list(F.struct("ts", "dur", "idx"))).alias("events"))
         return rows.join(stats, ["device", "name"]).select(F.to_json(F.struct("device", "name", "count", "total_us", "events")).alias("json"))
 
+    def page(self, capture: Capture, budget: int = 150_000, operators: int = 400, ranking: int = 60, gaps: int = 30) -> dict[str, DataFrame]:
+        """The parts of a page (operators, rankings, categories, overlap, gaps, lanes), and its steps with their phases."""
+        parts = V.page(capture.events, D.operator_stats(capture.events), budget, operators, ranking, gaps)
+        return parts | {"steps": self.phases(capture)}
+
     def report(self, capture: Capture, html: bool = False) -> str:
         """Markdown (or printable HTML) report."""
         text = report.markdown(capture.label, self._tables(capture))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import scalars as S
+from spindrift.operators import dataset as D
+from spindrift.operators import intervals as I  # noqa: E741
 
 
 def event_budget(stats: DataFrame, budget: int, floor: int) -> DataFrame:
@@ -26,6 +28,51 @@ def event_budget(stats: DataFrame, budget: int, floor: int) -> DataFrame:
     return h.selectExpr("device", "name", "count", "q + least(room, greatest(0, spare - before)) as quota")
 
 
+#: Indexes in a block that is counted as one when events of equal length don't all fit.
+TIES = 1024
+
+
+def within_quota(events: DataFrame, quotas: DataFrame) -> DataFrame:
+    """The events of each operator that its quota holds: the longest, of equally long ones those with the smallest ``idx``.
+
+    ``quotas`` is (device, name, quota), one row for each operator; events of others go. Events are not sorted to drop most of them.
+    Counts of the lengths of each operator (by classes two per cent wide first) give the length at which its quota ends, and counts
+    of blocks of indexes where among equal lengths; a filter then leaves little more than the quotas, and only that is ranked.
+    """
+    key = ["device", "name"]
+    q = quotas.selectExpr("device as __d", "name as __o", "quota as __quota").where("__quota > 0")
+    same = lambda x: (x["device"].eqNullSafe(F.col("__d"))) & (x["name"].eqNullSafe(F.col("__o")))
+    counts = events.groupBy(*key, "dur").agg(F.count("*").alias("n")).selectExpr("*", f"cast(if(dur > 0, floor(log2(cast(dur as double)) * {D.CLASSES}), -100000) as int) as c")
+    classes = counts.groupBy(*key, "c").agg(F.sum("n").alias("m")).selectExpr("*", "sum(m) over (partition by device, name order by c desc) as upto")
+    ends = classes.join(q, same(classes)).where("upto >= __quota and upto - m < __quota").selectExpr("__d", "__o", "c as __c", "upto - m as __above", "__quota")
+    values = counts.join(ends, same(counts) & (counts["c"] == F.col("__c"))).selectExpr("__d", "__o", "dur as __v", "n", "__quota", "__above + sum(n) over (partition by __d, __o order by dur desc) as upto")
+    ends = values.where("upto >= __quota and upto - n < __quota").selectExpr("__d", "__o", "__v", "__quota - (upto - n) as __room", "n as __ties")
+    limits = q.join(ends.withColumnsRenamed({"__d": "__e", "__o": "__p"}), F.expr("__d <=> __e and __o <=> __p"), "left").select("__d", "__o", "__v", "__room", "__ties")
+    near = events.join(limits, same(events)).where("__v is null or dur >= __v or dur is null")
+    sure, ties = near.where("__v is null or dur > __v or __room = __ties"), near.where("dur = __v and __room < __ties")
+    sure = sure.where("__v is null or dur is not null")
+    blocks = ties.groupBy(*key, "__room", F.expr(f"idx div {TIES}").alias("b")).agg(F.count("*").alias("m")).selectExpr("device as __f", "name as __g", "__room as __r", "b", "sum(m) over (partition by device, name order by b) - m as before")
+    last = blocks.where("before < __r").groupBy("__f", "__g").agg(F.max("b").alias("__b"))
+    ties = ties.join(last, F.expr("device <=> __f and name <=> __g")).where(f"idx div {TIES} <= __b")
+    ties = ties.selectExpr(*(f"`{c}`" for c in near.columns), "row_number() over (partition by device, name order by idx) as __n").where("__n <= __room").drop("__n")
+    return sure.unionByName(ties).select(*events.columns)
+
+
+def page(capture_events: DataFrame, stats: DataFrame, budget: int = 150_000, operators: int = 400, ranking: int = 60, gaps: int = 30) -> dict[str, DataFrame]:
+    """The parts of a page: ``operators`` by total time, both rankings, ``categories``, ``overlap`` of both sides, the longest idle ``gaps``, and the ``lanes`` with what a budget of events shows of each.
+
+    Every part is bounded by its cap, the lanes by the budget.
+    """
+    columns = ["device", "name", "count", "total_us", "avg_us", "max_us", "p50_us", "p95_us"]
+    top = lambda by, n: stats.orderBy(F.desc(by), "device", "name").limit(n).select(*columns, F.expr(f"cast(row_number() over (order by {by} desc, device, name) as int)").alias("place"))
+    window = D.window_of(capture_events)
+    idle = I.gaps(capture_events.where("device = 'device'"), window, 0, [], "ts", "te").orderBy(F.desc("dur"), "start").limit(gaps)
+    quota = event_budget(stats, budget, 8)
+    shown = within_quota(capture_events.select("device", "name", "idx", "ts", "dur"), quota).groupBy("device", "name").agg(F.sort_array(F.collect_list(F.struct("ts", "dur", "idx"))).alias("events"))
+    lanes = stats.select("device", "name", "count", "total_us").join(shown, ["device", "name"], "left").withColumn("truncated", F.expr("count > coalesce(size(events), 0)"))
+    return {"operators": top("total_us", operators), "by_total": top("total_us", ranking), "by_average": top("avg_us", ranking), "categories": D.category_totals(capture_events), "overlap": I.sweep(capture_events, "device", "device", "host", [], "ts", "te"), "gaps": idle, "lanes": lanes}
+
+
 def longest_per_row(events: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The ``n`` longest events of each lane, numbered in order of time."""
     by = ", ".join(keys)

@@ -892,6 +892,20 @@ def event_budget(spark, d):
     return V.event_budget(D.operator_stats(events(spark, d)), 2000, 20)
 
 
+@query("view_events", f"{_BUDGET.replace('SELECT device, name, count, CAST(q', ', bq AS (SELECT device, name, CAST(q')}), o AS (SELECT ev.device, ev.name, idx, dur, quota, row_number() OVER (PARTITION BY ev.device, ev.name ORDER BY dur DESC, idx) AS n FROM ev JOIN bq ON ev.device = bq.device AND ev.name = bq.name) SELECT device, name, idx, dur FROM o WHERE n <= quota")
+def view_events(spark, d):
+    """The events that a page of 2,000 shows: the longest of each operator, as its quota allows."""
+    ev = events(spark, d).select("device", "name", "idx", "dur", "stream", "rank", "category")
+    return V.within_quota(ev.select("device", "name", "idx", "dur"), V.event_budget(D.operator_stats(ev), 2000, 20))
+
+
+@query("page_gaps", f"{EV}, dv AS (SELECT * FROM ev WHERE device = 'device'), {isl('dv')}, pts AS (SELECT s, e FROM isl UNION ALL SELECT min(ts), min(ts) FROM ev UNION ALL SELECT max(te), max(te) FROM ev), g AS (SELECT e AS gap_start, lead(s) OVER (ORDER BY s, e) AS gap_end FROM pts) SELECT gap_start, gap_end, gap_end - gap_start AS dur FROM g WHERE gap_end > gap_start ORDER BY dur DESC, gap_start LIMIT 30")
+def page_gaps(spark, d):
+    """The thirty longest pauses of the device."""
+    ev = events(spark, d)
+    return V.page(ev, D.operator_stats(ev))["gaps"].selectExpr("start as gap_start", "`end` as gap_end", "dur")
+
+
 @query("longest_per_lane", f"{EV} SELECT stream, idx, dur, CAST(row_number() OVER (PARTITION BY stream ORDER BY ts, idx) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY dur DESC, idx) AS n FROM ev) WHERE n <= 25")
 def longest_per_lane(spark, d):
     return V.longest_per_row(events(spark, d), ["stream"], 25).select("stream", "idx", "dur", "place")

@@ -198,3 +198,16 @@ def test_exact_quantiles_without_a_buffer(spark):
         got = {g["k"]: (g["m"], g["w"]) for g in D.quantiles(df, ["k"], value, {"m": 0.5, "w": 0.25}, middle=True).collect()}
         assert got == {e["k"]: (pytest.approx(e["m"]), pytest.approx(e["w"])) for e in exact}
     assert D.quantiles(df.where("k = 'none'"), ["k"], "v", shares).count() == 0
+
+
+def test_quotas_keep_the_longest_without_ranking_all(spark):
+    from spindrift.operators import view as V
+
+    r = random.Random(9)
+    rows = [("device", "same", i, 5) for i in range(5000)] + [("host", "any", 10_000 + i, r.choice([None, 0, 1, 2, r.randrange(1000)])) for i in range(2000)] + [("host", "few", 90_000 + i, i) for i in range(4)] + [("host", None, 95_000 + i, i % 3) for i in range(50)]
+    quota = {("device", "same"): 1500, ("host", "any"): 333, ("host", "few"): 10, ("host", None): 20}
+    df = spark.createDataFrame(rows, "device string, name string, idx long, dur long")
+    got = V.within_quota(df, spark.createDataFrame([(*k, q) for k, q in quota.items()], "device string, name string, quota long")).collect()
+    for k, q in quota.items():
+        own = sorted((-(d if d is not None else -1), i) for a, b, i, d in rows if (a, b) == k)[:q]
+        assert sorted(x["idx"] for x in got if (x["device"], x["name"]) == k) == sorted(i for _, i in own)
