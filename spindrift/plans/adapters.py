@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer files than cores, dealt out before costly expressions; larger tables stay as they are."""
+    """Rows of a table that is read by fewer tasks than there are cores, dealt out before costly expressions; larger tables stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 #: Microseconds since 1970 of a timestamp without time zone, whatever the session's time zone.

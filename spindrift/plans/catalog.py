@@ -345,13 +345,14 @@ def table_summaries(spark, d):
     return s.agg(F.count("*").alias("row_count"), F.countDistinct("s_nationkey").alias("columns_seen"), F.array_join(F.slice(F.array_sort(F.collect_set("s_nationkey")), 1, 3).cast("array<string>"), ",").alias("first_columns"))
 
 
-_SPLIT = f"""{EV}, tr AS (SELECT device, name, count(*) AS c, CAST(sum(dur) AS BIGINT) AS u FROM ev WHERE idx % 5 <> 0 GROUP BY ALL), tb AS (SELECT name, count(*) AS c, CAST(sum(dur) AS BIGINT) AS u FROM ev WHERE device = 'device' GROUP BY name)"""
+_SPLIT = f"""{EV}, tr AS (SELECT device, name, count(*) AS c, CAST(sum(dur) AS BIGINT) AS u FROM ev WHERE rank < 3 GROUP BY ALL), tb AS (SELECT name, count(*) AS c, CAST(sum(dur) AS BIGINT) AS u FROM ev WHERE device = 'device' GROUP BY name)"""
 
 
 def _merge(spark, d, sampled):
+    """Traces of three ranks beside a table of all four."""
     ev = events(spark, d)
     stats = lambda x, *k: x.groupBy(*k).agg(F.count("*").alias("count"), F.sum("dur").alias("total_us"))
-    return D.merged(stats(ev.where("idx % 5 <> 0"), "device", "name"), stats(ev.where("device = 'device'"), "name"), sampled)
+    return D.merged(stats(ev.where("rank < 3"), "device", "name"), stats(ev.where("device = 'device'"), "name"), sampled)
 
 
 @query("trace_table_merge", f"""{_SPLIT} SELECT coalesce(tr.name, tb.name) AS name, coalesce(tr.device, 'device') AS device, CASE WHEN tr.u IS NULL THEN tb.c ELSE tr.c END AS count, coalesce(tr.u, tb.u) AS total_us, tr.u AS trace_us, tb.u AS table_us, CASE WHEN tr.u IS NULL THEN 'table' ELSE 'trace' END AS source,

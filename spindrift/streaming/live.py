@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_files(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
@@ -29,32 +29,53 @@ def windowed_categories(events: DataFrame, ts: str = "ts", width: str = "1 hour"
     return out.select(F.expr("unix_micros(w.start)").alias("ws"), "device", "category", "n", "total_us")
 
 
-def pair_ends(marks: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """(key, ts, dur): ends of open begins, by ``key`` with columns ``ph`` (B or E), ``ts`` and ``seq``; the latest begin counts.
+#: Where the state of ``pair_ends`` lives: on the executors' disks, with changes in the checkpoint, so it may outgrow memory.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
-    The state of a key is one open begin; one that the watermark has left behind by ``idle_ms`` is forgotten.
-    """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        begun = state.get[0] if state.exists else None
-        rows = []
-        news = pd.concat(list(parts)).sort_values("seq")
+class OpenBegins(StatefulProcessor):
+    """The open begin of each key; a timer of event time forgets it."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.begun = handle.getValueState("begun", "ts long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        open_ = self.begun.get()[0] if self.begun.exists() else None
+        news, out = pd.concat(list(rows)).sort_values("seq"), []
         for ph, ts in zip(news["ph"], news["ts"], strict=True):
             if ph == "B":
-                begun = int(ts)
-            elif ph == "E" and begun is not None:
-                rows.append((key[0], begun, int(ts) - begun))
-                begun = None
-        if begun is None:
-            if state.exists:
-                state.remove()
+                open_ = int(ts)
+            elif ph == "E" and open_ is not None:
+                out.append((key[0], open_, int(ts) - open_))
+                open_ = None
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if open_ is None:
+            self.begun.clear()
         else:
-            state.update((begun,))
-            state.setTimeoutTimestamp(max(begun // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(rows, columns=["key", "ts", "dur"])
+            self.begun.update((open_,))
+            self.handle.registerTimer(max(open_ // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        yield pd.DataFrame(out, columns=["key", "ts", "dur"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.begun.clear()
+        yield pd.DataFrame([], columns=["key", "ts", "dur"])
 
-    timed = marks.withColumn("t", F.expr("timestamp_micros(ts)")).withWatermark("t", "10 minutes")
-    return timed.groupBy("key").applyInPandasWithState(run, "key string, ts long, dur long", "begun long", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def pair_ends(marks: DataFrame, idle_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+    """(key, ts, dur): ends of open begins, by ``key`` with columns ``ph`` (B or E), ``ts`` and ``seq``; the latest begin counts.
+
+    The state of a key is one open begin; one that the watermark has left behind by ``idle_ms`` is forgotten. A stream that is stopped
+    goes on from its checkpoint with the begins that were open. Sets the session's state store to ``STORE``, which this state needs.
+    """
+    for k, v in STORE.items():
+        marks.sparkSession.conf.set(k, v)
+    timed = marks.withColumn("t", F.expr("timestamp_micros(ts)")).withWatermark("t", late)
+    return timed.groupBy("key").transformWithStateInPandas(OpenBegins(idle_ms), "key string, ts long, dur long", "Append", "eventTime")

@@ -115,6 +115,29 @@ def test_stream_pairs(spark, tmp_path):
     assert [tuple(r) for r in spark.table("pairs").collect()] == [("x", 5, 4)]
 
 
+def test_a_stream_that_is_stopped_goes_on_with_open_begins(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    marks = [(f"k{rng.integers(4)}", rng.choice(["B", "E"]), 10**9 + int(i) * 1000, i) for i in range(120)]
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+
+    def run():
+        stream = live.event_files(spark, str(source), "key string, ph string, ts long, seq long")
+        q = live.pair_ends(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(180) and q.exception() is None
+
+    for part, name in ((marks[:61], "a.parquet"), (marks[61:], "b.parquet")):
+        pd.DataFrame(part, columns=["key", "ph", "ts", "seq"]).to_parquet(source / name)
+        run()
+    want, begun = [], {}
+    for key, ph, ts, _ in marks:
+        if ph == "B":
+            begun[key] = ts
+        elif key in begun:
+            want.append((key, begun[key], ts - begun.pop(key)))
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == sorted(want)
+
+
 def test_half_precision_values():
     half = lambda x: float(np.float32(x).astype(np.float16))
     assert half(0.1) == 0.0999755859375 and np.isinf(np.float32(70000).astype(np.float16)) and half(65504) == 65504 and half(1e-8) == 0
