@@ -31,6 +31,8 @@ from . import common
 LEAST_LETTERS, LEAST_COUNT, TIMES = 7, 2, 10
 #: Edits between near words, letters of a gram, bigrams told apart (by the low bytes of both code points).
 EDITS, GRAM, GRAMS = 1, 2, 1 << 16
+#: Bytes of two words together up to which the built-in edit distance compares them.
+SHORT = 200
 #: Different words that a task counts before it hands them on.
 HELD = 1 << 17
 
@@ -184,7 +186,9 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     prefixes = rows.where("not is_pivot").selectExpr("word as b", "last as lb", f"explode({_keys('size', 'place', 'place', 'size')}) as key")
     looked = rows.where("is_pivot").selectExpr("word", "last", "size", "place", f"explode(sequence(size - {EDITS}, size + {EDITS})) as other")
     looked = looked.selectExpr("word as a", "last as la", f"explode({_keys('other', 'place', '(other - size + place)', 'size')}) as key")
-    met = looked.join(prefixes, "key").where("la <= lb and a <> b").selectExpr("least(a, b) as a", "greatest(a, b) as b")
+    # short words by the built-in distance, long ones (quadratic there) and what is left letter by letter
+    same = f"la <= lb and a <> b and if(octet_length(a) + octet_length(b) <= {SHORT}, levenshtein(a, b, {EDITS}) = {EDITS}, true)"
+    met = looked.join(prefixes, "key").where(same).selectExpr("least(a, b) as a", "greatest(a, b) as b")
     pairs = met.mapInArrow(_verified, met.schema).distinct()
     own = vocabulary.select("word", "n")
     return pairs.join(own.toDF("a", "na"), "a").join(own.toDF("b", "nb"), "b").select("a", "na", "b", "nb")
