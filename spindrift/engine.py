@@ -33,6 +33,7 @@ class Capture:
     aux: DataFrame | None = None
     sampled: bool = False
     units: dict[str, str] = field(default_factory=dict)
+    notes: list[str] = field(default_factory=list)
     block: DataFrame | None = None
 
 
@@ -53,15 +54,16 @@ class Engine:
             raise PermissionError(f"{path} is outside the allowed folders")
         return path
 
-    def ingest(self, path: str | list[str], label: str | None = None, sample_budget: int | None = None, ranks: str = "rebase") -> Capture:
+    def ingest(self, path: str | list[str], label: str | None = None, sample_budget: int | None = None, ranks: str = "rebase", max_files: int | None = None, max_bytes: int | None = None) -> Capture:
         """Read every artifact below ``path`` (one or several): traces, tables, records, side-cars, also inside archives.
 
         Times of a trace that can only be milliseconds are read so. ``sample_budget`` keeps important and long events and a stride of
-        the others; by default nothing is sampled. ``ranks`` is ``rebase`` (each rank from its first event) or ``raw``. Raises
-        ValueError if there is nothing to analyse.
+        the others; by default nothing is sampled. ``ranks`` is ``rebase`` (each rank from its first event) or ``raw``. Of a folder
+        only files with a known extension are read; ``max_files`` (by path) and ``max_bytes`` (of a file) leave out more, by default
+        nothing. What is left out is told in the capture's ``notes``. Raises ValueError if there is nothing to analyse.
         """
         paths = [self._guard(p) for p in ([path] if isinstance(path, str) else path)]
-        files = records.files(self.spark, paths)
+        files, notes = records.chosen(records.files(self.spark, paths), paths, max_files, max_bytes)
         found = sniff.sniffed(records.heads(self.spark, files)).drop("head")
         found = kept(found, "capture-files")
         if found.where("kind = 'archive'").limit(1).count():  # what they hold is written once and read like files
@@ -77,7 +79,7 @@ class Engine:
             raise ValueError("no trace, table or record file of a capture here")
         of_kind = lambda kind: files.join(F.broadcast(found.where(F.col("kind") == kind).select("path")), "path", "left_semi")
         has = {k for _, k in kinds}
-        capture = Capture(label or paths[0].rstrip("/").rsplit("/", 1)[-1], self.spark.createDataFrame([], EMPTY), artifacts=found)
+        capture = Capture(label or paths[0].rstrip("/").rsplit("/", 1)[-1], self.spark.createDataFrame([], EMPTY), artifacts=found, notes=notes)
         parts, origin = [], 0
         if "trace-json" in has:
             inner = of_kind("trace-json").where("contains(path, '!')")  # members of archives

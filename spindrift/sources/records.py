@@ -131,6 +131,24 @@ def files(spark: SparkSession, path: str | list[str], glob: str | None = None) -
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+#: Extensions of the files of a capture, and of archives and databases among them.
+EXTENSIONS = r"(?i)\.(?:json|csv|txt|log|proto|pb|bin|db|zip|tar|tgz|gz)$"
+
+
+def chosen(found: DataFrame, named: list[str], most: int | None = None, most_bytes: int | None = None) -> tuple[DataFrame, list[str]]:
+    """The files to read, and what was left out: other extensions (unless a file is named itself), larger than ``most_bytes``, beyond the first ``most`` by path."""
+    own = [p.removeprefix("file://").rstrip("/") for p in named]
+    known = F.col("path").rlike(EXTENSIONS) | F.regexp_replace("path", "^[a-z]+:/*", "/").isin(own)
+    fits = F.lit(True) if most_bytes is None else F.col("length") <= most_bytes
+    counts = found.select("path", "length").agg(F.count_if(~known).alias("other"), F.count_if(known & ~fits).alias("large"), F.count_if(known & fits).alias("rest")).first()
+    out = found.where(known & fits)
+    notes = [f"{n} files left out: {why}" for n, why in ((counts["other"], "no known extension"), (counts["large"], f"over {most_bytes} bytes")) if n]
+    if most is not None and counts["rest"] > most:
+        notes.append(f"{counts['rest'] - most} files left out: over {most} files")
+        out = out.join(F.broadcast(out.select("path").orderBy("path").limit(most)), "path", "left_semi")
+    return out, notes
+
+
 #: Characters of a file that tell what it is, and bytes of a file up to which it is read as one row for them.
 HEAD, ONE_ROW = 262_144, 64 << 20
 

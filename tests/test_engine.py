@@ -96,6 +96,19 @@ def test_refusals(spark, tmp_path):
         Engine(spark).ingest(str(tmp_path))
 
 
+def test_a_folder_gives_its_known_files_and_tells_of_the_rest(spark, tmp_path):
+    events = [{"ph": "X", "name": f"MatMul_{i}", "pid": 1, "tid": 1, "ts": i * 100, "dur": 50} for i in range(20)]
+    for name in ("a_trace.json", "b_trace.json"):
+        (tmp_path / name).write_text(json.dumps(events))
+    (tmp_path / "c_trace.json").write_text(json.dumps(events) + " " * 5000)
+    (tmp_path / "notes.md").write_text('[{"ph": "X"}]')
+    capture = Engine(spark).ingest(str(tmp_path), max_files=1, max_bytes=4000)
+    assert capture.events.count() == 20 and [r["name"] for r in capture.artifacts.collect()] == ["a_trace.json"]
+    assert capture.notes == ["1 files left out: no known extension", "1 files left out: over 4000 bytes", "1 files left out: over 1 files"]
+    (tmp_path / "odd.trace").write_text(json.dumps(events))
+    assert Engine(spark).ingest(str(tmp_path / "odd.trace")).events.count() == 20
+
+
 def test_streams(spark, tmp_path):
     rows = [(k, int(s) * 1_000_000, 5_000_000) for k, s in [("a", 0), ("a", 3), ("a", 20), ("b", 1), ("a", 90000)]]
     pd.DataFrame(rows, columns=["k", "ts", "dur"]).to_parquet(tmp_path / "p.parquet")
