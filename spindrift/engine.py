@@ -42,10 +42,15 @@ TABLE_KINDS = {k for k, _ in csv_tables.rules.TABLE_KINDS} | {"generic"}
 
 
 class Engine:
-    """Entry points; frames stay lazy until a report or a decision needs a few rows."""
+    """Entry points; frames stay lazy until a report or a decision needs a few rows.
 
-    def __init__(self, spark: SparkSession, allowed: list[str] | None = None):
+    ``peak_tflops`` is a card's peak, for the share of it in ``utilisation``; ``top_n`` the operators of a report's ranking; ``proto_fields``
+    the field numbers of record files (name, start, dur or end), without which they are recognised by likeness.
+    """
+
+    def __init__(self, spark: SparkSession, allowed: list[str] | None = None, peak_tflops: float | None = None, top_n: int = 20, proto_fields: dict[str, int] | None = None):
         self.spark, self.allowed, self.captures = spark, allowed, {}
+        self.peak_tflops, self.top_n, self.proto_fields = peak_tflops, top_n, proto_fields
 
     def _guard(self, path: str) -> str:
         """Paths must be below an allowed folder, if folders are named."""
@@ -93,7 +98,7 @@ class Engine:
             origin = raw.agg(F.min("ts_us")).first()[0] or 0
             parts.append(trace_json.timeline(raw))
         if "proto" in has:
-            r = records.read_records(self.spark, files=of_kind("proto"))
+            r = records.read_records(self.spark, names=self.proto_fields, files=of_kind("proto"))
             r = r.selectExpr("path", "idx", "name as raw_name", "name", "cast(start_us as bigint) as ts", "cast(dur_us as bigint) as dur", "'host' as device", "'schedule' as category", "'host-other' as subtype", "'framework' as role", "cast(null as string) as rank", "cast(null as string) as stream")
             parts.append(r.withColumn("te", F.expr("ts + dur")))
         for where, kind in kinds:
@@ -139,6 +144,16 @@ class Engine:
         sources.append(("window", P.whole_window(ev)))
         return P.choose_steps(sources)
 
+    def utilisation(self, capture: Capture) -> DataFrame:
+        """One row: events that state their work, TFLOP/s that they achieved together, and the share of the peak (null without one)."""
+        ev = capture.events
+        work = ev.withColumn("flops", F.lit(None).cast("double")) if "flops" not in ev.columns else ev
+        work = work.where("flops > 0 and dur > 0")
+        rate = D.throughput(work, "flops", "dur", self.peak_tflops or 0.0)
+        both = rate.join(F.broadcast(work.agg(F.count("*").alias("events"))))  # one row each
+        known = F.col("events") > 0
+        return both.select("events", F.when(known, F.col("tflops")).alias("tflops"), F.when(known & F.lit(bool(self.peak_tflops)), F.col("of_peak_pct")).alias("of_peak_pct"))
+
     def phases(self, capture: Capture) -> DataFrame:
         """Steps with their phase, the method and its confidence."""
         return P.labelled(capture.steps.withColumn("wall_us", F.expr("we - ws")), "wall_us", capture.markers)
@@ -234,7 +249,7 @@ class Engine:
 
     def _tables(self, capture: Capture) -> dict[str, list[dict]]:
         out = {k: [r.asDict() for r in v.collect()] for k, v in self.analyze(capture).items()}  # rows for each scope and rule
-        out["operators"] = [r.asDict() for r in D.ranked(D.operator_stats(capture.events)).orderBy("rank").collect()]
+        out["operators"] = [r.asDict() for r in D.ranked(D.operator_stats(capture.events), top=self.top_n).orderBy("rank").collect()]
         out["categories"] = [r.asDict() for r in D.category_totals(capture.events).collect()]
         out["steps"] = [{"source": capture.step_source, "steps": capture.steps.count()}]
         out["files"] = [r.asDict() for r in capture.artifacts.select("name", "kind", "length").collect()] if capture.artifacts is not None else []

@@ -109,6 +109,19 @@ def test_a_folder_gives_its_known_files_and_tells_of_the_rest(spark, tmp_path):
     assert Engine(spark).ingest(str(tmp_path / "odd.trace")).events.count() == 20
 
 
+def test_options_of_the_engine(spark, tmp_path):
+    work = [{"ph": "X", "name": f"MatMul_{i}", "pid": 1, "tid": 1, "ts": i * 100, "dur": 50, "args": {"flops": 2e9} if i % 2 else {}} for i in range(20)]
+    (tmp_path / "a_trace.json").write_text(json.dumps(work))
+    with_peak, without = Engine(spark, peak_tflops=80.0), Engine(spark)
+    capture = with_peak.ingest(str(tmp_path))
+    assert tuple(with_peak.utilisation(capture).first()) == (10, 40.0, 50.0)
+    assert tuple(without.utilisation(capture).first()) == (10, 40.0, None)
+    page = with_peak.page(capture, budget=5, operators=3, ranking=2, gaps=4)
+    assert page["operators"].count() == 1 and page["gaps"].count() <= 4 and page["steps"].count() >= 1
+    lane = page["lanes"].first()
+    assert (len(lane["events"]), lane["count"], lane["truncated"]) == (8, 20, True)  # each lane has eight at least
+
+
 def test_streams(spark, tmp_path):
     rows = [(k, int(s) * 1_000_000, 5_000_000) for k, s in [("a", 0), ("a", 3), ("a", 20), ("b", 1), ("a", 90000)]]
     pd.DataFrame(rows, columns=["k", "ts", "dur"]).to_parquet(tmp_path / "p.parquet")
