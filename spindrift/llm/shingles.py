@@ -11,6 +11,11 @@ documents have are no candidates' keys. Pairs that verified links have joined al
 and parity maps (the set, folded to about as many bits as it has shingles: differing bits never outnumber differing shingles) rule
 out what cannot reach 4/5, and only what is left is compared on whole sets, made again from the texts.
 
+A group of n sets may have n * n / 2 such pairs, each below many shingles. They are never rows: a pairing task gives a forest, at
+most one pair for each set it has. A first forest has one pair for two components that are to be joined, the one that differs least;
+whole sets decide on it, which leaves few components apart. A second one, of the sets themselves, says which sets could still be
+similar; these meet in cells, and there every pair that is still apart is compared. So what is refused costs no row either.
+
 Shingles are 64-bit mixes of the XXH64 of their words. A shingle that very many sets have in their prefixes is cut into blocks, and
 pairs of blocks are separate tasks.
 """
@@ -41,8 +46,10 @@ PARITY, WANTED = 512, 1 << 25
 FOLDED = 4096
 #: Odd factors of the words of a shingle.
 FACTORS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-#: Bytes of the sets in a cell in which pairs are compared, about.
-CELL = 8 << 20
+#: Bytes of the sets in a cell in which pairs are compared, about; what a set counts besides its shingles where all pairs are.
+CELL, EACH = 8 << 20, 2048
+#: Shingles that are compared with a set at once.
+AT_ONCE = 1 << 20
 #: Rows that go, at most, for which their places are broadcast (under 64 MB); more are joined by shuffle.
 FEW_PLACES = 1 << 19
 
@@ -85,9 +92,9 @@ def digest(shingles: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(shingles.tobytes(), simhash.SEED), "big", signed=True)
 
 
-def parity(shingles: np.ndarray) -> bytes:
+def parity(shingles: np.ndarray, bits: int = 0) -> bytes:
     """The set folded to a power of two of bits, about as many as it has shingles: each tells whether an odd number of its shingles falls there."""
-    bits = max(PARITY, 1 << len(shingles).bit_length())
+    bits = bits or max(PARITY, 1 << len(shingles).bit_length())
     return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -227,10 +234,20 @@ def _shared(batches, buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array(fp[many]), pa.nulls(int(many.sum()), pa.int64()), *(pa.array(x[many]) for x in (s, n, at))], names=names)
 
 
-def _paired(batches):
-    """Pairs of sets of different components with a common prefix shingle that may reach 4/5, from sorted rows of ``common.blocked_groups``.
+def _united(up: list[int], k: int) -> int:
+    """The root of node ``k``; ``up`` leads there and is made shorter on the way."""
+    while up[k] != k:
+        up[k] = up[up[k]]
+        k = up[k]
+    return k
+
 
-    Places in the order, sizes and parity maps (first on their shortest form, all pairs at once) rule pairs out before they are rows.
+def _paired(batches, joined: bool):
+    """A forest (a, b) of the pairs of sets of different components with a common prefix shingle that may reach 4/5.
+
+    Rows are sorted, of ``common.blocked_groups``. Places in the order, sizes and parity maps (first on their shortest form, all pairs
+    at once) rule pairs out. Of the rest those are rows, least differing first, that unite two trees: with ``joined`` the components are
+    nodes, else the sets are, and then the two sets of every pair that may reach 4/5 are in one tree.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for got in common.grouped(batches, "grp"):
@@ -243,6 +260,8 @@ def _paired(batches):
         # each row is paired with the rows of its shingle after those of its own component
         first, last = np.repeat(parts[1:], np.diff(parts)), np.repeat(cuts[1:], np.diff(cuts))
         n, at, fp, blk, across = cols["n"], cols["at"], cols["fp"], cols["blk"], cols["lo"] != cols["hi"]
+        names, node = np.unique(cols["root"] if joined else fp, return_inverse=True)
+        up = list(range(len(names)))
         maps = got["map"].to_pylist()
         short = np.frombuffer(b"".join(folded(m, PARITY) for m in maps), np.uint64).reshape(len(maps), -1)
         many = last - first
@@ -252,14 +271,25 @@ def _paired(batches):
             stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, side="right")), start + 1)
             i, j = np.repeat(np.arange(start, stop), many[start:stop]), common.ragged(first[start:stop], many[start:stop])
             start = stop
-            ok = _reach(n[i], n[j], at[i], at[j]) & (~across[i] | (blk[i] != blk[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-            i, j = i[ok], j[ok]
-            ok = 9 * np.bitwise_count(short[i] ^ short[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+            above = np.array([_united(up, k) for k in range(len(up))])[node]
+            ok = (above[i] != above[j]) & _reach(n[i], n[j], at[i], at[j]) & (~across[i] | (blk[i] != blk[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
-            ok = np.fromiter((9 * least_differing(maps[x], maps[y]) <= n[x] + n[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-            a, b = fp[i[ok]], fp[j[ok]]
-            ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=schema)
+            differ = np.bitwise_count(short[i] ^ short[j]).sum(axis=1, dtype=np.int64)
+            ok = 9 * differ <= n[i] + n[j]
+            i, j, differ = i[ok], j[ok], differ[ok]
+            order = np.argsort(differ, kind="stable")
+            i, j = i[order], j[order]
+            if joined and len(i):
+                once = np.sort(np.unique(np.minimum(above[i], above[j]) * len(up) + np.maximum(above[i], above[j]), return_index=True)[1])
+                i, j = i[once], j[once]
+            ends = []
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                p, q = _united(up, node[x]), _united(up, node[y])
+                if p != q and 9 * least_differing(maps[x], maps[y]) <= n[x] + n[y]:
+                    up[max(p, q)] = min(p, q)
+                    ends.append((x, y))
+            a, b = fp[[x for x, _ in ends]], fp[[y for _, y in ends]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
 
 def _folded(batches):
@@ -304,6 +334,26 @@ def _similar(sets: pa.Table, pairs: pa.Table) -> pa.Table:
     return pairs.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _made(places: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(fp, set) made from the texts of the rows of ``docs`` at ``places`` (file, pos) and, as a map of bits tells which, a few more."""
+    spark = docs.sparkSession
+    places = places.selectExpr(f"xxhash64(file, pos) & {WANTED - 1}L as x")
+    words_of = places.selectExpr("shiftright(x, 6) as w", "shiftleft(1L, cast(x & 63 as int)) as v").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toArrow()
+    wanted = np.zeros(WANTED >> 6, np.uint64)
+    wanted[words_of["w"].to_numpy()] = words_of["v"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(wanted)  # 4 MB, whatever the data
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").to_numpy()
+            batch = batch.filter(pa.array((shared.value[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            for part in common.sliced([batch], "__text", SLICE):
+                found = [(d, _packed(s)) for d, s, _ in _sets(part.column("__text"), words)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["fp", "set"])
+
+    return docs.selectExpr(f"xxhash64(__file, __pos) & {WANTED - 1}L as x", f"`{text_col}` as __text").mapInArrow(run, "fp long, set binary")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The pairs (a, b) of ``pairs`` (a written table) with a Jaccard similarity of at least 4/5, written.
 
@@ -320,21 +370,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
     ends = common.beside(parts.select("fp", "root"), sizes, "root").selectExpr("fp", "root", "last", "cast(pmod(xxhash64(fp), last + 1) as int) as blk")
     keyed = pairs.join(ends.toDF("a", "root", "last", "x"), "a").join(ends.select("fp", "blk").toDF("b", "y"), "b")
     keyed = common.written(keyed.selectExpr("a", "b", f"if(last = 0, pmod(xxhash64(root), {cells}), xxhash64(root, least(x, y), greatest(x, y))) as cell"), "shingle-keyed")
-    places = parts.selectExpr(f"xxhash64(file, pos) & {WANTED - 1}L as x")
-    words_of = places.selectExpr("shiftright(x, 6) as w", "shiftleft(1L, cast(x & 63 as int)) as v").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toArrow()
-    wanted = np.zeros(WANTED >> 6, np.uint64)
-    wanted[words_of["w"].to_numpy()] = words_of["v"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(wanted)  # 4 MB, whatever the data
-
-    def run(batches):
-        for batch in batches:
-            x = batch.column("x").to_numpy()
-            batch = batch.filter(pa.array((shared.value[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            for part in common.sliced([batch], "__text", SLICE):
-                found = [(d, _packed(s)) for d, s, _ in _sets(part.column("__text"), words)]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["fp", "set"])
-
-    sets = docs.selectExpr(f"xxhash64(__file, __pos) & {WANTED - 1}L as x", f"`{text_col}` as __text").mapInArrow(run, "fp long, set binary")
+    sets = _made(parts, docs, text_col, words)
     needed = keyed.selectExpr("cell", "explode(array(a, b)) as fp").distinct()
     moved = needed.join(sets, "fp")
     out = common.written(moved.groupBy("cell").cogroup(keyed.toDF("a", "b", "of").groupBy("of")).applyInArrow(_similar, "a long, b long"), "shingle-links")
@@ -343,6 +379,74 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
     return out
 
 
+def _joining(cell: pa.Table) -> pa.Table:
+    """Of the sets of one cell: pairs with a similarity of at least 4/5 that join what all such pairs of a part join.
+
+    Sets that are in one component already, by ``known`` or by pairs found here, are not compared; in a part of two blocks only sets of
+    different blocks are. Each set meets the one that differs least of every other component first, then all others at once.
+    """
+    key = np.stack([cell[c].to_numpy() for c in ("part", "lo", "hi", "fp")])
+    order = np.lexsort(key[::-1])
+    key = key[:, order]
+    order, key = order[np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]], key[:, np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]]
+    cuts = np.flatnonzero(np.r_[True, (key[:3, 1:] != key[:3, :-1]).any(axis=0), True])
+    known, blk, sets = cell["known"].to_numpy(), cell["blk"].to_numpy(), cell["set"].combine_chunks()
+    out = []
+    for u, v in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = [_unpacked(sets[k].as_py()) for k in order[u:v].tolist()]
+        n = np.array([len(x) for x in own])
+        flat, at = np.concatenate(own), np.cumsum(n) - n
+        bits = max(PARITY, 1 << int(n.max()).bit_length())
+        maps = np.frombuffer(b"".join(parity(x, bits) for x in own), np.uint64).reshape(len(own), -1)
+        label, side = np.unique(known[order[u:v]], return_inverse=True)[1], blk[order[u:v]]
+        lo, hi = key[1, u], key[2, u]
+        for i in range(v - u) if lo == hi else np.flatnonzero(side == lo).tolist():
+            ok = (label != label[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
+            if lo == hi:
+                ok[: i + 1] = False
+            else:
+                ok &= side == hi
+            j = np.flatnonzero(ok)
+            differ = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            ok = 9 * differ <= n[j] + n[i]
+            j = j[ok][np.argsort(differ[ok], kind="stable")]
+            first = np.zeros(len(j), bool)
+            first[np.unique(label[j], return_index=True)[1]] = True
+            for which in (j[first], j[~first]):
+                which = which[label[which] != label[i]]
+                for part in np.split(which, np.flatnonzero(np.diff(np.cumsum(n[which]) // AT_ONCE)) + 1):
+                    x = flat[common.ragged(at[part], n[part])]
+                    hit = own[i][np.minimum(np.searchsorted(own[i], x), n[i] - 1)] == x
+                    both = common.row_sums(hit, np.concatenate([[0], np.cumsum(n[part])]))
+                    for k in part[9 * both >= 4 * (n[part] + n[i])].tolist():
+                        if label[k] != label[i]:
+                            label[label == label[k]] = label[i]
+                            out.append((key[3, u + i], key[3, u + k]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+
+def settled(forest: DataFrame, known: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """Pairs (a, b) that join what all pairs with a similarity of at least 4/5 join within the trees of ``forest`` (written), written.
+
+    Sets with the same root in ``known`` (fp, root) are joined already. Small trees share a cell; a tree of over ``CELL`` bytes is cut
+    into blocks whose pairs are cells, so that no two of its sets are missed and no cell holds more than two blocks.
+    """
+    spark = docs.sparkSession
+    parts = common.components(forest, "shingle-trees").toDF("fp", "part")
+    parts = common.beside(parts, classes.select("fp", "n", "file", "pos"), "fp").join(known.toDF("fp", "known"), "fp", "left")
+    parts = common.written(parts.selectExpr("fp", "part", "n", "file", "pos", "coalesce(known, fp) as known"), "shingle-trees")
+    size = F.sum(F.col("n").cast("long") * 6 + EACH)
+    sizes = parts.groupBy("part").agg(size.alias("__bytes")).selectExpr("part", f"cast(__bytes div {CELL} as int) as last")
+    cells = max(1, -(-(parts.agg(size).first()[0] or 0) // CELL))
+    dealt = common.beside(parts.select("fp", "part", "known"), sizes, "part").selectExpr("*", "cast(pmod(xxhash64(fp), last + 1) as int) as blk", "explode(sequence(0, last)) as other")
+    dealt = dealt.selectExpr("fp", "part", "known", "blk", "last", "least(blk, other) as lo", "greatest(blk, other) as hi")
+    dealt = dealt.selectExpr("fp", "part", "known", "cast(blk as long) as blk", "cast(lo as long) as lo", "cast(hi as long) as hi", f"if(last = 0, pmod(xxhash64(part), {cells}L), xxhash64(part, lo, hi)) as cell")
+    moved = dealt.join(_made(parts, docs, text_col, words), "fp")
+    out = common.written(moved.groupBy("cell").applyInArrow(_joining, "a long, b long"), "shingle-links")
+    common.dropped(spark, parts)
+    return out
+
+
 def links(rows: DataFrame, docs: DataFrame, text_col: str = "text", words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of "Jaccard similarity of at least 4/5", for the sets of ``docs``.
 
@@ -366,23 +470,36 @@ def links(rows: DataFrame, docs: DataFrame, text_col: str = "text", words: int =
     often, times = recurring(rows)
     packed = prefixes(docs, often, times, buckets, text_col, words).repartition("bucket").sortWithinPartitions("bucket")
     found = common.written(packed.mapInArrow(lambda it: _shared(it, buckets), "a long, b long, s long, n long, at long"), "shingle-shared")
-    entries = found.where("s is not null").selectExpr("a as fp", "s", "n", "at")
-    entries = entries.join(roots, "fp", "left").selectExpr("s", "fp", "n", "at", "coalesce(root, fp) as root")
-    mixed = entries.groupBy("s").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select("s")
     small = classes.select("fp", "map").mapInArrow(_folded, "fp long, map binary")
-    entries = common.written(common.beside(common.beside(entries, mixed, "s"), small, "fp"), "shingle-entries")
-    spread = common.blocked_groups(entries, ["s"], "fp", block).repartition("grp").sortWithinPartitions("grp", "s", "lo", "hi", "root", "fp")
-    more = spread.select("grp", "s", "lo", "hi", "blk", "root", "fp", "n", "at", "map").mapInArrow(_paired, "a long, b long")
-    pairs = found.where("s is null").select("a", "b").unionByName(more).distinct()
+    entries = _apart(found.where("s is not null").selectExpr("a as fp", "s", "n", "at"), roots)
+    entries = common.written(common.beside(entries, small, "fp"), "shingle-entries")
+    pairs = found.where("s is null").select("a", "b").unionByName(_forest(entries, True, block)).distinct()
     pairs = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
     left = common.written(pruned(pairs, classes), "shingle-pairs")
-    rest = verified(left, classes, docs, text_col, words)
-    out = common.written(sure.unionByName(rest), "shingle-links")
-    for table in (likely, sure, rest, roots, found, entries, left, classes):
+    rest = common.written(sure.unionByName(verified(left, classes, docs, text_col, words)), "shingle-links")
+    # what these links have not joined: all pairs within the trees of sets that may be similar
+    known = common.written(common.components(rest, "shingle-roots").toDF("fp", "root"), "shingle-roots")
+    trees = common.written(_forest(_apart(entries.drop("root"), known), False, block), "shingle-trees")
+    last = settled(trees, known, classes, docs, text_col, words)
+    out = common.written(rest.unionByName(last), "shingle-links")
+    for table in (likely, sure, rest, last, roots, known, found, entries, left, trees, classes):
         common.dropped(spark, table)
     return out
 
 
+def _apart(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries (with the root of their set) of shingles that sets of several components have."""
+    entries = entries.join(roots, "fp", "left").withColumn("root", F.expr("coalesce(root, fp)"))
+    mixed = entries.groupBy("s").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select("s")
+    return common.beside(entries, mixed, "s")
+
+
+def _forest(entries: DataFrame, joined: bool, block: int) -> DataFrame:
+    """(a, b) of ``_paired`` for ``entries``, dealt by shingle and block pair."""
+    spread = common.blocked_groups(entries, ["s"], "fp", block).repartition("grp").sortWithinPartitions("grp", "s", "lo", "hi", "root", "fp")
+    return spread.select("grp", "s", "lo", "hi", "blk", "root", "fp", "n", "at", "map").mapInArrow(lambda it: _paired(it, joined), "a long, b long")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with one document of each group of near duplicates: the one with the smallest id.
 

@@ -73,3 +73,38 @@ def test_near_duplicate_stage_is_brute_force_jaccard(spark, monkeypatch):
     assert close > 100
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == sorted(want)
     assert sorted(r["doc_id"] for r in shingles.deduplicated(docs, block=8).collect()) == sorted(want)
+
+
+def test_pairs_of_a_large_group_are_not_rows(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = []
+    for group, (size, words, changes) in enumerate([(120, 600, (8,)), (90, 404, (4,)), (80, 100, (1,)), (20, 3000, (40, 37))]):
+        base = [f"g{group}w{k}" for k in range(words)]
+        for k in range(size):
+            new = list(base)
+            for at in rng.sample(range(words), changes[k % len(changes)]):
+                new[at] = f"x{rng.random()}"
+            texts.append(" ".join(new))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root, linked, refused = list(range(len(texts))), 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            linked, refused = linked + (5 * both >= 4 * either), refused + (0.77 * either <= both < 0.8 * either)
+            if 5 * both >= 4 * either and root[i] != root[j]:
+                old, new = sorted((root[i], root[j]), reverse=True)
+                root = [new if r == old else r for r in root]
+    assert linked > 5000 and refused > 5000 and len(set(root)) == 54
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    made, write = [], common.written
+
+    def counted(df, label):
+        out = write(df, label)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    monkeypatch.setattr(shingles, "CELL", 60_000)
+    assert sorted(r["doc_id"] for r in shingles.deduplicated(docs).collect()) == sorted(set(root))
+    assert max(n for label, n in made if label in ("shingle-pairs", "shingle-links")) <= 3 * len(texts)
+    assert made[[label for label, _ in made].index("shingle-trees")][1] <= dict(made)["shingle-entries"] // 4
